@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import exact_dedup, licenses, mixing
+from rasterloom.llm import exact_dedup, licenses, mixing, simhash, windows
 from rasterloom.llm.common import OWN, table
 
 
@@ -83,6 +83,11 @@ SELECT doc_id, digest AS canonical_sha256, license FROM d LEFT JOIN known USING
 """
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.dedup_folder(spark, f"{sf_dir}/documents.parquet")
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -95,10 +100,18 @@ g AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY n DESC, doc_id) AS
 SELECT doc_id, keep_id, group_size, r = 1 AS kept, sha256(body) AS text_sha256 FROM g
 """
 
+
+def op10_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = windows.remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op4_licenses": op4_licenses,
+    "op6_simhash": op6_simhash,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_windows": op10_windows,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_mixing": OP2_SQL,
