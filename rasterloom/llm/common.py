@@ -5,7 +5,11 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,3 +83,34 @@ def crc_bucket(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
+
+
+def packed_sum(parts: DataFrame, width: int = 32) -> DataFrame:
+    """parts: rows of ``key``, ``task`` (any spread) and ``data``, packed doubles.  One row of sums for each key and remaining task.
+
+    A tree: each level adds up about ``width`` of the former level's tasks, so
+    no task reads more than its share and at most ``width`` rows of a key are left.
+    """
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, sums = TaskContext.get().partitionId(), {}
+        for b in batches:
+            for key, data in zip(b.column(0).to_pylist(), b.column(2)):
+                value = np.frombuffer(data.as_buffer(), np.float64)
+                sums[key] = sums[key] + value if key in sums else value.copy()
+        for key, value in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.string()), pa.array([task], pa.int32()), pa.array([value.tobytes()], pa.binary())], names=["key", "task", "data"])
+
+    tasks = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while tasks > width:
+        tasks = -(-tasks // width)
+        parts = parts.repartition(tasks, "task").mapInArrow(add, "key string, task int, data binary")
+    return parts
+
+
+def summed(parts: DataFrame) -> dict[str, np.ndarray]:
+    """The sums of ``packed_sum`` on the driver: as many vectors as there are keys, times a constant."""
+    total: dict[str, np.ndarray] = {}
+    for row in packed_sum(parts).toLocalIterator():
+        value = np.frombuffer(row.data, np.float64)
+        total[row.key] = total[row.key] + value if row.key in total else value
+    return total

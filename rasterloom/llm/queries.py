@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import exact_dedup, licenses, mixing, simhash, windows
-from rasterloom.llm.common import OWN, table
+from rasterloom.llm import chat, exact_dedup, gif, langid, licenses, mixing, quality, simhash, windows
+from rasterloom.llm.common import OWN, crc_bucket, table, written
 
 
 def documents_mix() -> mixing.Mix:
@@ -62,6 +62,14 @@ FROM t LEFT JOIN p USING (doc_id)
 """
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = written(quality.with_statistics(table(spark, sf_dir, "documents"), ["doc_id"]), "quality-stats")
+    bucket = crc_bucket(F.col("doc_id"), 5)
+    model = quality.train(*quality.labelled(stats, table(spark, sf_dir, "labels"), bucket))
+    held_out = F.coalesce(bucket == 0, F.lit(False))
+    return quality.scores(stats, model, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return licenses.scan(docs).select("doc_id", F.col(OWN + "digest").alias("canonical_sha256"), F.col(OWN + "license").alias("license"))
@@ -83,11 +91,43 @@ SELECT doc_id, digest AS canonical_sha256, license FROM d LEFT JOIN known USING
 """
 
 
+def op5_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.stored(table(spark, sf_dir, "documents"), with_media=False).drop("media", "histogram")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.rotations(table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("mask", lambda m: F.concat(m.start.cast("string"), F.lit("-"), m.end.cast("string"))), ",")
+    return rows.select("conv_id", "speaker", "part", F.col("n_turns").cast("long").alias("n_turns"), "text", spans.alias("mask"))
+
+
+OP7_SQL = r"""
+WITH t AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text, CAST(coalesce(floor(turn / 256.0), -1) AS BIGINT) AS part FROM conversations),
+who AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
+s AS (SELECT t.conv_id, speaker, part, turn, role, t.text,
+    '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN role ELSE 'user name=' || role END || chr(10) AS head, t.text || '<|im_end|>' || chr(10) AS body
+  FROM t JOIN who ON t.conv_id = who.conv_id),
+p AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, part ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop FROM s)
+SELECT conv_id, speaker, part, count(*) AS n_turns, string_agg(head || body, '' ORDER BY turn, role, text) AS text,
+  coalesce(string_agg(CASE WHEN role = speaker THEN CAST(CAST(stop - length(body) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(stop - 1 AS BIGINT) AS VARCHAR) END, ',' ORDER BY turn, role, text), '') AS mask
+FROM p GROUP BY conv_id, speaker, part
+"""
+
+
+def op8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    bucket = crc_bucket(F.col("doc_id"), 4)
+    held_out = F.coalesce(bucket == 2, F.lit(False))
+    model = langid.learn(docs.filter(~held_out))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.size("languages").alias("n_languages"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.dedup_folder(spark, f"{sf_dir}/documents.parquet")
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -108,13 +148,18 @@ def op10_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
+    "op3_quality": op3_quality,
     "op4_licenses": op4_licenses,
+    "op5_gif": op5_gif,
     "op6_simhash": op6_simhash,
+    "op7_chat": op7_chat,
+    "op8_languages": op8_languages,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_windows": op10_windows,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_mixing": OP2_SQL,
     "op4_licenses": op4_sql(),
+    "op7_chat": OP7_SQL,
     "op9_exact_dedup": OP9_SQL,
 }
