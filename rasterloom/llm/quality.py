@@ -208,3 +208,16 @@ def scores(stats: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(score)], names=[*keep, "score"])
 
     return rows.mapInArrow(run, rows.select(*keep).schema.add("score", "double"))
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, with the columns of ``docs``; no shuffle."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                stats = np.array([statistics(t.as_py() or b"") for t in b.column(at).cast(pa.binary())], np.float64)
+                yield b.filter(pa.array(np.clip(model.score(stats), 0, 1) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

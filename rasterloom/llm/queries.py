@@ -7,10 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import chat, exact_dedup, gif, langid, licenses, mixing, quality, simhash, windows
+from rasterloom.llm import chat, exact_dedup, gif, langid, licenses, mixing, quality, segments, simhash, windows
 from rasterloom.llm.common import OWN, crc_bucket, table, written
 
 
+#: Where the public vocabulary files are.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def encoded(docs: DataFrame, model: str = f"{TOKENIZERS}/piece_bpe_32k.model", samples: int = 2) -> DataFrame:
+    """A row for each document and sample; rank 0 has the largest perturbed score."""
+    rows = segments.sampled(docs, model, samples)
+    rows = rows.select("doc_id", F.posexplode("samples").alias("rank", "s"))
+    return rows.select("doc_id", "rank", F.size("s.ids").cast("long").alias("n_pieces"), "s.ids", "s.log_p", "s.perturbed", "s.inclusion", "s.exact")
+
+
+def op1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(table(spark, sf_dir, "documents"))
+
+
 def documents_mix() -> mixing.Mix:
     """Domains made from the last digit of the source's name."""
     digit = F.substring("source", -1, 1)
@@ -147,6 +162,7 @@ def op10_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_segments": op1_segments,
     "op2_mixing": op2_mixing,
     "op3_quality": op3_quality,
     "op4_licenses": op4_licenses,
