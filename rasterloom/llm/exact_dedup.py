@@ -25,7 +25,12 @@ from rasterloom.llm.common import OWN, located, new_folder, sized, without_own,
 
 #: Rows of one keeper that are compared in one task before its text is repeated for a further one.
 ROWS_PER_COPY = 64
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; no files made large in advance, which small state partitions would never fill.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -54,9 +59,9 @@ RANK = F.struct((-F.col("n_cp")).alias("less"), F.col("doc_id").isNull().alias("
 def stream_state(arrivals: DataFrame, out: str, checkpoint: str) -> None:
     """Run the stream of entries until its source has no more; each batch writes the state entries that it changed."""
     spark = arrivals.sparkSession
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, STATE_STORE)
+    before = {key: spark.conf.get(key, None) for key in STATE_STORE}
+    for key, value in STATE_STORE.items():
+        spark.conf.set(key, value)
     try:
         state = arrivals.groupBy("digest").agg(F.min(RANK).alias("keeper"), F.count("*").alias("group_size"))
         (
@@ -68,7 +73,8 @@ def stream_state(arrivals: DataFrame, out: str, checkpoint: str) -> None:
             .awaitTermination()
         )
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def latest_state(spark: SparkSession, out: str, schema: str) -> DataFrame:
