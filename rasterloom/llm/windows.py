@@ -7,8 +7,8 @@ gathers the windows of some documents and aggregates them before the shuffle:
 of each hash only the smallest id competes further; the task's other ids are
 already decided and are only passed on, spread over all buckets.  The
 competitors travel packed, one row for each task and bucket, and each bucket
-finds, for every hash, the smallest id that has it.  What is decided is
-reported by document and meets the texts in one shuffle by id, where the words
+finds, for every hash, the smallest id that has it.  What is decided is packed
+by groups of documents and meets their texts in one shuffle, where the words
 covered merge into maximal removal intervals.
 
 So a window that a third of all documents share adds one competitor for each
@@ -169,46 +169,57 @@ def unpack(hashes: bytes, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(hashes, "<u8"), np.repeat(np.cumsum(values), runs)
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket: for each document, the hashes that also have a smaller id, packed."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def settle(parts: list[tuple[bytes, bytes]]) -> None:
-        pairs = [unpack(*p) for p in parts]
-        h, d = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-        by_id = np.argsort(d, kind="stable")
-        held.append(compete(h[by_id], d[by_id])[1:])
-
-    def flush(least: int) -> Iterator[pa.RecordBatch]:
-        if sum(len(h) for h, _ in held) <= least:
-            return
-        h, d = np.concatenate([p[0] for p in held]), np.concatenate([p[1] for p in held])
-        held.clear()
-        by_id = np.argsort(d, kind="stable")
-        h, d = h[by_id], d[by_id]
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(d)) + 1])
-        raw = h.astype("<u8").tobytes()
-        packed = [raw[8 * s : 8 * e] for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(d)])]
-        yield pa.RecordBatch.from_arrays([pa.array(d[starts]), pa.array(packed, pa.binary())], names=["id", "hashes"])
-
-    at, parts = None, []
-    for b in batches:
-        for bucket, kind, hashes, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
-            if bucket != at and parts:
-                settle(parts)
-                parts = []
-            at = bucket
-            if kind:
-                held.append(unpack(hashes.as_py(), ids.as_py()))
-            else:
-                parts.append((hashes.as_py(), ids.as_py()))
-            yield from flush(HOLD)
-    if parts:
-        settle(parts)
-    yield from flush(0)
-
-
-def spans_of(words: list[bytes], known: dict, hit: np.ndarray, size: int) -> np.ndarray:
+def _group(ids: np.ndarray, groups: int) -> np.ndarray:
+    """The group in which a document's answers meet its text."""
+    with np.errstate(over="ignore"):
+        mixed = ids.astype(np.uint64) * np.uint64(BASES[0])
+    return ((mixed >> np.uint64(24)) % np.uint64(groups)).astype(np.int32)
+
+
+def _answer(groups: int):
+    """Rows sorted by bucket: for each group of documents, the hashes that also have a smaller id, packed with their ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def settle(parts: list[tuple[bytes, bytes]]) -> None:
+            pairs = [unpack(*p) for p in parts]
+            h, d = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
+            by_id = np.argsort(d, kind="stable")
+            held.append(compete(h[by_id], d[by_id])[1:])
+
+        def flush(least: int) -> Iterator[pa.RecordBatch]:
+            if sum(len(h) for h, _ in held) <= least:
+                return
+            h, d = np.concatenate([p[0] for p in held]), np.concatenate([p[1] for p in held])
+            held.clear()
+            g = _group(d, groups)
+            order = np.lexsort((d, g))
+            h, d, g = h[order], d[order], g[order]
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(g)) + 1])
+            packed = [pack(h[s:e], d[s:e]) for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(d)])]
+            yield pa.RecordBatch.from_arrays([pa.array(g[starts]), pa.array([p[0] for p in packed], pa.binary()), pa.array([p[1] for p in packed], pa.binary())], names=["grp", "hashes", "ids"])
+
+        at, parts = None, []
+        for b in batches:
+            for bucket, kind, hashes, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                if bucket != at and parts:
+                    settle(parts)
+                    parts = []
+                at = bucket
+                if kind:
+                    held.append(unpack(hashes.as_py(), ids.as_py()))
+                else:
+                    parts.append((hashes.as_py(), ids.as_py()))
+                yield from flush(HOLD)
+        if parts:
+            settle(parts)
+        yield from flush(0)
+
+    return run
+
+
+def covered(words: list[bytes], known: dict, hit: np.ndarray, size: int) -> np.ndarray:
     """Whether each word is covered by a window whose hash is in ``hit``."""
     flags = np.isin(window_hashes(word_hashes(words, known), size, BASES[0]), hit)
     edge = np.zeros(len(words) + 1, np.int64)
@@ -219,64 +230,71 @@ def spans_of(words: list[bytes], known: dict, hit: np.ndarray, size: int) -> np.
 
 
 def _remove(size: int):
-    """Rows sorted by id, a document's answers before its texts: the spans and what is left."""
+    """Rows sorted by group, answers before texts: the spans and what is left of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, at, held = _Words(), None, []
         shrunk = zstandard.ZstdDecompressor()
+        told_ids = told = np.empty(0, np.int64)
+        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for b in batches:
             ids, n_words, n_removed, spans, kept = [], [], [], [], []
-            for key, answer, doc, text in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3)):
-                if key != at:
-                    at, held = key, []
-                if answer.is_valid:
-                    held.append(answer.as_py())
+            for group, hashes, packed, doc, text in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3).to_pylist(), b.column(4)):
+                if group != at:
+                    at, held, told_ids, told = group, [], np.empty(0, np.int64), np.empty(0, np.uint64)
+                if hashes.is_valid:
+                    held.append(unpack(hashes.as_py(), packed.as_py()))
                     continue
+                if held:
+                    told, told_ids = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+                    order = np.argsort(told_ids, kind="stable")
+                    told, told_ids, held = told[order], told_ids[order], []
                 whole = shrunk.decompress(text.as_py())
                 words = whole.split(b" ") if whole else []
                 ids.append(doc)
                 n_words.append(len(words))
-                if not held:
+                lo, hi = np.searchsorted(told_ids, NO_ID if doc is None else doc, side="left"), np.searchsorted(told_ids, NO_ID if doc is None else doc, side="right")
+                if lo == hi:
                     n_removed.append(0)
                     spans.append([])
                     kept.append(whole)
                     continue
-                gone = spans_of(words, known, np.frombuffer(b"".join(held), "<u8"), size)
+                gone = covered(words, known, told[lo:hi], size)
                 edge = np.flatnonzero(np.diff(gone, prepend=False, append=False))
                 n_removed.append(int(gone.sum()))
                 spans.append([{"start": int(s), "end": int(e)} for s, e in zip(edge[::2], edge[1::2])])
                 kept.append(b" ".join([w for w, g in zip(words, gone.tolist()) if not g]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()).cast(pa.string())],
-                names=["doc_id", "n_words", "n_removed", "removed", "kept"],
-            )
+            if ids:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary()).cast(pa.string())],
+                    names=["doc_id", "n_words", "n_removed", "removed", "kept"],
+                )
 
     return run
 
 
-def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shrink(groups: int):
     """Texts as words joined by one space, compressed for the shuffle."""
-    squeeze = zstandard.ZstdCompressor(level=1)
-    for b in batches:
-        texts = [squeeze.compress(b" ".join((t.as_py() or b"").split())) for t in b.column(1).cast(pa.binary())]
-        ids = b.column(0)
-        yield pa.RecordBatch.from_arrays([ids.fill_null(NO_ID), pa.nulls(len(ids), pa.binary()), ids, pa.array(texts, pa.binary())], names=["id", "hashes", "doc_id", "text"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            texts = [squeeze.compress(b" ".join((t.as_py() or b"").split())) for t in b.column(1).cast(pa.binary())]
+            ids, none = b.column(0), pa.nulls(b.num_rows, pa.binary())
+            group = _group(ids.fill_null(NO_ID).to_numpy(), groups)
+            yield pa.RecordBatch.from_arrays([pa.array(group), none, none, ids, pa.array(texts, pa.binary())], names=["grp", "hashes", "ids", "doc_id", "text"])
 
-def answers(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """For documents with windows to remove: ``id`` (of a null id the largest long) and ``hashes``, packed; several rows a document."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_send(size, parts * PER_PARTITION), "bucket int, kind int, hashes binary, ids binary")
-    dealt = sent.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(_answer, "id long, hashes binary")
+    return run
 
 
 def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """For each row: ``doc_id``, ``n_words``, ``n_removed``, ``removed`` (maximal intervals of words) and ``kept`` (the text that is left)."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    schema = "id long, hashes binary, doc_id long, text binary"
-    texts = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_shrink, schema)
-    told = answers(docs, size).select("id", "hashes", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("text"))
-    met = told.unionByName(texts).repartition(parts, "id").sortWithinPartitions("id", F.col("hashes").isNull())
+    n = parts * PER_PARTITION
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    sent = rows.mapInArrow(_send(size, n), "bucket int, kind int, hashes binary, ids binary")
+    told = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(n), "grp int, hashes binary, ids binary")
+    texts = rows.mapInArrow(_shrink(n), "grp int, hashes binary, ids binary, doc_id long, text binary")
+    met = texts.unionByName(told, allowMissingColumns=True)
+    met = met.repartition(parts, "grp").sortWithinPartitions("grp", F.col("hashes").isNull())
     return met.mapInArrow(_remove(size), "doc_id long, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept string")
