@@ -52,8 +52,9 @@ def _entries(docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
     )
 
 
-#: Sorts the keeper of a group to the front.
-RANK = F.struct((-F.col("n_cp")).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "row")
+def rank() -> Column:
+    """Sorts the keeper of a group to the front."""
+    return F.struct((-F.col("n_cp")).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "row")
 
 
 def stream_state(arrivals: DataFrame, out: str, checkpoint: str) -> None:
@@ -63,7 +64,7 @@ def stream_state(arrivals: DataFrame, out: str, checkpoint: str) -> None:
     for key, value in STATE_STORE.items():
         spark.conf.set(key, value)
     try:
-        state = arrivals.groupBy("digest").agg(F.min(RANK).alias("keeper"), F.count("*").alias("group_size"))
+        state = arrivals.groupBy("digest").agg(F.min(rank()).alias("keeper"), F.count("*").alias("group_size"))
         (
             state.writeStream.outputMode("update")
             .option("checkpointLocation", checkpoint)
@@ -121,7 +122,7 @@ def decide(docs: DataFrame, arrivals: DataFrame, digest: Callable[[Column], Colu
         return entries.join(state, "digest").select(*wanted)
     body = docs.select(F.col(OWN + "file").alias("file"), F.col(OWN + "row").alias("row"), normalised(F.col("text")).alias("body"))
     anew = entries.join(clash, "digest", "left_semi").join(body, ["file", "row"])
-    anew = anew.join(anew.groupBy("body").agg(F.min(RANK).alias("keeper"), F.count("*").alias("group_size")), "body")
+    anew = anew.join(anew.groupBy("body").agg(F.min(rank()).alias("keeper"), F.count("*").alias("group_size")), "body")
     plain = entries.join(clash, "digest", "left_anti").join(state, "digest")
     return plain.select(*wanted).unionByName(anew.select(*wanted))
 
