@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions.pixel import to_u16
 from rasterloom.operators import axis, focus
+from rasterloom.sources.scratch import held
 
 FLOOR = 1e-8
 
@@ -73,7 +74,7 @@ def pyramid(df: DataFrame, keys: list[str], value: str, h: int, w: int, levels:
     """Laplacian levels in one frame: ``level``, the last one the smallest image itself."""
     out, now = None, df.select(*keys, "y", "x", F.col(value).cast("double").alias(value))
     for level in range(levels):
-        small = down(now, keys, value, h, w)
+        small = held(down(now, keys, value, h, w), "pyramid")
         back = up(small, keys, value, h, w).withColumnRenamed(value, "back")
         lap = now.join(back, [*keys, "y", "x"]).select(*keys, F.lit(level).alias("level"), "y", "x", (F.col(value) - F.col("back")).alias(value))
         out = lap if out is None else out.unionByName(lap)
@@ -101,6 +102,7 @@ def multiband(rows: DataFrame, keys: list[str], value: str, h: int, w: int, leve
     places, and are hard where the choice is protected.
     """
     own = [*keys, "frame"]
+    rows = held(rows, "weights")
     bands = pyramid(rows, own, value, h, w, levels)
     p = protection()
     weights = None
@@ -110,6 +112,7 @@ def multiband(rows: DataFrame, keys: list[str], value: str, h: int, w: int, leve
         part = at.select(*own, F.lit(k).alias("level"), F.expr(f"cast(y div {1 << k} as int)").alias("y"), F.expr(f"cast(x div {1 << k} as int)").alias("x"), weight.alias("weight"))
         weights = part if weights is None else weights.unionByName(part)
     sums = bands.join(weights, [*own, "level", "y", "x"]).groupBy(*keys, "level", "y", "x").agg(F.sum("weight").alias("wsum"), F.sum(F.col("weight") * F.col(value)).alias("wvsum"))
+    sums = held(sums, "bands")
     means = sums.select(*keys, "level", "y", "x", (F.col("wvsum") / F.greatest("wsum", F.lit(FLOOR))).alias(value))
     image = collapsed(means, keys, value, h, w, levels)
     return image.join(sums.filter("level = 0").select(*keys, "y", "x", (F.col("wsum") > FLOOR).alias("covered")), [*keys, "y", "x"])

@@ -12,7 +12,7 @@ def ratio_matches(left: DataFrame, right: DataFrame, by: list[str], ratio: float
     Groups bound the comparisons: a frame has a few thousand features at most.
     """
     pairs = left.select(*by, F.col("id").alias("left_id"), F.col("features").alias("lf")).join(right.select(*by, F.col("id").alias("right_id"), F.col("features").alias("rf")), by)
-    d = F.sqrt(F.aggregate(F.zip_with("lf", "rf", lambda a, b: (a - b).cast("double") * (a - b)), F.lit(0.0), lambda s, v: s + v))
+    d = F.sqrt(F.aggregate(F.zip_with("lf", "rf", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, v: s + v))
     pairs = pairs.select(*by, "left_id", "right_id", d.alias("distance"))
     w = Window.partitionBy(*by, "left_id").orderBy("distance", "right_id")
     two = pairs.withColumn("rank", F.row_number().over(w)).filter("rank <= 2")

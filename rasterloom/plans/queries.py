@@ -11,6 +11,7 @@ from rasterloom.functions import pixel
 from rasterloom.operators import axis, blend, choose, focus, geometry, match, tiles
 from rasterloom.plans import oracle
 from rasterloom.sources import listing, rasters
+from rasterloom.sources.scratch import held
 
 N = rasters.SIDE
 FRAME, PIXEL = ["stack", "frame"], ["stack"]
@@ -50,6 +51,7 @@ def label_plane(spark: SparkSession, d: str) -> DataFrame:
 
 def weighted(spark: SparkSession, d: str, weight: Callable[[], Column]) -> DataFrame:
     clean = choose.cleaned(label_plane(spark, d), PIXEL, N, N).select("stack", "y", "x", "label", "confidence", "edge")
+    clean = held(clean, "labels")  # used for the mask, the frames in use and the weights
     rows = blend.softened(blend.masks(rasters.embeddings(spark, d), clean, PIXEL), PIXEL, N, N, 2)
     return rows.withColumn("weight", weight())
 
@@ -299,7 +301,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 , own AS (SELECT stack, y, x, sum(v * mask) AS own, max(p) AS p FROM w2 GROUP BY stack, y, x)
 SELECT m.stack, m.y, m.x, round(m.v * (1 - o.p) + o.own * o.p, 3) AS v FROM mb m JOIN own o ON o.stack = m.stack AND o.y = m.y AND o.x = m.x""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    rows = weighted(spark, d, blend.occlusion_weight)
+    rows = held(weighted(spark, d, blend.occlusion_weight), "weights")
     image = blend.multiband(rows, PIXEL, "v", N, N, 1)
     own = blend.owned(rows, PIXEL, ["v"])
     guard = rows.select("stack", "y", "x", "confidence", "edge").distinct()
