@@ -100,7 +100,7 @@ def _trie(ids: dict[str, int], classes: dict[str, int]) -> tuple[np.ndarray, np.
     for row, nexts in enumerate(follow):
         for c, state in nexts.items():
             table[row, c] = state
-    return table, np.array(piece_of, np.int64), np.array(inner_of, np.int64)
+    return table, np.array(piece_of, np.int32), np.array(inner_of, np.int32)
 
 
 @functools.lru_cache(maxsize=2)
@@ -138,18 +138,23 @@ def assembled(ids: dict[str, int], score: np.ndarray, texts: list[str | bytes],
     for t, i in ids.items():
         if len(t) == 1:
             single[ord(t)] = i
+    low = float(log_p[own].min()) - BYTE_PENALTY
+    for c in range(128):  # a character of one byte is that byte's piece
+        if single[c] < 0 and byte_ids[c] >= 0:
+            single[c] = byte_ids[c]
+            log_p[byte_ids[c]] = low
     joined = np.zeros((len(classes) + 1, len(classes) + 1), bool)
     for a, b in pairs:
         joined[classes[a], classes[b]] = True
     spelled = [t if type(t) is bytes else t.replace(SPACE, " ").encode() for t in texts]
     return Model(
-        ids, log_p * alpha, texts, byte_ids, (float(log_p[own].min()) - BYTE_PENALTY) * alpha, unknown, single, class_of, joined, *_trie(ids, classes),
+        ids, log_p * alpha, texts, byte_ids, low * alpha, unknown, single, class_of, joined, *_trie(ids, classes),
         np.frombuffer(b"".join(spelled), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in spelled])]),
     )
 
 
 def code_points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.int32)
 
 
 def prepared(text: str) -> str:
@@ -181,24 +186,25 @@ class Lattices:
         sizes = np.diff(np.append(starts, len(points)))
         with np.errstate(over="ignore"):
             powers = np.cumprod(np.full(int(sizes.max(initial=0)) + 1, STEP, np.uint64))
-            within = np.arange(len(points)) - np.repeat(starts, sizes)
+            within = np.arange(len(points), dtype=np.int32) - np.repeat(starts.astype(np.int32), sizes)
             mixed = (points.astype(np.uint64) + np.uint64(1)) * MIX
             mixed ^= mixed >> np.uint64(32)
             names = np.add.reduceat(mixed * powers[within], starts) if len(points) else np.zeros(0, np.uint64)
-        _, first, self.parts = np.unique(names, return_index=True, return_inverse=True)
+        _, first, parts = np.unique(names, return_index=True, return_inverse=True)
+        self.parts = parts.astype(np.int32)
         # the distinct parts, one after another
-        self.size_of = sizes[first]
-        self.node_of = np.cumsum(self.size_of) - self.size_of
+        self.size_of = sizes[first].astype(np.int32)
+        self.node_of = np.cumsum(self.size_of, dtype=np.int32) - self.size_of
         at = np.arange(int(self.size_of.sum())) + np.repeat(starts[first] - self.node_of, self.size_of)
         self._edges(model, points[at], kinds[at])
 
     def _edges(self, model: Model, points: np.ndarray, kinds: np.ndarray) -> None:
         n = len(points)
-        to_end = np.repeat(self.node_of + self.size_of, self.size_of) - np.arange(n)
-        alone = model.single[points].astype(np.int64)
+        to_end = np.repeat(self.node_of + self.size_of, self.size_of) - np.arange(n, dtype=np.int32)
+        alone = model.single[points]
         alone[alone < 0] = -points[alone < 0] - 1
-        found = [(np.arange(n), alone, 1)]
-        at = np.flatnonzero(to_end > 1)
+        found = [(np.arange(n, dtype=np.int32), alone, 1)]
+        at = np.flatnonzero(to_end > 1).astype(np.int32)
         state = model.follow[1, kinds[at]]
         inner, length = model.inner_of[state], 1
         while True:
@@ -218,9 +224,9 @@ class Lattices:
         order = np.argsort(node, kind="stable")
         node = node[order]
         self.piece = np.concatenate([f[1] for f in found])[order]
-        self.step = np.concatenate([np.full(len(f[0]), f[2]) for f in found])[order]
+        self.step = np.concatenate([np.full(len(f[0]), f[2], np.int32) for f in found])[order]
         degree = np.bincount(node, minlength=n)
-        self.edge_of = np.concatenate([[0], np.cumsum(degree)])
+        self.edge_of = np.concatenate([[0], np.cumsum(degree)]).astype(np.int32)
         log_p = np.empty(len(node))
         plain = self.piece >= 0
         log_p[plain] = model.log_p[self.piece[plain]]
@@ -254,6 +260,8 @@ class Lattices:
         self.upto = running
 
 
+#: Steps of a path that are split at once; and the most by which ``noise``, of 52 bits, can lift a region above its log mass.
+BLOCK, HIGHEST = 512, 37.0
 GOLDEN, ONES = np.uint64(0x9E3779B97F4A7C15), (1 << 64) - 1
 
 
@@ -278,12 +286,12 @@ def noise(counters: tuple[int, ...], *more: np.ndarray) -> np.ndarray:
 def draw(lat: Lattices, keys: np.ndarray, places: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
     """One path through each part, drawn by its probability: where each part's edges start, and the edges."""
     end = lat.node_of[lat.parts] + lat.size_of[lat.parts]
-    alive, node, owner, edges = np.arange(len(end)), lat.node_of[lat.parts], [], []
+    alive, node, owner, edges = np.arange(len(end), dtype=np.int32), lat.node_of[lat.parts], [], []
     step = 0
     while len(alive):
         u = noise((sample, step), keys[alive] ^ places[alive].astype(np.uint64) * GOLDEN)
         e = lat.edge_of[node]
-        on = np.flatnonzero(lat.upto[e] < u)
+        on = np.flatnonzero(lat.upto[e] < u).astype(np.int32)
         while len(on):
             e[on] += 1
             on = on[lat.upto[e[on]] < u[on]]
@@ -297,7 +305,7 @@ def draw(lat: Lattices, keys: np.ndarray, places: np.ndarray, sample: int) -> tu
         return np.zeros(1, np.int64), np.zeros(0, np.int64)
     counts = np.bincount(np.concatenate(owner), minlength=len(end))
     starts = np.concatenate([[0], np.cumsum(counts)])
-    out = np.empty(starts[-1], np.int64)
+    out = np.empty(starts[-1], np.int32)
     for k, (o, e) in enumerate(zip(owner, edges)):
         out[starts[o] + k] = e
     return starts, out
@@ -338,19 +346,24 @@ def top_k(lat: Lattices, parts: np.ndarray, key: int, k: int, fresh) -> list[Sam
         if path is not None:
             edges = np.concatenate([path[:t], _depart(lat, parts, path[t], barred, part, key, n), edges[starts[part + 1] :]])
         given = lat.log_p[edges]
-        upto = np.cumsum(given)
-        found.append(Sample(edges, float(upto[-1]), bound))
+        found.append(Sample(edges, float(given.sum()), bound))
         # the rest of the region: paths that share these edges up to some step from t on and differ there
-        left = -np.expm1(given[t:])
-        if barred:
-            left[0] -= np.exp(lat.log_p[list(barred)]).sum()
-        open_ = np.flatnonzero(left > 1e-12)  # else it is the only way on
-        if not len(open_):
-            continue
-        mass = np.log(left[open_]) + upto[t + open_] - given[t + open_]
-        g = below(mass, bound, noise((key, (1 << 20) + 1 + n), open_ + t))
-        for i in np.argsort(-g, kind="stable")[: k + 1 - n].tolist():  # others cannot come out
-            step = t + int(open_[i])
+        wanted, shared, at, g, open_ = k + 1 - n, float(given[:t].sum()), t, np.zeros(0), np.zeros(0, np.int64)
+        while at < len(given):
+            part_of = given[at : at + BLOCK]
+            before = shared + np.cumsum(part_of) - part_of
+            left = -np.expm1(part_of)
+            if barred and at == t:
+                left[0] -= np.exp(lat.log_p[list(barred)]).sum()
+            free = np.flatnonzero(left > 1e-12)  # else it is the only way on
+            mass = np.log(left[free]) + before[free]
+            g = np.concatenate([g, below(mass, bound, noise((key, (1 << 20) + 1 + n), free + at))])
+            open_ = np.concatenate([open_, free + at])
+            shared, at = float(before[-1] + part_of[-1]), at + BLOCK
+            if len(g) >= wanted and shared + HIGHEST < np.partition(g, -wanted)[-wanted]:
+                break  # no later region can have a larger bound
+        for i in np.argsort(-g, kind="stable")[:wanted].tolist():  # others cannot come out
+            step = int(open_[i])
             also = barred if step == t else frozenset()
             within = int(np.searchsorted(up_to_part, int(lat.step[edges[:step]].sum()), side="right"))
             heapq.heappush(queue, (-float(g[i]), serial, edges, step, also | {int(edges[step])}, within))
