@@ -46,7 +46,7 @@ OFFSET = 10.0
 #: Log-probability of each byte of a character that has no piece, below that of the rarest piece.
 BYTE_PENALTY = 2.0
 #: Characters of text that are drawn together, about.
-CHARS = 1_500_000
+CHARS = 300_000
 
 
 @dataclass(frozen=True)
