@@ -146,7 +146,8 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     tables = F.array(*[F.struct(F.lit(v).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for v, m in enumerate(masks(radius))])
     entries = nodes.select("fp", F.explode(tables).alias("e")).select("fp", "e.t", "e.key")
     shared = entries.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = entries.join(shared, ["t", "key"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    # both sides are dealt by bucket anyway; a broadcast of the shared buckets would grow with the data
+    members = entries.join(shared.hint("merge"), ["t", "key"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     # each pair of different blocks is one group, which holds the pairs within either block too
     block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     members = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
