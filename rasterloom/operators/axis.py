@@ -56,7 +56,7 @@ def halved(spark: SparkSession, n: int) -> DataFrame:
 
 def doubled(spark: SparkSession, n: int) -> DataFrame:
     """One pyramid step up, to n places: values on even places, twice the kernel."""
-    return taps(spark, n, BINOMIAL).filter("src % 2 = 0").select(F.expr("cast(src div 2 as int)").alias("src"), "out", (F.col("w") * 2).alias("w"))
+    return taps(spark, n, BINOMIAL).filter("src % 2 = 0").select(F.expr("cast(src div 2 as int)").alias("src"), "out", (F.col("w") * (2 if n > 1 else 1)).alias("w"))
 
 
 def binned(spark: SparkSession, n: int, m: int) -> DataFrame:

@@ -98,19 +98,21 @@ def collapsed(levels: DataFrame, keys: list[str], value: str, h: int, w: int, n:
 def multiband(rows: DataFrame, keys: list[str], value: str, h: int, w: int, levels: int) -> DataFrame:
     """rows: frames with ``weight``, ``mask``, ``confidence`` and ``edge``.  Blended by level, then collapsed: ``value`` and ``coverage``.
 
-    The weights of coarser levels are sampled from level 0, every 2**level
-    places, and are hard where the choice is protected.
+    The weights of coarser levels are those of the level below, smoothed and
+    halved, and hard where the choice, sampled every 2**level places, is protected.
     """
     own = [*keys, "frame"]
     rows = held(rows, "weights")
     bands = pyramid(rows, own, value, h, w, levels)
     p = protection()
-    weights = None
-    for k in range(levels + 1):
-        at = rows.filter(f"y % {1 << k} = 0 and x % {1 << k} = 0")
-        weight = F.col("weight") if k == 0 else F.col("weight") * (1 - p) + F.col("mask") * p
-        part = at.select(*own, F.lit(k).alias("level"), F.expr(f"cast(y div {1 << k} as int)").alias("y"), F.expr(f"cast(x div {1 << k} as int)").alias("x"), weight.alias("weight"))
-        weights = part if weights is None else weights.unionByName(part)
+    weights, size = rows.select(*own, F.lit(0).alias("level"), "y", "x", "weight"), (h, w)
+    now = rows.select(*own, "y", "x", "weight")
+    for k in range(1, levels + 1):
+        now, size = held(down(now, own, "weight", *size), "weights"), ((size[0] + 1) // 2, (size[1] + 1) // 2)
+        step = 1 << k
+        at = rows.filter(f"y % {step} = 0 and x % {step} = 0").select(*own, F.expr(f"cast(y div {step} as int)").alias("y"), F.expr(f"cast(x div {step} as int)").alias("x"), p.alias("p"), "mask")
+        weight = F.col("weight") * (1 - F.col("p")) + F.col("mask") * F.col("p")
+        weights = weights.unionByName(now.join(at, [*own, "y", "x"]).select(*own, F.lit(k).alias("level"), "y", "x", weight.alias("weight")))
     sums = bands.join(weights, [*own, "level", "y", "x"]).groupBy(*keys, "level", "y", "x").agg(F.sum("weight").alias("wsum"), F.sum(F.col("weight") * F.col(value)).alias("wvsum"))
     sums = held(sums, "bands")
     means = sums.select(*keys, "level", "y", "x", (F.col("wvsum") / F.greatest("wsum", F.lit(FLOOR))).alias(value))

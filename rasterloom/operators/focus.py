@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.operators import axis
+from rasterloom.sources.scratch import held
 
 SOBEL = {"gx": axis.outer(axis.BELL, axis.RISE), "gy": axis.outer(axis.RISE, axis.BELL)}
 LAPLACE = {"lap": {(0, 0): -4.0, (0, 1): 1.0, (0, -1): 1.0, (1, 0): 1.0, (-1, 0): 1.0}}
@@ -65,34 +69,39 @@ def contrast(df: DataFrame, keys: list[str], value: Column, h: int, w: int, radi
     return rows.select(*keys, "y", "x", "variance", "noise", (F.col("variance") / (F.col("variance") + 2 * F.col("noise") + 1024)).alias("contrast"))
 
 
+def bell(support: int, sigma: float) -> dict[int, float]:
+    """A Gaussian's taps up to ``support``."""
+    raw = {d: math.exp(-(d * d) / (2 * sigma * sigma)) for d in range(-support, support + 1)}
+    return {d: v / sum(raw.values()) for d, v in raw.items()}
+
+
+def reach(support: int, radius: int) -> int:
+    """The radius over which a scale's evidence is gathered."""
+    return radius if support == 1 else 2 * radius
+
+
 def noise_gain(support: int, sigma: float) -> float:
     """What white noise of variance 1 adds to the squared gradient behind a smoothing of this support."""
-    import numpy as np
-
-    d = np.arange(-support, support + 1)
-    g = np.exp(-(d**2) / (2 * sigma**2))
-    g /= g.sum()
+    g = list(bell(support, sigma).values())
     return float(2 * (np.convolve(g, [-1, 0, 1]) ** 2).sum() * (np.convolve(g, [1, 2, 1]) ** 2).sum())
 
 
 def photographic_score(df: DataFrame, keys: list[str], value: Column, h: int, w: int, radius: int = 3, best: bool = False) -> DataFrame:
-    """Band-wise gradient energy less what noise explains, with a Laplacian bonus, times contrast."""
-    spark = df.sparkSession
-    base = contrast(df, keys, value, h, w, radius)
-    noise = smooth(base, keys, F.col("noise"), "noise_s", h, w, radius)
-    total, parts = F.lit(0.0), base.join(noise, [*keys, "y", "x"])
+    """For each scale: gradient energy less what noise explains, with a Laplacian bonus; their weighted sum times contrast."""
+    place = [*keys, "y", "x"]
+    parts = held(contrast(df, keys, value, h, w, radius), "contrast")
+    total = F.lit(0.0)
+    for r in (radius, 2 * radius):
+        parts = parts.join(smooth(parts, keys, F.col("noise"), f"noise{r}", h, w, r), place)
     for k, (support, sigma, weight) in enumerate(SCALES if best else SCALES[:2]):
-        import math
-
-        raw = {d: math.exp(-(d * d) / (2 * sigma * sigma)) for d in range(-support, support + 1)}
-        kernel = {d: v / sum(raw.values()) for d, v in raw.items()}
-        soft = axis.filtered(df, keys, value, "v", h, w, kernel, kernel)
-        e = smooth(energy(soft, keys, F.col("v"), h, w), keys, F.col("energy"), f"e{k}", h, w, radius if k == 0 else 2 * radius)
-        parts = parts.join(e, [*keys, "y", "x"])
-        total = total + weight * F.greatest(F.col(f"e{k}") - 1.5 * noise_gain(support, sigma) * F.col("noise_s"), F.lit(0.0))
-    lap = axis.several(df, keys, value, h, w, LAPLACE)
-    parts = parts.join(lap, [*keys, "y", "x"])
-    total = total + 0.2 * F.greatest(F.col("lap") ** 2 - 0.5 * F.col("noise"), F.lit(0.0))
+        wide = reach(support, radius)
+        kernel = bell(support, sigma)
+        soft = held(axis.filtered(df, keys, value, "v", h, w, kernel, kernel), "scale")
+        e = smooth(energy(soft, keys, F.col("v"), h, w), keys, F.col("energy"), f"e{k}", h, w, wide)
+        lap = smooth(axis.several(soft, keys, F.col("v"), h, w, LAPLACE), keys, F.col("lap") ** 2, f"lap{k}", h, w, wide)
+        parts = parts.join(e, place).join(lap, place)
+        gain = F.greatest(F.col(f"e{k}") - 1.5 * noise_gain(support, sigma) * F.col(f"noise{wide}"), F.lit(0.0))
+        total = total + weight * (gain + 0.2 * F.greatest(F.col(f"lap{k}") - 0.5 * F.col("noise"), F.lit(0.0)))
     return parts.select(*keys, "y", "x", (total * F.col("contrast")).alias("score"))
 
 

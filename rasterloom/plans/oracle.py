@@ -68,8 +68,11 @@ PLANES = {
       JOIN small s ON s.stack = o.stack AND s.frame = o.frame AND 2 * s.y = {mirrored('o.y + a.d')} AND 2 * s.x = {mirrored('o.x + b.d')} GROUP BY o.stack, o.frame, o.y, o.x""",
     "lap0": "SELECT e.stack, e.frame, e.y, e.x, e.v - b.v AS v FROM emb e JOIN back b ON b.stack = e.stack AND b.frame = e.frame AND b.y = e.y AND b.x = e.x",
     "level0": "SELECT w.stack, w.y, w.x, sum(w.weight) AS wsum, sum(w.weight * l.v) AS wvsum FROM w2 w JOIN lap0 l ON l.stack = w.stack AND l.frame = w.frame AND l.y = w.y AND l.x = w.x GROUP BY w.stack, w.y, w.x",
-    "level1": """SELECT w.stack, w.y // 2 AS y, w.x // 2 AS x, sum(w.weight * (1 - w.p) + w.mask * w.p) AS wsum, sum((w.weight * (1 - w.p) + w.mask * w.p) * s.v) AS wvsum
-      FROM w2 w JOIN small s ON s.stack = w.stack AND s.frame = w.frame AND s.y = w.y // 2 AND s.x = w.x // 2 WHERE w.y % 2 = 0 AND w.x % 2 = 0 GROUP BY w.stack, w.y // 2, w.x // 2""",
+    "halved": f"""SELECT o.stack, o.frame, o.y // 2 AS y, o.x // 2 AS x, max(o.p) AS p, max(o.mask) AS mask, sum(CAST(a.w AS DOUBLE) * CAST(b.w AS DOUBLE) * q.weight) AS weight
+      FROM (SELECT * FROM w2 WHERE y % 2 = 0 AND x % 2 = 0) o CROSS JOIN taps5 a CROSS JOIN taps5 b
+      JOIN w2 q ON q.stack = o.stack AND q.frame = o.frame AND q.y = {mirrored('o.y + a.d')} AND q.x = {mirrored('o.x + b.d')} GROUP BY o.stack, o.frame, o.y, o.x""",
+    "level1": """SELECT w.stack, w.y, w.x, sum(w.weight * (1 - w.p) + w.mask * w.p) AS wsum, sum((w.weight * (1 - w.p) + w.mask * w.p) * s.v) AS wvsum
+      FROM halved w JOIN small s ON s.stack = w.stack AND s.frame = w.frame AND s.y = w.y AND s.x = w.x GROUP BY w.stack, w.y, w.x""",
     "mb": f"""SELECT o.stack, o.y, o.x, max(o.wvsum / greatest(o.wsum, 1e-8)) + sum(4 * CAST(a.w AS DOUBLE) * CAST(b.w AS DOUBLE) * l.wvsum / greatest(l.wsum, 1e-8)) AS v, max(o.wsum) > 1e-8 AS covered FROM level0 o CROSS JOIN taps5 a CROSS JOIN taps5 b
       JOIN level1 l ON l.stack = o.stack AND 2 * l.y = {mirrored('o.y + a.d')} AND 2 * l.x = {mirrored('o.x + b.d')} GROUP BY o.stack, o.y, o.x""",
     "vec": "SELECT label AS stack, vec_id AS frame, embedding FROM embeddings",
