@@ -1,0 +1,115 @@
+"""Stacks of files: discovery, headers read in tasks, frames made readable row by row."""
+
+from __future__ import annotations
+
+import os
+import pickle
+from collections.abc import Iterator, Sequence
+from dataclasses import replace
+from pathlib import Path
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rasterloom.sources import tiff
+from rasterloom.sources.tiff import Header, Refused
+
+MOST_FRAMES = 65535
+SUFFIXES = {".tif", ".tiff"}
+
+
+def discovered(inputs: Sequence[str | Path]) -> list[str]:
+    """Files as given, folders in the order of their names; each path once, at its first place."""
+    found: dict[str, None] = {}
+    for given in inputs:
+        path = Path(given).expanduser().resolve()
+        files = sorted(p for p in path.iterdir() if p.is_file()) if path.is_dir() else [path]
+        for p in files:
+            if p.suffix.lower() in SUFFIXES and p.is_file():
+                found[str(p)] = None
+            elif not path.is_dir():
+                raise Refused(f"{p}: no TIFF file")
+    if not found:
+        raise Refused("no TIFF files among the inputs")
+    if len(found) > MOST_FRAMES:
+        raise Refused(f"more than {MOST_FRAMES} frames")
+    return list(found)
+
+
+def listed(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table with a row for each task."""
+    return spark.createDataFrame(rows, schema).repartitionByRange(max(1, len(rows)), "frame") if len(rows) > 1 else spark.createDataFrame(rows, schema).coalesce(1)
+
+
+def headers(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """A row for each path: ``frame``, ``path``, size, depth, orientation and profile as shown, ``header`` (pickled) or the ``reason`` of a refusal."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("frame", pa.int32()), ("path", pa.string()), ("h", pa.int32()), ("w", pa.int32()), ("depth", pa.int32()), ("orientation", pa.int32()), ("icc", pa.binary()), ("header", pa.binary()), ("reason", pa.string())])
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                try:
+                    head = tiff.header(r["path"])
+                    rows.append({**r, "h": head.shown[0], "w": head.shown[1], "depth": head.depth, "orientation": head.orientation, "icc": head.meta.get("icc"), "header": pickle.dumps(head), "reason": None})
+                except Refused as e:
+                    rows.append({**r, "reason": str(e)})
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    tasks = min(len(paths), 4 * spark.sparkContext.defaultParallelism)
+    rows = spark.createDataFrame(list(enumerate(paths)), "frame int, path string").repartition(tasks)
+    return rows.mapInArrow(run, "frame int, path string, h int, w int, depth int, orientation int, icc binary, header binary, reason string")
+
+
+def pixels(spark: SparkSession, heads: list[Header]) -> DataFrame:
+    """The relational form: ``frame``, ``y``, ``x``, ``r``, ``g``, ``b``, of 16 bits; a task for each band of segments."""
+    bands = [(k, y, min(y + step, head.shown[0])) for k, head in enumerate(heads) for step in [max(head.seg_h, (1 << 20) // max(head.w, 1) or 1)] for y in range(0, head.shown[0], step)]
+    schema = pa.schema([(n, pa.int32()) for n in ("frame", "y", "x", "r", "g", "b")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                head = heads[r["frame"]]
+                w = head.shown[1]
+                for y in range(r["y0"], r["y1"], 64):
+                    a = tiff.window(head, y, min(y + 64, r["y1"]), 0, w).astype(np.int32)
+                    n = a.shape[0] * w
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.full(n, r["frame"], np.int32), np.repeat(np.arange(y, y + a.shape[0], dtype=np.int32), w), np.tile(np.arange(w, dtype=np.int32), a.shape[0]), *a.reshape(-1, 3).T)], schema=schema)
+
+    rows = spark.createDataFrame(bands, "frame int, y0 int, y1 int").repartition(len(bands))
+    return rows.mapInArrow(run, "frame int, y int, x int, r int, g int, b int")
+
+
+def readable(spark: SparkSession, heads: list[Header], folder: str) -> list[Header]:
+    """Frames whose rows cannot be read where they lie, decoded once into plain files of the shared ``folder``; a task for each frame.
+
+    A task writes beside its place and then renames, so one that is run again does no harm.
+    """
+    todo = [k for k, head in enumerate(heads) if not head.plain]
+    if not todo:
+        return heads
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                head, place = heads[k], f"{folder}/{k}.raw"
+                kind = np.dtype(f"<u{head.depth // 8}")
+                own = f"{place}.{os.getpid()}.{os.urandom(4).hex()}"
+                try:
+                    with open(own, "wb") as out:
+                        for y in range(0, head.h, head.seg_h):
+                            out.write(tiff.stored_window(head, y, min(y + head.seg_h, head.h), 0, head.w).astype(kind).tobytes())
+                    os.replace(own, place)
+                finally:
+                    if os.path.exists(own):
+                        os.remove(own)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32())], names=["frame"])
+
+    listed(spark, [(k,) for k in todo], "frame int").mapInArrow(run, "frame int").agg(F.count("*")).collect()
+    done = list(heads)
+    for k in todo:
+        head = heads[k]
+        done[k] = replace(head, path=f"{folder}/{k}.raw", order="<", compression=1, predictor=1, seg_h=head.h, seg_w=head.w, offsets=(0,), counts=(head.h * head.w * 3 * head.depth // 8,))
+    return done
