@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.functions import pixel
-from rasterloom.operators import axis, blend, choose, focus, geometry, match, tiles
+from rasterloom.operators import arrays, axis, blend, choose, focus, geometry, match, tiles
 from rasterloom.plans import oracle
 from rasterloom.sources import listing, rasters
 from rasterloom.sources.scratch import held
@@ -18,12 +18,15 @@ FRAME, PIXEL = ["stack", "frame"], ["stack"]
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: The SQL of queries whose answer a second query gives in another way.
+ORACLE: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[name] = f
         if sql is not None:
+            ORACLE[name] = sql
             ORACLE_SQL[name] = oracle.with_planes(sql)
         return f
 
@@ -154,7 +157,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return s.select(*FRAME, "y", "x", F.col("lap").cast("long").alias("lap"))
 
 
-@query("photographic_score", None)  # checked against the array kernel
+@query("photographic_score", None)  # tests hold it against the array kernel
 def _(spark: SparkSession, d: str) -> DataFrame:
     s = focus.photographic_score(rasters.embeddings(spark, d).filter("stack = 0"), FRAME, F.col("v"), N, N, 2)
     return s.select(*FRAME, "y", "x", r(F.col("score") / 1e6, 3).alias("score"))
@@ -538,3 +541,79 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("run_totals", "SELECT stack, count(DISTINCT frame) AS frames, CAST(sum(2 * 1) AS BIGINT) AS bytes, min(v) AS least FROM emb GROUP BY stack")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return rasters.embeddings(spark, d).groupBy("stack").agg(F.countDistinct("frame").alias("frames"), F.sum(F.lit(2)).alias("bytes"), F.min("v").alias("least"))
+
+
+def by_frame(df: DataFrame, channels: list[str], kernel: Callable, schema: str) -> DataFrame:
+    """A block kernel on each frame: it is given the channels as arrays and returns named planes."""
+    import numpy as np
+    import pandas as pd
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        shape = (rows.y.max() + 1, rows.x.max() + 1)
+        planes = {}
+        for c in channels:
+            planes[c] = np.zeros(shape, rows[c].dtype)
+            planes[c][rows.y, rows.x] = rows[c]
+        y, x = np.indices(shape)
+        made = {k: v.ravel() for k, v in kernel(**planes).items()}
+        return pd.DataFrame({"stack": rows["stack"].iloc[0], "frame": rows["frame"].iloc[0], "y": y.ravel(), "x": x.ravel(), **made})
+
+    return df.groupBy("stack", "frame").applyInPandas(run, "stack int, frame long, y int, x int, " + schema)
+
+
+@query("block_tenengrad", ORACLE["tenengrad"])
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = by_frame(rasters.embeddings(spark, d), ["v"], lambda v: {"score": arrays.standard_score(v.astype(float), 3)}, "score double")
+    return rows.withColumn("score", r(F.col("score") / 1e6, 4))
+
+
+@query("block_pyr_down", ORACLE["pyr_down"])
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return by_frame(rasters.embeddings(spark, d), ["v"], lambda v: {"v": arrays.down(v.astype(float)).repeat(2, 0).repeat(2, 1)}, "v double").filter("y % 2 = 0 and x % 2 = 0").select("stack", "frame", F.expr("cast(y div 2 as int)").alias("y"), F.expr("cast(x div 2 as int)").alias("x"), r("v", 4).alias("v"))
+
+
+@query("tiff_roundtrip", "SELECT stack, frame, y, x, r, g, b FROM rgb")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    import io
+
+    import numpy as np
+
+    from rasterloom.sources import tiff
+
+    def kernel(**planes):
+        a = np.stack([planes[c] for c in "rgb"], axis=2).astype("<u2")
+        file, (h, w) = io.BytesIO(), a.shape[:2]
+        tiff.write(file, [tiff.packed(a.tobytes(), "lzw")], h, w, "lzw", {})
+        back = tiff.window(tiff.header("a frame", file.getvalue()), 0, h, 0, w).astype(np.int32)
+        return {c: back[..., k] for k, c in enumerate("rgb")}
+
+    return by_frame(rasters.coloured(rasters.embeddings(spark, d)), ["r", "g", "b"], kernel, "r int, g int, b int")
+
+
+@query("stacked_files", None)  # a whole run: files written, fused, read back; tests hold its parts to account
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Two frames of the events' raster, each blurred in one half, and the fused result."""
+    import os
+
+    import numpy as np
+
+    from rasterloom.plans import stack
+    from rasterloom.plans.settings import Settings
+    from rasterloom.sources import frames, tiff
+
+    settings = Settings(quality="max", alignment="none", tile_size=48)
+    folder = stack.shared_folder(spark, settings)
+    rows = events_raster(spark, d).groupBy("y", "x").agg(F.sum("v").alias("v")).toPandas()  # 70 x 90 places, whatever the data's size
+    a = np.zeros((70, 90))
+    a[rows.y, rows.x] = rows.v.astype(float)
+    sharp = arrays.to_u16(arrays.smooth(np.repeat(a[..., None] * (60000 / max(a.max(), 1)), 3, 2), 3)).astype(float)
+    soft, paths = arrays.smooth(sharp, 9), []
+    for k, half in enumerate((slice(0, 45), slice(45, 90))):
+        image = soft.copy()
+        image[:, half] = sharp[:, half]
+        paths.append(os.path.join(folder, f"{k}.tif"))
+        with open(paths[-1], "wb") as f:
+            tiff.write(f, [tiff.packed(arrays.to_u16(image[y : y + 64]).astype("<u2").tobytes(), "zlib") for y in range(0, 70, 64)], 70, 90, "zlib", {})
+    out = os.path.join(folder, "fused.tif")
+    stack.stack(spark, paths, out, settings)
+    return frames.pixels(spark, [tiff.header(out)]).drop("frame")

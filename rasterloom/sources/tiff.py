@@ -3,11 +3,13 @@
 Reads classic and big files of either byte order, strips and tiles, 8 and 16
 bits, stored plainly or compressed with zlib, LZW or zstd, with or without
 horizontal differencing.  Only the segments that a window touches are read.
-Everything else is refused with a reason.  Paths are local or mounted ones.
+Everything else is refused with a reason.  A file is a local or mounted path,
+or the bytes that Spark's ``binaryFile`` source has read from anywhere.
 """
 
 from __future__ import annotations
 
+import io
 import os
 import struct
 import zlib
@@ -49,6 +51,10 @@ class Header:
     offsets: tuple[int, ...]
     counts: tuple[int, ...]
     meta: dict = field(default_factory=dict)
+    content: bytes | None = field(default=None, repr=False)
+
+    def open(self) -> BinaryIO:
+        return open(self.path, "rb") if self.content is None else io.BytesIO(self.content)
 
     @property
     def shown(self) -> tuple[int, int]:
@@ -121,10 +127,10 @@ def _meta(tags: dict[int, tuple], swap: bool) -> dict:
     return out
 
 
-def header(path: str) -> Header:
+def header(path: str, content: bytes | None = None) -> Header:
     """A file's header, checked; no pixel is read."""
     try:
-        with open(path, "rb") as f:
+        with open(path, "rb") if content is None else io.BytesIO(content) as f:
             order, t, following, size = _directory(f)
     except (struct.error, OSError, OverflowError, MemoryError) as e:
         raise Refused(f"{path}: cannot be read: {e}") from e
@@ -159,7 +165,7 @@ def header(path: str) -> Header:
     if compression == 1:
         full = [min(seg_h, h - i * seg_h) if not tiled else seg_h for i in range(-(-h // seg_h)) for _ in range(-(-w // seg_w))]
         need(all(n >= rows * seg_w * 3 * depth // 8 for n, rows in zip(counts, full)), "cut segments")
-    return Header(path, order, h, w, depth, orientation, compression, predictor, seg_h, seg_w, tuple(offsets), tuple(counts), _meta(t, orientation >= 5))
+    return Header(path, order, h, w, depth, orientation, compression, predictor, seg_h, seg_w, tuple(offsets), tuple(counts), _meta(t, orientation >= 5), content)
 
 
 def lzw_decode(data: bytes) -> bytes:
@@ -261,7 +267,7 @@ def stored_window(head: Header, y0: int, y1: int, x0: int, x1: int) -> np.ndarra
     """A window in stored places, from the segments that it touches; of plain strips only its rows."""
     kind = np.dtype(f"u{head.depth // 8}")
     out = np.empty((y1 - y0, x1 - x0, 3), kind)
-    with open(head.path, "rb") as f:
+    with head.open() as f:
         if head.plain:
             row = head.w * 3 * kind.itemsize
             for y in range(y0, y1):

@@ -22,7 +22,7 @@ def rows(frame):
     return sorted(tuple(str(round(v, 6)) if isinstance(v, float) else str(v) for v in r) for r in clean.itertuples(index=False))
 
 
-FEW = ["sobel", "gaussian_smooth", "top3_cascade", "cleanup_max", "weighted_fuse", "fuse_max", "warp_bilinear", "halo_exchange", "area_resize", "knn_ratio_match", "hash_texture"]
+FEW = ["sobel", "gaussian_smooth", "top3_cascade", "cleanup_max", "weighted_fuse", "fuse_max", "warp_bilinear", "halo_exchange", "area_resize", "knn_ratio_match", "hash_texture", "block_tenengrad", "block_pyr_down", "tiff_roundtrip"]
 
 
 @pytest.mark.parametrize("name", FEW)
@@ -35,3 +35,7 @@ def test_entry_runs(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_stacked_files(spark, sf_dir):
+    assert queries.QUERIES["stacked_files"](spark, sf_dir).count() == 70 * 90
