@@ -157,9 +157,29 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return s.select(*FRAME, "y", "x", F.col("lap").cast("long").alias("lap"))
 
 
-@query("photographic_score", None)  # tests hold it against the array kernel
+for _r in (2, 4):
+    oracle.PLANES[f"noise{_r}"] = oracle.smooth("floor_", FRAME, "noise", "v", _r)
+for _k, (_support, _sigma, _) in enumerate(focus.SCALES[:2]):
+    _bell, _wide = focus.bell(_support, _sigma), focus.reach(_support, 2)
+    oracle.PLANES[f"scale{_k}"] = oracle.conv("emb", FRAME, "v", {"v": axis.outer(_bell, _bell)})
+    oracle.PLANES[f"scale{_k}_d"] = oracle.conv(f"scale{_k}", FRAME, "v", {**focus.SOBEL, **focus.LAPLACE})
+    oracle.PLANES[f"scale{_k}_e"] = f"SELECT stack, frame, y, x, gx * gx + gy * gy AS energy, lap * lap AS bend FROM scale{_k}_d"
+    oracle.PLANES[f"energy{_k}"] = oracle.smooth(f"scale{_k}_e", FRAME, "energy", "v", _wide)
+    oracle.PLANES[f"bend{_k}"] = oracle.smooth(f"scale{_k}_e", FRAME, "bend", "v", _wide)
+
+
+def _photographic_sql() -> str:
+    parts, joins = [], "floor_ n JOIN m1 USING (stack, frame, y, x) JOIN m2s USING (stack, frame, y, x) JOIN noise2 USING (stack, frame, y, x) JOIN noise4 USING (stack, frame, y, x)"
+    for k, (support, sigma, weight) in enumerate(focus.SCALES[:2]):
+        joins += f" JOIN energy{k} USING (stack, frame, y, x) JOIN bend{k} USING (stack, frame, y, x)"
+        parts.append(f"{weight} * (greatest(energy{k}.v - {1.5 * focus.noise_gain(support, sigma)!r} * noise{focus.reach(support, 2)}.v, 0) + 0.2 * greatest(bend{k}.v - 0.5 * n.noise, 0))")
+    variance = "greatest(s - m * m, 0)"
+    return f"SELECT stack, frame, y, x, round(({' + '.join(parts)}) * {variance} / ({variance} + 2 * n.noise + 1024) / 1e6, 3) AS score FROM {joins}"
+
+
+@query("photographic_score", _photographic_sql())
 def _(spark: SparkSession, d: str) -> DataFrame:
-    s = focus.photographic_score(rasters.embeddings(spark, d).filter("stack = 0"), FRAME, F.col("v"), N, N, 2)
+    s = focus.photographic_score(rasters.embeddings(spark, d), FRAME, F.col("v"), N, N, 2)
     return s.select(*FRAME, "y", "x", r(F.col("score") / 1e6, 3).alias("score"))
 
 
