@@ -1,8 +1,8 @@
 """The raster operators on whole blocks: NumPy kernels for tasks that hold a tile.
 
 They follow the relational forms in ``focus``, ``choose`` and ``blend``; tests
-hold both against one another.  A block is float64, rows first; borders mirror
-about the first and last place.
+hold both against one another.  A block has rows first and keeps its precision
+(32 bits in whole runs); borders mirror about the first and last place.
 """
 
 from __future__ import annotations
@@ -25,13 +25,25 @@ def mirrored(n: int, reach: int) -> np.ndarray:
     return np.minimum(m, 2 * (n - 1) - m)
 
 
+def part(a: np.ndarray, dim: int, *bounds: int | None) -> np.ndarray:
+    """A slice along one axis."""
+    return a[(slice(None),) * dim + (slice(*bounds),)]
+
+
 def along(a: np.ndarray, weights: dict[int, float], dim: int) -> np.ndarray:
-    """The weighted sum of the places around each, along one axis."""
+    """The weighted sum of the places around each, along one axis; of the block's own precision."""
     n, reach = a.shape[dim], max(abs(d) for d in weights)
     wide = np.take(a, mirrored(n, reach), axis=dim) if reach else a
-    out = 0.0
+    out, term = np.zeros_like(a), np.empty_like(a)
     for d, w in weights.items():
-        out = out + w * np.take(wide, np.arange(reach + d, reach + d + n), axis=dim)
+        if d > 0 and weights.get(-d) == w:
+            continue  # added with its mirror image
+        near = part(wide, dim, reach + d, reach + d + n)
+        if d < 0 and weights.get(-d) == w:
+            np.add(near, part(wide, dim, reach - d, reach - d + n), out=term)
+            near = term
+        np.multiply(near, w, out=term)
+        out += term
     return out
 
 
@@ -45,7 +57,7 @@ def smooth(a: np.ndarray, radius: int) -> np.ndarray:
 
 
 def grey(rgb: np.ndarray) -> np.ndarray:
-    return rgb @ np.array([RED, GREEN, BLUE])
+    return rgb @ np.array([RED, GREEN, BLUE], rgb.dtype)
 
 
 def sobel(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +81,7 @@ def photographic_score(g: np.ndarray, radius: int, best: bool) -> np.ndarray:
     incoherent = 1 - ((xx - yy) ** 2 + 4 * xy**2) / np.maximum(xx + yy, 1) ** 2
     noise = 0.25 * smooth(filtered(g, axis.STEP, axis.STEP) ** 2, radius) * np.maximum(incoherent, 0)
     variance = np.maximum(smooth(g * g, radius) - smooth(g, radius) ** 2, 0)
-    total = np.zeros(g.shape)
+    total = np.zeros_like(g)
     for support, sigma, weight in focus.SCALES[: 3 if best else 2]:
         wide = focus.reach(support, radius)
         soft = filtered(g, *[focus.bell(support, sigma)] * 2)
@@ -83,13 +95,13 @@ class Best:
     """The three best scores of each pixel and their frames, as frames come by; -1 and frame 0 where there is none."""
 
     def __init__(self, shape: tuple[int, int]):
-        self.scores, self.frames = np.full((3, *shape), -1.0), np.zeros((3, *shape), np.int64)
-        self.guide = np.zeros(shape)
+        self.scores, self.frames = np.full((3, *shape), -1, np.float32), np.zeros((3, *shape), np.int32)
+        self.guide = np.zeros(shape, np.float32)
 
     def see(self, score: np.ndarray, frame: int, guide: np.ndarray) -> None:
         """A score that beats a place takes it, and what stood there goes on to the next one; ties leave the earlier frame."""
         self.guide = np.where(score > self.scores[0], guide, self.guide)
-        s, f = score, np.full(score.shape, frame)
+        s, f = score, np.full(score.shape, frame, np.int32)
         for k in range(3):
             wins = s > self.scores[k]
             self.scores[k], s = np.where(wins, s, self.scores[k]), np.where(wins, self.scores[k], s)
@@ -141,10 +153,13 @@ def up(a: np.ndarray, h: int, w: int) -> np.ndarray:
         m = a.shape[dim]
         if n == 1:
             continue
-        low = np.take(a, mirrored(m, 1)[:m], dim)
-        high = np.take(a, mirrored(m, 1)[2:] if n % 2 else np.minimum(np.arange(m) + 1, m - 1), dim)
-        pair = np.stack([low / 8 + a * 0.75 + high / 8, (a + high) / 2], axis=dim + 1)
-        a = np.take(pair.reshape(*a.shape[:dim], 2 * m, *a.shape[dim + 1 :]), np.arange(n), dim)
+        first = part(a, dim, 1, 2) if m > 1 else a
+        last = part(a, dim, m - 2, m - 1) if n % 2 else part(a, dim, m - 1, m)
+        low, high = np.concatenate([first, part(a, dim, 0, m - 1)], dim), np.concatenate([part(a, dim, 1, m), last], dim)
+        out = np.empty((*a.shape[:dim], n, *a.shape[dim + 1 :]), a.dtype)
+        part(out, dim, 0, None, 2)[...] = (low + high) * 0.125 + a * 0.75
+        part(out, dim, 1, None, 2)[...] = (part(a, dim, 0, n // 2) + part(high, dim, 0, n // 2)) * 0.5
+        a = out
     return a
 
 

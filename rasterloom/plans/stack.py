@@ -68,10 +68,10 @@ def fused(read: Read, n: int, box: Box, settings: Settings, reference: int) -> n
     sizes = [shape]
     for _ in range(settings.levels):
         sizes.append(tuple((s + 1) // 2 for s in sizes[-1]))
-    sums, totals, own = [np.zeros((*s, 3)) for s in sizes], [np.zeros(s) for s in sizes], np.zeros((*shape, 3))
+    sums, totals, own = [np.zeros((*s, 3), np.float32) for s in sizes], [np.zeros(s, np.float32) for s in sizes], np.zeros((*shape, 3), np.float32)
     for k in np.unique(label).tolist():
         rgb, valid = read(k, box)
-        mask = (label == k).astype(float)
+        mask = (label == k).astype(np.float32)
         soft = arrays.smooth(mask, settings.blend_radius)
         if guard is None:
             hard = np.clip(4 * confidence, 0, 1)
@@ -104,13 +104,14 @@ def reader(heads: Sequence[Header], matrices: Sequence[np.ndarray]) -> Read:
     def read(k: int, box: Box) -> tuple[np.ndarray, np.ndarray]:
         head, m = heads[k], matrices[k]
         if np.array_equal(m, register.IDENTITY):
-            return tiff.window(head, *box).astype(float), np.ones((box[1] - box[0], box[3] - box[2]), bool)
+            return tiff.window(head, *box).astype(np.float32), np.ones((box[1] - box[0], box[3] - box[2]), bool)
         inverse = arrays.inverted(m)
         part = arrays.region(inverse, box, head.shown)
         if part is None:
             shape = (box[1] - box[0], box[3] - box[2])
-            return np.zeros((*shape, 3)), np.zeros(shape, bool)
-        return arrays.warped(tiff.window(head, *part).astype(float), inverse, box, (part[0], part[2]), head.shown)
+            return np.zeros((*shape, 3), np.float32), np.zeros(shape, bool)
+        moved, valid = arrays.warped(tiff.window(head, *part).astype(np.float32), inverse, box, (part[0], part[2]), head.shown)
+        return moved.astype(np.float32), valid
 
     return read
 
@@ -191,6 +192,7 @@ def pieces(spark: SparkSession, heads: list[Header], matrices: list[np.ndarray],
 def strips(parts: DataFrame, h: int, w: int, compression: str) -> DataFrame:
     """Each output strip, about a megabyte, put together and packed: ``strip``, ``data``."""
     rows = tiff.strip_rows(w)
+    count = -(-h // rows)
 
     def run(table: pa.Table) -> pa.Table:
         strip = table.column("strip")[0].as_py()
@@ -200,7 +202,9 @@ def strips(parts: DataFrame, h: int, w: int, compression: str) -> DataFrame:
             a[p["y0"] - first : p["y1"] - first, p["x0"] : p["x1"]] = np.frombuffer(p["data"], "<u2").reshape(p["y1"] - p["y0"], -1, 3)
         return pa.table({"strip": pa.array([strip], pa.int32()), "data": pa.array([tiff.packed(a.tobytes(), compression)], pa.binary())})
 
-    return parts.groupBy("strip").applyInArrow(run, "strip int, data binary")
+    # tasks of about 16 strips, but as many as there are cores if there are strips enough; packing is the work, not the bytes
+    tasks = max(-(-count // 16), min(count, parts.sparkSession.sparkContext.defaultParallelism))
+    return parts.repartition(tasks, "strip").groupBy("strip").applyInArrow(run, "strip int, data binary")
 
 
 def saved(output: Path, packed: Iterable[bytes], h: int, w: int, compression: str, meta: dict) -> None:
@@ -285,8 +289,7 @@ def stack(spark: SparkSession, inputs: Sequence[str | Path], output: str | Path,
         timed("fusion")
         parts = spark.read.schema(parts.schema).parquet(place)
         done = f"file://{folder}/strips"
-        ordered = strips(parts, h, w, settings.compression).repartitionByRange(max(1, -(-h // tiff.strip_rows(w)) // 64), "strip").sortWithinPartitions("strip")
-        ordered.write.option("compression", "none").parquet(done)
+        strips(parts, h, w, settings.compression).write.option("compression", "none").parquet(done)
         rows = spark.read.schema("strip int, data binary").parquet(done).orderBy("strip").toLocalIterator()
         saved(output, (bytes(r.data) for r in rows), h, w, settings.compression, heads[reference].meta)
         timed("writing")
