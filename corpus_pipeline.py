@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import exact_dedup, mixing, quality, queries, segments, simhash
+from rasterloom.llm import exact_dedup, mixing, near, quality, queries, segments, simhash
 from rasterloom.llm.common import crc_bucket, table, written
 
 
@@ -29,8 +29,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document, by id, of each component of near copies."""
-    return simhash.keep_one(docs)
+    """The first document, by id, of each component of near copies: five-word similarity of 0.8 or more."""
+    return near.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from rasterloom.llm import chat, exact_dedup, gif, langid, licenses, mixing, quality, segments, simhash, windows
+from rasterloom.llm import chat, exact_dedup, gif, langid, licenses, mixing, near, quality, segments, simhash, windows
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the of and to in river stone light house winter garden letter signal paper mountain copper market island".split()
@@ -127,6 +127,57 @@ def test_masks_cover_and_blocks_lose_nothing(spark, monkeypatch):
     assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
 
 
+def brute_similar(rows, least=0.8):
+    """The ids that stay under exact five-word similarity."""
+    sets = []
+    for r in rows:
+        w = words(re.sub("[A-Z]", lambda m: m[0].lower(), r[1] or ""))
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root = list(range(len(rows)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) - 1e-9:
+                root[find(i)] = find(j)
+    least_id = {}
+    for i, r in enumerate(rows):
+        least_id[find(i)] = min(least_id.get(find(i), (True, 0)), key(r[0]))
+    return Counter(None if none else i for none, i in least_id.values())
+
+
+def test_similar_texts_meet_beyond_the_radius(spark, docs, rows, empty, monkeypatch):
+    rng = np.random.default_rng(11)
+    more = list(rows)
+    for i in range(60):  # copies with a few words changed, similarity 0.6 to 1
+        base = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        more.append((1000 + 2 * i, " ".join(base), "en", "src1", 0))
+        for at in rng.integers(0, 200, int(rng.integers(1, 9))):
+            base[at] = "changed"
+        more.append((1001 + 2 * i, " ".join(base), "en", "src1", 0))
+    want = brute_similar(more)
+    frame = spark.createDataFrame(more, SCHEMA).repartition(3)
+    far = [(a[1], b[1]) for a, b in zip(more[len(rows) :: 2], more[len(rows) + 1 :: 2]) if a[0] in want and b[0] not in want]
+    assert any((simhash.fingerprint(a.encode(), 5) ^ simhash.fingerprint(b.encode(), 5)).bit_count() > simhash.RADIUS for a, b in far)
+    for block in (near.BLOCK, 200):
+        monkeypatch.setattr(near, "BLOCK", block)
+        kept = near.keep_one(frame)
+        assert kept.columns == frame.columns and Counter(r.doc_id for r in kept.collect()) == want
+    assert near.keep_one(empty).count() == 0
+
+
+def test_pipeline_drops_pairs_of_similarity_0_8(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    assert Counter(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, sf_dir).collect()) == brute_similar(rows)
+
+
 # windows
 
 
