@@ -34,6 +34,7 @@ from rasterloom.llm.common import OWN, sized, without_own, written
 #: Rows in a bucket of a leaf's order, about.
 BUCKET_ROWS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
+SPACED_WORD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 
 
 @dataclass(frozen=True)
@@ -149,9 +150,22 @@ def mixed(docs: DataFrame, mix: Mix) -> DataFrame:
     return rows.withColumns({OWN + "full": full.cast("long"), OWN + "prefix": F.coalesce(taken, F.lit(0)).cast("long")})
 
 
+def _first_words(text: Column, n: Column) -> Column:
+    """The first ``n`` words of ``text``, with the white space before each."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(SPACED_WORD), F.lit(0)), F.lit(1), n.cast("int")), "")
+
+
 def drawn(docs: DataFrame, mix: Mix) -> DataFrame:
-    """The mixture itself: each chosen document once for every epoch that it is in, whole, with the columns of ``docs``."""
+    """The mixture itself: each chosen document once for every epoch that it is in, with the columns of ``docs``.
+
+    The document in which a leaf's last epoch stops is cut to its prefix there, and ``n_chars``, if there is one, follows.
+    """
     rows = mixed(docs, mix)
     times = (F.col(OWN + "full") + (F.col(OWN + "prefix") > 0).cast("long")).cast("int")
     rows = rows.withColumn(OWN + "times", times).filter(F.col(OWN + "times") > 0)
-    return without_own(rows.withColumn(OWN + "copy", F.explode(F.sequence(F.lit(1), F.col(OWN + "times")))))
+    rows = rows.withColumn(OWN + "copy", F.explode(F.sequence(F.lit(1), F.col(OWN + "times"))))
+    cut = (F.col(OWN + "copy") > F.col(OWN + "full")) & (F.col(OWN + "prefix") < F.col(OWN + "tokens"))
+    rows = rows.withColumn("text", F.when(cut, _first_words(F.col("text"), F.col(OWN + "prefix"))).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return without_own(rows)

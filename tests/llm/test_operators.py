@@ -250,6 +250,22 @@ def test_mixing(docs, rows, empty, monkeypatch):
     assert mixing.drawn(empty, mix).count() == 0
 
 
+def test_drawn_cuts_the_last_document(spark, docs):
+    mix = mixing.Mix({"lang": F.col("lang"), "source": F.col("source")}, {"lang": {"en": 1, "fr": 4}}, 0.7, 2)
+    want, texts = Counter(), {}
+    for r in mixing.mixed(docs, mix).collect():
+        want[r["__loom_lang"], r["__loom_source"]] += r["__loom_full"] * r["__loom_tokens"] + r["__loom_prefix"]
+        texts.setdefault(r.doc_id, set()).add(r.text)
+    got, cuts = Counter(), 0
+    for r in mixing.drawn(docs, mix).collect():
+        got[r.lang or "~", r.source or "~"] += len(words(r.text))
+        assert any(t.startswith(r.text) for t in texts[r.doc_id])
+        if r.text not in texts[r.doc_id]:
+            cuts += 1
+            assert r.n_chars == len(r.text)
+    assert got == +want and cuts
+
+
 # licences
 
 
