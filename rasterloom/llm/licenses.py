@@ -102,11 +102,72 @@ COPYRIGHT_LINE = r"(^|\n)[\x20\x09\x0B-\x0D#*/;-]*(copyright( \(c\)| ©)? [0-9][
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+# The values above are also those of the query's SQL, which knows ASCII separators, dated copyright lines and
+# untitled texts only.  Those below add to them; the digests differ from the SQL's only for texts that need them.
+
+#: Further pairs of equivalent words.
+MORE_EQUIVALENT = [
+    ("artefact", "artifact"),
+    ("cancelled", "canceled"),
+    ("catalogue", "catalog"),
+    ("fulfilment", "fulfillment"),
+    ("https", "http"),
+    ("labelled", "labeled"),
+    ("licencing", "licensing"),
+    ("modelled", "modeled"),
+    ("sub licensed", "sublicensed"),
+    ("sub licensing", "sublicensing"),
+    ("sublicence", "sublicense"),
+]
+
+#: A line that begins with copyright, (c) or the sign, whatever follows; but not where a sentence of a licence is wrapped before the word.
+ANY_COPYRIGHT_LINE = (
+    r"(^|\n)[\x00-\x09\x0B-\x20#*/;<\-\p{Z}\p{Cf}]*"
+    r"(copyright(?![\p{Z}\s]+(holders?|owners?|notices?|laws?|licen[cs]es?|and|or|in|interest|statement|treaty|treaties)\b)|\(c\)|©|all rights reserved)[^\n]*"
+)
+#: All punctuation, symbols, white space and controls.
+ANY_SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F\p{P}\p{S}\p{Z}\p{Cc}\p{Cf}]+"
+
+# Further texts.
+MORE_KNOWN = {
+    "BSD-3-Clause": KNOWN["BSD-2-Clause"].replace(
+        "\n\nTHIS SOFTWARE",
+        "\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE",
+    ),
+    "MIT-0": KNOWN["MIT"].replace(
+        "to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "to do so."
+    ),
+    "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+}
+#: Headings under which the whole texts are published.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "MIT-0": ["MIT No Attribution"],
+    "ISC": ["ISC License", "The ISC License"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License"],
+    "Zlib": ["zlib License", "The zlib License"],
+}
+
+
+def forms() -> list[tuple[str, str]]:
+    """Names and texts: each with and without the numbers of its clauses, under no heading and under each one."""
+    out = []
+    for name, text in (KNOWN | MORE_KNOWN).items():
+        plain = text
+        for n in "123":
+            plain = plain.replace(f"\n\n{n}. ", "\n\n")
+        for body in dict.fromkeys([text, plain]):
+            out += [(name, body), *((name, f"{title}\n\n{body}") for title in TITLES.get(name, []))]
+    return out
+
+
 def canonical(text: Column) -> Column:
     c = F.lower(F.coalesce(text, F.lit("")))
-    c = F.regexp_replace(c, COPYRIGHT_LINE, "\n")
-    c = F.concat(F.lit(" "), F.regexp_replace(c, SEPARATORS, " "), F.lit(" "))
-    for this, one in EQUIVALENT:
+    c = F.regexp_replace(c, ANY_COPYRIGHT_LINE, "\n")
+    c = F.concat(F.lit(" "), F.regexp_replace(c, ANY_SEPARATORS, " "), F.lit(" "))
+    for this, one in EQUIVALENT + MORE_EQUIVALENT:
         c = F.replace(c, F.lit(f" {this} "), F.lit(f" {one} "))
     return F.trim(c)
 
@@ -115,13 +176,12 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text).cast("binary"), 256)
 
 
-def known_digests(spark: SparkSession, known: dict[str, str]) -> DataFrame:
-    rows = spark.createDataFrame([*known.items()], "license string, known_text string")
+def known_digests(spark: SparkSession, known: dict[str, str] | None = None) -> DataFrame:
+    rows = spark.createDataFrame(forms() if known is None else [*known.items()], "license string, known_text string")
     return rows.groupBy(digest(F.col("known_text")).alias(OWN + "digest")).agg(F.min("license").alias(OWN + "license"))
 
 
 def scan(docs: DataFrame, known: dict[str, str] | None = None) -> DataFrame:
     """``docs`` with ``__loom_digest`` and ``__loom_license`` (null: not a known licence text)."""
-    known = KNOWN if known is None else known
     rows = docs.withColumn(OWN + "digest", digest(F.col("text")))
     return rows.join(F.broadcast(known_digests(docs.sparkSession, known)), OWN + "digest", "left")

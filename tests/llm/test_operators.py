@@ -278,6 +278,19 @@ def test_licenses(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_licenses_as_published(spark):
+    mit, bsd = licenses.KNOWN["MIT"], licenses.KNOWN["BSD-2-Clause"]
+    texts = [mit.replace('"Software"', "\u201cSoftware\u201d").replace('"AS IS"', "\u201cAS IS\u201d"), mit.replace(" free of", "\u00a0free of"), "\ufeff" + mit]
+    heads = ["Copyright (c) <year> <copyright holders>", "Copyright (c) Microsoft Corporation.", "Copyright: 2020 A", "\u00a9 A", "MIT License\n\nCopyright (c) 2021 A B", "The MIT License (MIT)\r\n\r\nCopyright \u00a9 A"]
+    texts += [f"{head}\n\n{mit}" for head in heads]
+    texts.append(mit.replace("OR COPYRIGHT HOLDERS", "OR\nCOPYRIGHT HOLDERS"))  # wrapped within a sentence
+    want = ["MIT"] * len(texts)
+    texts += ["BSD 3-Clause License\n\nCopyright (c) 2020, A\nAll rights reserved.\n\n" + licenses.MORE_KNOWN["BSD-3-Clause"], bsd.replace("1. ", "* ").replace("2. ", "* "), mit + " and more"]
+    want += ["BSD-3-Clause", "BSD-2-Clause", None]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert [r["__loom_license"] for r in licenses.scan(docs).orderBy("doc_id").collect()] == want
+
+
 # GIF
 
 
