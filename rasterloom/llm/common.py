@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,16 +28,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the cluster names none (local tests) a temporary folder is set.
+    Where nothing is named a temporary folder is set, but only in local mode: on
+    a cluster no folder of the driver's is seen by the executors.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loom-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current.rstrip("/")
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -53,6 +54,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discarded(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/loom/" not in folder:
+                raise ValueError(f"{folder} is not an intermediate table")
+            path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread_join(big: DataFrame, small: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
+    """``big`` joined with ``small``, both read from files, where a few keys may hold most rows of ``big``.
+
+    small: a row for each key, and in ``count`` how many rows of ``big`` have it, at least.
+    Keys with more rows than an even share of the shuffle's partitions are
+    broadcast, and their rows stay where they are; there are fewer such keys
+    than partitions, whatever the data.  The others are shuffled.
+    """
+    parts = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total, most = small.agg(F.sum(count), F.max(count)).first()
+    share = max(1, (total or 0) // parts)
+    if (most or 0) <= share:
+        return big.join(small.hint("merge"), keys, how)
+    hot = small.filter(F.col(count) > share)
+    rest = big.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return big.join(F.broadcast(hot), keys).unionByName(rest.join(small.filter(F.col(count) <= share).hint("merge"), keys, how))
+
+
 def sized(side: DataFrame, row_bytes: int) -> DataFrame:
     """``side`` (already written) with a broadcast hint if its counted rows prove it small."""
     small = side.count() * row_bytes <= BROADCAST_BYTES
@@ -62,13 +91,15 @@ def sized(side: DataFrame, row_bytes: int) -> DataFrame:
 def located(docs: DataFrame) -> DataFrame:
     """``docs`` with a locator of each row: the columns ``__loom_file`` and ``__loom_row``.
 
-    A file-backed frame has the file's path and the row's place in it.  Any
+    A file-backed frame has the file's path and the row's place in it; a frame that has a locator keeps it.  Any
     other frame is written to the shared folder first, so that the locator
     stays the same however often the rows are read again.
     """
     def place(df: DataFrame) -> DataFrame:
         return df.select("*", F.col("_metadata.file_path").alias(OWN + "file"), F.col("_metadata.row_index").alias(OWN + "row"))
 
+    if OWN + "file" in docs.columns:
+        return docs
     with contextlib.suppress(AnalysisException):
         if "_metadata" not in docs.columns:
             return place(docs)
@@ -84,12 +115,12 @@ def crc_bucket(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-
 def packed_sum(parts: DataFrame, width: int = 32) -> DataFrame:
-    """parts: rows of ``key``, ``task`` (any spread) and ``data``, packed doubles.  One row of sums for each key and remaining task.
+    """parts: rows of ``key``, ``task`` (any spread) and ``data``, packed doubles; best without a shuffle in its plan, which would run twice.
 
-    A tree: each level adds up about ``width`` of the former level's tasks, so
-    no task reads more than its share and at most ``width`` rows of a key are left.
+    A tree over the partitions that there really are: each level adds up about
+    ``width`` of the former level's tasks, so no task reads more than its share
+    and at most ``width`` rows of a key are left.
     """
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, sums = TaskContext.get().partitionId(), {}
@@ -100,7 +131,7 @@ def packed_sum(parts: DataFrame, width: int = 32) -> DataFrame:
         for key, value in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([key], pa.string()), pa.array([task], pa.int32()), pa.array([value.tobytes()], pa.binary())], names=["key", "task", "data"])
 
-    tasks = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = parts.rdd.getNumPartitions()
     while tasks > width:
         tasks = -(-tasks // width)
         parts = parts.repartition(tasks, "task").mapInArrow(add, "key string, task int, data binary")
