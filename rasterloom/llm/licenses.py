@@ -1,16 +1,18 @@
 """License scans by canonical digest.
 
 A whole text is brought to a canonical form: lower case; lines that state a
-copyright or reserve rights removed; every run of punctuation and white space
-made one space; equivalent spellings replaced by one of them.  Its SHA-256 is
-then hash-joined with the digests of known licence texts, which pass through
-the same expressions.  The known table has a handful of rows, fixed by the
-caller, so it is broadcast.
-
-Defined results: a null text is the empty text and matches nothing; a text
-that matches several known names (the same text under two names) gets the
-first in order; repeated rows each get a row; an empty table gives an empty
-result; other columns, whatever their names, are kept.
+copyright or reserve rights removed; every run of punctuation, symbols and white
+space made one space; equivalent spellings replaced by one of them.  Its SHA-256
+is then hash-joined with the digests of known licence texts: short ones pass
+through the same expressions, long ones are known by their digests alone.  The
+same look-up by line finds the notices within a text.  The known table has a few
+dozen rows, fixed by the caller, so it is broadcast.
+
+Defined results: a null text is the empty text and matches nothing; texts of any
+length are digested whole; a text that matches several known names (the same text
+under two names) gets the first in order; a notice that stands in several lines
+is named once for each; repeated rows each get a row; an empty table gives an
+empty result; other columns, whatever their names, are kept.
 """
 
 from __future__ import annotations
@@ -20,21 +22,30 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm.common import OWN
 
-# Pairs of equivalent words after the public SPDX matching guidelines.
+# Pairs of equivalent words after the public SPDX matching guidelines; replaced in this order.
 EQUIVALENT = [
     ("acknowledgement", "acknowledgment"),
     ("analogue", "analog"),
     ("authorisation", "authorization"),
     ("authorised", "authorized"),
+    ("artefact", "artifact"),
+    ("cancelled", "canceled"),
+    ("catalogue", "catalog"),
     ("copyright holder", "copyright owner"),
+    ("copyright holders", "copyright owners"),
     ("favour", "favor"),
     ("fulfil", "fulfill"),
+    ("fulfilment", "fulfillment"),
+    ("https", "http"),
     ("initialise", "initialize"),
     ("judgement", "judgment"),
+    ("labelled", "labeled"),
     ("licence", "license"),
-    ("licences", "licenses"),
     ("licenced", "licensed"),
+    ("licences", "licenses"),
+    ("licencing", "licensing"),
     ("merchantable quality", "merchantability"),
+    ("modelled", "modeled"),
     ("noncommercial", "non commercial"),
     ("organisation", "organization"),
     ("owner s", "owners"),
@@ -42,6 +53,9 @@ EQUIVALENT = [
     ("programme", "program"),
     ("recognised", "recognized"),
     ("sub license", "sublicense"),
+    ("sub licensed", "sublicensed"),
+    ("sub licensing", "sublicensing"),
+    ("sublicence", "sublicense"),
     ("utilisation", "utilization"),
     ("whilst", "while"),
     ("wilful", "willful"),
@@ -96,40 +110,15 @@ KNOWN = {
     "MIT-line": "Released under the MIT License.",
 }
 
-#: A line that states a copyright or reserves rights, up to its end.
-COPYRIGHT_LINE = r"(^|\n)[\x20\x09\x0B-\x0D#*/;-]*(copyright( \(c\)| ©)? [0-9][^\n]*|\(c\)[^\n]*|©[^\n]*|all rights reserved[^\n]*)"
-#: All of ASCII but letters and digits.
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-
-
-# The values above are also those of the query's SQL, which knows ASCII separators, dated copyright lines and
-# untitled texts only.  Those below add to them; the digests differ from the SQL's only for texts that need them.
-
-#: Further pairs of equivalent words.
-MORE_EQUIVALENT = [
-    ("artefact", "artifact"),
-    ("cancelled", "canceled"),
-    ("catalogue", "catalog"),
-    ("fulfilment", "fulfillment"),
-    ("https", "http"),
-    ("labelled", "labeled"),
-    ("licencing", "licensing"),
-    ("modelled", "modeled"),
-    ("sub licensed", "sublicensed"),
-    ("sub licensing", "sublicensing"),
-    ("sublicence", "sublicense"),
-]
-
 #: A line that begins with copyright, (c) or the sign, whatever follows; but not where a sentence of a licence is wrapped before the word.
-ANY_COPYRIGHT_LINE = (
+COPYRIGHT_LINE = (
     r"(^|\n)[\x00-\x09\x0B-\x20#*/;<\-\p{Z}\p{Cf}]*"
-    r"(copyright(?![\p{Z}\s]+(holders?|owners?|notices?|laws?|licen[cs]es?|and|or|in|interest|statement|treaty|treaties)\b)|\(c\)|©|all rights reserved)[^\n]*"
+    r"(copyright(?![\p{Z}\x09]+(holders?|owners?|notices?|laws?|licen[cs]es?|and|or|in|interest|statement|treaty|treaties)\b)|\(c\)|©|all rights reserved)[^\n]*"
 )
 #: All punctuation, symbols, white space and controls.
-ANY_SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F\p{P}\p{S}\p{Z}\p{Cc}\p{Cf}]+"
+SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F\p{P}\p{S}\p{Z}\p{Cc}\p{Cf}]+"
 
-# Further texts.
-MORE_KNOWN = {
+KNOWN |= {
     "BSD-3-Clause": KNOWN["BSD-2-Clause"].replace(
         "\n\nTHIS SOFTWARE",
         "\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE",
@@ -137,6 +126,15 @@ MORE_KNOWN = {
     "MIT-0": KNOWN["MIT"].replace(
         "to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "to do so."
     ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain.\n\n"
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\n"
+        "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the "
+        "public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\n"
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+        "IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR "
+        "OTHER DEALINGS IN THE SOFTWARE.\n\nFor more information, please refer to <https://unlicense.org>"
+    ),
     "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
 }
 #: Headings under which the whole texts are published.
@@ -151,10 +149,33 @@ TITLES = {
 }
 
 
+# Digests, under the canonical form below, of long licences as published: whole files, and where they have
+# an appendix also their terms alone, with and without the line that ends them.
+DIGESTS = {
+    "045649cdaf85384ba827242062f2f3b36409835c98d297e25177cb1faf7c2847": "Apache-2.0",
+    "108490d21e2d3edc9128233e48fabc169818d0c7c5f0bbdd58231a367d2d6c87": "Apache-2.0",
+    "6ed232a1aaf66db92997c53c056b853f2a64b9f74585489f71cbae1bb4d6d166": "Apache-2.0",
+    "db00267c8c9852becb941e7e1521e9ab56350f5ba7e3388a8c5a675b35475a8d": "CC0-1.0",
+    "7a546845f0b9175c013adbd275ab046668c2cd62fa85809f866f6d3218d6adcd": "GFDL-1.3",
+    "c9150a998ddbe45123303bf71d093beee4baf803b1eaea84b34fd41189285f1f": "GPL-2.0",
+    "f79b9e516923cc213c21d12fd8a51b4067992b2728a442e31fd53d078dd25632": "GPL-2.0",
+    "b1a13b5262988058eb24fa2ecc2451ae813514d152b9361d66a115e43a210bf9": "GPL-2.0",
+    "a32604dcaa93f4d8f3be608b8dae73ada612a157d878d7976fcd09daab0aa437": "GPL-3.0",
+    "22eb3e82400f2536b74963f211af3daaacb548fcde0fe018459b6f2b53a06f8f": "GPL-3.0",
+    "7d95968a306fd516a913cc925e63a43d0ad36b932d42d874d6093ea9fb83220c": "GPL-3.0",
+    "bd41c353168fa7258dd575b15107e47406e00e0363f0b975ba9491152352df8a": "LGPL-2.1",
+    "d07869bf5da5c86d37a7aa8ce3c2604cdd09807d9b2d8d7317e8f845e4d9ec81": "LGPL-2.1",
+    "d04fa14390eef6fc26b89914eb26811d1b31d6830f3058081a2a5885cd5df5c6": "LGPL-2.1",
+    "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be": "LGPL-3.0",
+    "f77c59051c0127d677dcce7ba0d4733294974749a7b4155250912498d92767d6": "MPL-1.1",
+    "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9": "MPL-2.0",
+}
+
+
 def forms() -> list[tuple[str, str]]:
     """Names and texts: each with and without the numbers of its clauses, under no heading and under each one."""
     out = []
-    for name, text in (KNOWN | MORE_KNOWN).items():
+    for name, text in KNOWN.items():
         plain = text
         for n in "123":
             plain = plain.replace(f"\n\n{n}. ", "\n\n")
@@ -164,12 +185,13 @@ def forms() -> list[tuple[str, str]]:
 
 
 def canonical(text: Column) -> Column:
-    c = F.lower(F.coalesce(text, F.lit("")))
-    c = F.regexp_replace(c, ANY_COPYRIGHT_LINE, "\n")
-    c = F.concat(F.lit(" "), F.regexp_replace(c, ANY_SEPARATORS, " "), F.lit(" "))
-    for this, one in EQUIVALENT + MORE_EQUIVALENT:
-        c = F.replace(c, F.lit(f" {this} "), F.lit(f" {one} "))
-    return F.trim(c)
+    c = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\r\n?", "\n")
+    c = F.regexp_replace(c, COPYRIGHT_LINE, "\n")
+    # two spaces between words: each has a space of its own on either side, so neighbours are replaced alike
+    c = F.concat(F.lit(" "), F.regexp_replace(c, SEPARATORS, "  "), F.lit(" "))
+    for this, one in EQUIVALENT:
+        c = F.replace(c, F.lit(f" {this} ".replace(" ", "  ")[1:-1]), F.lit(f" {one} ".replace(" ", "  ")[1:-1]))
+    return F.trim(F.replace(c, F.lit("  "), F.lit(" ")))
 
 
 def digest(text: Column) -> Column:
@@ -177,11 +199,21 @@ def digest(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known: dict[str, str] | None = None) -> DataFrame:
-    rows = spark.createDataFrame(forms() if known is None else [*known.items()], "license string, known_text string")
-    return rows.groupBy(digest(F.col("known_text")).alias(OWN + "digest")).agg(F.min("license").alias(OWN + "license"))
+    """known: names and texts; by default all of this module's."""
+    rows = spark.createDataFrame(forms() if known is None else [*known.items()], "license string, known_text string").select(digest(F.col("known_text")).alias(OWN + "digest"), "license")
+    if known is None and DIGESTS:
+        rows = rows.unionByName(spark.createDataFrame([(d, n) for d, n in DIGESTS.items()], f"{OWN}digest string, license string"))
+    return rows.groupBy(OWN + "digest").agg(F.min("license").alias(OWN + "license"))
 
 
 def scan(docs: DataFrame, known: dict[str, str] | None = None) -> DataFrame:
-    """``docs`` with ``__loom_digest`` and ``__loom_license`` (null: not a known licence text)."""
-    rows = docs.withColumn(OWN + "digest", digest(F.col("text")))
-    return rows.join(F.broadcast(known_digests(docs.sparkSession, known)), OWN + "digest", "left")
+    """``docs`` with ``__loom_digest``, ``__loom_license`` (null: not a known licence text) and ``__loom_notices``, the names of its lines that are, in their order."""
+    table = known_digests(docs.sparkSession, known)
+    rows = docs.withColumn(OWN + "digest", digest(F.col("text"))).join(F.broadcast(table), OWN + "digest", "left")
+    names = {r[0]: r[1] for r in table.collect()}  # as many as the caller knows texts
+    if not names:
+        return rows.withColumn(OWN + "notices", F.array().cast("array<string>"))
+    lines = F.split(F.coalesce("text", F.lit("")), r"\r\n?|\n")
+    hits = F.filter(F.transform(lines, digest), lambda d: d.isin(list(names)))
+    by_digest = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return rows.withColumn(OWN + "notices", F.transform(hits, lambda d: F.element_at(by_digest, d)))

@@ -87,22 +87,48 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return licenses.scan(docs).select("doc_id", F.col(OWN + "digest").alias("canonical_sha256"), F.col(OWN + "license").alias("license"))
+    rows = licenses.scan(docs)
+    return rows.select("doc_id", F.col(OWN + "digest").alias("canonical_sha256"), F.col(OWN + "license").alias("license"), F.array_join(OWN + "notices", ",").alias("notices"))
+
+
+# The SQL goes its own way: it drops copyright lines from a list of lines, looks words up in a map of spellings, and joins
+# digests that it works out itself.  What it shares with the operator are the known texts and digests.
+OP4_WORDS = {
+    "acknowledgement": "acknowledgment", "analogue": "analog", "authorisation": "authorization", "authorised": "authorized", "artefact": "artifact", "cancelled": "canceled", "catalogue": "catalog", "favour": "favor",
+    "fulfil": "fulfill", "fulfilment": "fulfillment", "https": "http", "initialise": "initialize", "judgement": "judgment", "labelled": "labeled", "licence": "license", "licenced": "licensed", "licences": "licenses",
+    "licencing": "licensing", "modelled": "modeled", "noncommercial": "non commercial", "organisation": "organization", "programme": "program", "recognised": "recognized", "sublicence": "sublicense",
+    "utilisation": "utilization", "whilst": "while", "wilful": "willful",
+}
+OP4_PHRASES = {
+    "copyright holder": "copyright owner", "copyright holders": "copyright owners", "merchantable quality": "merchantability", "owner s": "owners", "per cent": "percent", "sub license": "sublicense",
+    "sub licensed": "sublicensed", "sub licensing": "sublicensing",
+}
 
 
 def op4_sql() -> str:
-    def sql(text: str) -> str:
-        line = licenses.COPYRIGHT_LINE.replace("'", "''")
-        c = f"concat(' ', regexp_replace(regexp_replace(lower(coalesce({text}, '')), '{line}', chr(10), 'g'), '{licenses.SEPARATORS}', ' ', 'g'), ' ')"
-        for this, one in licenses.EQUIVALENT:
-            c = f"replace({c}, ' {this} ', ' {one} ')"
-        return f"sha256(trim({c}))"
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    start = r"^[\x00-\x09\x0B-\x20#*/;<\-\p{Z}\p{Cf}]*"
+    stays = start + r"copyright[\p{Z}\x09]+(holders?|owners?|notices?|laws?|licen[cs]es?|and|or|in|interest|statement|treaty|treaties)\b"
+    words = "MAP {" + ", ".join(f"{quoted(a)}: {quoted(b)}" for a, b in OP4_WORDS.items()) + "}"
 
-    known = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.KNOWN.items())
+    def sql(text: str) -> str:
+        lines = f"string_split(replace(replace(lower(coalesce({text}, '')), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))"
+        dropped = rf"(regexp_matches(l, '{start}(\(c\)|©|all rights reserved)') OR (regexp_matches(l, '{start}copyright') AND NOT regexp_matches(l, '{stays}')))"
+        kept = f"array_to_string(list_filter({lines}, lambda l: NOT {dropped}), chr(10))"
+        split = rf"list_filter(string_split(regexp_replace({kept}, '[\p{{P}}\p{{S}}\p{{Z}}\p{{Cc}}\p{{Cf}}]+', ' ', 'g'), ' '), lambda w: w <> '')"
+        c = f"concat(' ', array_to_string(list_transform({split}, lambda w: replace(coalesce({words}[w], w), ' ', '  ')), '  '), ' ')"
+        for a, b in OP4_PHRASES.items():
+            c = "replace({}, {}, {})".format(c, *[quoted(f" {x} ".replace(" ", "  ")[1:-1]) for x in (a, b)])
+        return f"sha256(replace(trim({c}), '  ', ' '))"
+
+    texts = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in licenses.forms())
+    digests = ", ".join(f"({quoted(d)}, {quoted(name)})" for d, name in licenses.DIGESTS.items())
     return f"""
-WITH known AS (SELECT {sql('body')} AS digest, min(name) AS license FROM (VALUES {known}) AS k(name, body) GROUP BY 1),
-d AS (SELECT doc_id, {sql('text')} AS digest FROM documents)
-SELECT doc_id, digest AS canonical_sha256, license FROM d LEFT JOIN known USING (digest)
+WITH known AS MATERIALIZED (SELECT digest, min(name) AS license FROM (SELECT {sql('body')} AS digest, name FROM (VALUES {texts}) AS k(name, body) UNION ALL SELECT * FROM (VALUES {digests}) AS m(digest, name)) GROUP BY digest),
+d AS (SELECT doc_id, {sql('text')} AS digest FROM documents),
+l AS (SELECT doc_id, unnest(string_split(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) AS line, generate_subscripts(string_split(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), 1) AS k FROM documents),
+n AS (SELECT doc_id, string_agg(license, ',' ORDER BY k) AS notices FROM (SELECT doc_id, k, {sql('line')} AS digest FROM l) JOIN known USING (digest) GROUP BY doc_id)
+SELECT d.doc_id, d.digest AS canonical_sha256, license, coalesce(notices, '') AS notices FROM d LEFT JOIN known USING (digest) LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
 
