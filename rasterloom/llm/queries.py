@@ -38,7 +38,7 @@ def documents_mix() -> mixing.Mix:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    rows = mixing.mixed(docs, documents_mix())
+    rows = mixing.mixed(docs, documents_mix(), [])
     return rows.select("doc_id", *[F.col(OWN + n).alias(n) for n in ("domain", "lang", "source")], F.col(OWN + "tokens").alias("n_tokens"), F.col(OWN + "full").alias("whole_epochs"), F.col(OWN + "prefix").alias("prefix_tokens"))
 
 
@@ -67,10 +67,10 @@ s2 AS (SELECT *, CAST(budget - coalesce(sum(cap) OVER b, 0) AS DOUBLE) / CAST(co
   FROM s1 WINDOW b AS (PARTITION BY domain, lang ORDER BY ratio, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 s3 AS (SELECT *, max(CASE WHEN ratio <= lev THEN NULL ELSE lev END) OVER (PARTITION BY domain, lang) AS rest FROM s2),
 q AS (SELECT domain, lang, source, n_tokens, n_rows, CASE WHEN ratio <= lev THEN cap ELSE least(cap, greatest(CAST(floor(rest) AS BIGINT), 0)) END AS quota FROM s3),
-h AS (SELECT t.doc_id, domain, lang, source, n, quota // n_tokens AS whole, quota % n_tokens AS rest, n_rows // 4096 + 1 AS buckets,
+h AS (SELECT t.doc_id, domain, lang, source, n, quota // n_tokens AS whole, quota % n_tokens AS rest,
     CAST('0x' || substr(md5('17:' || CAST(quota // n_tokens AS VARCHAR) || ':' || CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS h
   FROM t JOIN q USING (domain, lang, source) WHERE n > 0),
-p AS (SELECT *, sum(n) OVER (PARTITION BY domain, lang, source ORDER BY h % buckets, h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS start FROM h)
+p AS (SELECT *, sum(n) OVER (PARTITION BY domain, lang, source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS start FROM h)
 SELECT t.doc_id, t.domain, t.lang, t.source, t.n AS n_tokens, CAST(coalesce(p.whole, 0) AS BIGINT) AS whole_epochs,
   CAST(coalesce(least(p.n, greatest(0, p.rest - p.start)), 0) AS BIGINT) AS prefix_tokens
 FROM t LEFT JOIN p USING (doc_id)
