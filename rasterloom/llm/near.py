@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from rasterloom.llm import simhash
-from rasterloom.llm.common import OWN, located, sized, without_own, written
+from rasterloom.llm.common import OWN, located, sized, spread_join, without_own, written
 
 SHINGLE = 5
 ROWS, BANDS = 6, 40
@@ -111,10 +111,10 @@ def _sets(docs: DataFrame, keep: list[str]) -> DataFrame:
 def _candidates(prints: DataFrame) -> DataFrame:
     """Links a < b, the components of which are the candidate clusters."""
     entries = prints.select("node", F.explode("keys").alias("key"))
-    firsts = entries.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    bands = entries.join(firsts.hint("merge"), "key").select("a", F.col("node").alias("b"))
-    owners = written(prints.groupBy("fp").agg(F.min("node").alias("own")), "near-prints")
-    same = prints.join(owners, "fp").select(F.col("own").alias("a"), F.col("node").alias("b"))
+    firsts = written(entries.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1"), "near-keys")
+    bands = spread_join(entries, firsts, ["key"], "n").select("a", F.col("node").alias("b"))
+    owners = written(prints.groupBy("fp").agg(F.min("node").alias("own"), F.count("*").alias("n")), "near-prints")
+    same = spread_join(prints.select("fp", "node"), owners, ["fp"], "n").select(F.col("own").alias("a"), F.col("node").alias("b"))
     within = written(simhash.links(owners.select("fp")), "near-within")
     one, two = owners.select(F.col("fp").alias("a"), F.col("own").alias("x")), owners.select(F.col("fp").alias("b"), F.col("own").alias("y"))
     within = within.join(one, "a").join(two, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
@@ -201,8 +201,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     clusters = simhash.components(written(_candidates(prints), "near-candidates"))
     members = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
     members = written(prints.select("node", "size", *place).join(members, "node"), "near-members")
-    blocks = members.groupBy("root").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))
-    members = written(members.join(blocks, "root").select("node", "root", "blocks", *place), "near-blocks")
+    blocks = written(members.groupBy("root").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")), "near-roots")
+    members = written(spread_join(members, blocks, ["root"], "n").select("node", "root", "blocks", *place), "near-blocks")
 
     sets = _sets(docs.join(sized(members, 200), place), ["node", "root", "blocks"])
     sets = sets.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import OWN, located, sized, without_own, written
+from rasterloom.llm.common import OWN, discarded, located, sized, spread_join, without_own, written
 
 RADIUS = 4
 SHINGLE = 4
@@ -145,9 +145,9 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """nodes: distinct ``fp``.  Links a < b that span the components of the graph of pairs within the radius."""
     tables = F.array(*[F.struct(F.lit(v).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for v, m in enumerate(masks(radius))])
     entries = nodes.select("fp", F.explode(tables).alias("e")).select("fp", "e.t", "e.key")
-    shared = entries.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    # both sides are dealt by bucket anyway; a broadcast of the shared buckets would grow with the data
-    members = entries.join(shared.hint("merge"), ["t", "key"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    shared = written(entries.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1"), "simhash-buckets")
+    # a broadcast of all shared buckets would grow with the data
+    members = spread_join(entries, shared, ["t", "key"], "n").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     # each pair of different blocks is one group, which holds the pairs within either block too
     block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     members = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -159,23 +159,31 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges: a < b.  ``node`` and ``root``, the smallest node of its component, for every node but the roots."""
+    """edges: written, a < b.  ``node`` and ``root``, the smallest node of its component, for every node but the roots.
+
+    A node with most of the links (the middle of a large group) is joined without a shuffle of its links.
+    """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
-        both = e.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(e.select(F.col("b").alias("v"), F.col("a").alias("u"))) if large else e.select(F.col("b").alias("v"), F.col("a").alias("u"))
-        least = both.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("m"))
-        joined = both.join(least, "v")
+        back = e.select(F.col("b").alias("v"), F.col("a").alias("u"))
+        both = e.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(back) if large else back
+        least = written(both.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("m"), F.count("*").alias("n")), "simhash-least")
+        joined = spread_join(both, least, ["v"], "n")
         out = joined.filter("u > v").select(F.col("m").alias("a"), F.col("u").alias("b")) if large else joined.select(F.col("m").alias("a"), F.col("u").alias("b")).unionByName(least.select(F.col("m").alias("a"), F.col("v").alias("b")))
-        return out.filter("a < b").distinct()
+        done = written(out.filter("a < b").distinct(), "simhash-stars")
+        discarded(least)
+        return done
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    now = state(edges)
+    given, now = edges, state(edges)
     for _ in range(MAX_ROUNDS):
         if not now[0]:
             break
-        edges = written(star(star(edges, large=True), large=False), "simhash-stars")
+        half = star(edges, large=True)
+        former, edges = edges, star(half, large=False)
+        discarded(half, *([former] if former is not given else []))
         before, now = now, state(edges)
         if now == before:
             break
@@ -190,18 +198,23 @@ def rank(*more: str) -> Column:
 
 
 def classes(prints: DataFrame, radius: int = RADIUS, *more: str) -> DataFrame:
-    """prints: written rows with ``doc_id`` and ``fp``.  For each fingerprint: ``first``, the ``rank`` of its component's first row."""
-    nodes = written(prints.groupBy("fp").agg(F.min(rank(*more)).alias("own")), "simhash-nodes")
+    """prints: written rows with ``doc_id`` and ``fp``.  For each fingerprint: ``n``, its rows, and ``first``, the ``rank`` of its component's first row."""
+    nodes = written(prints.groupBy("fp").agg(F.min(rank(*more)).alias("own"), F.count("*").alias("n")), "simhash-nodes")
     roots = components(written(links(nodes.select("fp"), radius), "simhash-links"))
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "own", F.coalesce("root", "fp").alias("root"))
-    firsts = rooted.groupBy("root").agg(F.min("own").alias("first"))
-    return rooted.join(firsts, "root").select("fp", "first")
+    rooted = written(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "n", "own", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
+    firsts = written(rooted.groupBy("root").agg(F.min("own").alias("first"), F.count("*").alias("nodes")), "simhash-firsts")
+    return written(spread_join(rooted, firsts, ["root"], "nodes").select("fp", "n", "first"), "simhash-classes")
+
+
+def _classed(prints: DataFrame, radius: int, *more: str) -> DataFrame:
+    """``prints`` with ``first``; a fingerprint that most rows have is not shuffled."""
+    return spread_join(prints, classes(prints, radius, *more), ["fp"], "n")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id``, ``fp``, ``component_id``."""
     prints = written(fingerprints(docs, ["doc_id"], shingle), "simhash-prints")
-    return prints.join(classes(prints, radius), "fp").select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
+    return _classed(prints, radius).select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
@@ -209,7 +222,7 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> D
     docs = located(docs)
     place = [OWN + "file", OWN + "row"]
     prints = written(fingerprints(docs, ["doc_id", *place], shingle), "simhash-prints")
-    same = prints.join(classes(prints, radius, *place), "fp")
+    same = _classed(prints, radius, *place)
     dropped = same.filter(~((F.col(f"first.{OWN}file") == F.col(OWN + "file")) & (F.col(f"first.{OWN}row") == F.col(OWN + "row"))))
     dropped = written(dropped.select(*place), "simhash-dropped")
     return without_own(docs.join(sized(dropped, 200), place, "left_anti"))
