@@ -1,15 +1,26 @@
 """GIF as a media column: LZW coding, palettes, disposal, transparency, timed frames.
 
 ``decode`` reads GIF87a/89a: global and local palettes, graphic control
-extensions, interlaced images, any minimum code size, several images; it
-applies each frame's disposal (keep, clear to background, restore) and
-transparent index on a canvas and yields the frames with their times.
-``encode`` writes them.  ``frames`` and ``stored`` are the DataFrame forms.
-
-Defined results: a null or empty cell decodes to no frames; broken bytes give
-null frames and the reason in ``error``; a null text is stored as the empty
-text; equal texts give equal bytes; repeated rows each get a row; an empty table
-gives an empty result; other columns are kept by ``frames``.
+extensions, interlaced images, any minimum code size, several images; it draws
+each image through its palette on a canvas, under its transparent index, and
+applies its disposal (keep, clear to background, restore) afterwards.
+``encode`` writes such files.  ``timed`` is the DataFrame operator: a row for each
+frame, with its time, its canvas and the canvas's colour histogram.
+
+``store`` puts a payload into frames of ``ROWS`` rows, one byte a pixel, under a
+palette of 256 different colours.  A pixel that the canvas already shows as it
+should be is coded as transparent where that makes a run, and frames are disposed
+of in all three ways; ``stored`` draws the file again and takes the payload and
+the colour histogram from the canvases.
+
+Defined results: a null or empty cell has no frames, and so does a file that
+holds none: one row without a number; bytes that break off or break the rules
+give the frames before that place and a further row with the reason in
+``__loom_error``; a screen of more than ``MOST_PIXELS`` is not drawn; a null text is
+stored as the empty text; texts of any length are stored whole, in as many frames
+as they need; equal texts give equal bytes; ids are whole numbers or null;
+repeated rows each get a row; an empty table gives an empty result; other
+columns, whatever their names, are kept by ``timed`` and passed by by ``stored``.
 """
 
 from __future__ import annotations
@@ -25,11 +36,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from rasterloom.llm.common import OWN
+
 WIDTH = 192
 #: Rows of a stored payload in a frame; longer payloads take further frames.
-ROWS = 4096
-#: Hundredths of a second that a stored frame is shown.
-DELAY = 10
+ROWS = 64
+#: Hundredths of a second that a stored frame is shown, and how frames are disposed of in turn.
+DELAY, DISPOSALS = 10, (1, 3, 2)
+#: The byte that no UTF-8 text has, and how long a run of pixels must be to be left transparent.
+CLEAR, RUN = 255, 8
+#: Pixels of the largest screen that is drawn.
+MOST_PIXELS = 1 << 24
 #: 256 different colours: three bits of red, three of green, two of blue.
 PALETTE = np.stack([(np.arange(256) >> 5) * 36, (np.arange(256) >> 2 & 7) * 36, (np.arange(256) & 3) * 85], axis=1).astype(np.uint8)
 #: Codes have at most 12 bits.
@@ -102,57 +119,88 @@ def lzw_encode(data: bytes, bits: int = 8) -> bytes:
     return _pack(np.array(codes), width[np.minimum(place, FULL - 1)])
 
 
-def lzw_decode(data: bytes, bits: int = 8) -> bytes:
+def _codes(data: bytes, bits: int) -> list[np.ndarray]:
+    """The codes between clear codes, up to the end code or the end of the data."""
     clear, stop = 1 << bits, (1 << bits) + 1
     width, offset = _layout(bits)
-    raw = np.frombuffer(data + b"\0\0\0\0", np.uint8).astype(np.int64)
-    total = 8 * len(data)
-
-    def read(start: int, offsets: np.ndarray, widths: np.ndarray) -> np.ndarray:
-        at = start + offsets
-        fit = at + widths <= total
-        at, widths = at[fit], widths[fit]
-        b = at >> 3
-        return (raw[b] | raw[b + 1] << 8 | raw[b + 2] << 16) >> (at & 7) & ((1 << widths) - 1)
-
-    out: list[bytes] = []
-    base = [bytes([i]) for i in range(clear)] + [b"", b""]
-    table, previous, place, bit = base[:], b"", 0, 0
-    tail = np.arange(FULL) * 12
+    raw = np.frombuffer(data + b"\0\0\0\0", np.uint8).astype(np.int32)
+    words = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16
+    total, bit, out = 8 * len(data), 0, []
     while True:
-        if place < FULL:
-            codes = read(bit, offset[place:FULL] - offset[place], width[place:])
-        else:  # a full table that was not cleared
-            codes = read(bit, tail, np.full(FULL, 12))
-        if not len(codes):
-            return b"".join(out)  # no end code
-        special = np.flatnonzero((codes == clear) | (codes == stop))
-        n = int(special[0]) if len(special) else len(codes)
-        run = codes[:n].tolist()
-        if run and not previous:
-            previous = table[run[0]]
-            out.append(previous)
-            run = run[1:]
-        put, grow, free = out.append, table.append, len(table)
-        for code in run:
-            if code < free:
-                entry = table[code]
-            elif code == free and free < FULL:
-                entry = previous + previous[:1]
-            else:
-                raise ValueError("code beyond the table")
-            put(entry)
-            if free < FULL:
-                grow(previous + entry[:1])
-                free += 1
-            previous = entry
-        used = n + bool(len(special))
-        bit += int(offset[min(place + used, FULL)] - offset[min(place, FULL)]) + 12 * max(0, place + used - max(place, FULL))
-        place += used
-        if len(special):
-            if codes[n] == stop:
-                return b"".join(out)
-            table, previous, place = base[:], b"", 0
+        parts, place = [], 0
+        while True:
+            if place < FULL:
+                starts, widths = offset[place:FULL] - offset[place], width[place:]
+            else:  # a full table that was not cleared
+                starts, widths = np.arange(FULL) * 12, np.full(FULL, 12)
+            n = int(np.searchsorted(starts + widths, total - bit, side="right"))
+            at = bit + starts[:n]
+            codes = words[at >> 3] >> (at & 7) & ((1 << widths[:n]) - 1)
+            special = np.flatnonzero((codes == clear) | (codes == stop))
+            used = int(special[0]) if len(special) else n
+            parts.append(codes[:used])
+            if len(special):
+                bit += int(starts[used] + widths[used])
+                break
+            if not n:
+                return [*out, np.concatenate(parts)]
+            bit += int(starts[n - 1] + widths[n - 1])
+            place += n
+        out.append(parts[0] if len(parts) == 1 else np.concatenate(parts))
+        if codes[used] == stop:
+            return out
+
+
+def _expanded(codes: np.ndarray, bits: int, most: int) -> bytes:
+    """The bytes of the codes between two clear codes, up to the code that makes them ``most``.
+
+    The k-th code after a clear code makes an entry of itself and the first byte
+    of the next one, which stands in the output as one piece; so each code
+    copies a stretch that begins where an earlier code began, one byte longer.  Where
+    each byte comes from is followed back to a code of its own, in steps that double.
+    """
+    n = len(codes)
+    if not n:
+        return b""
+    free = (1 << bits) + 2
+    parent = codes - free
+    own = parent < 0
+    places = np.arange(n, dtype=np.int32)
+    if int((parent - places).max()) > -1 or int(parent.max()) >= FULL - free:
+        raise ValueError("code beyond the table")
+    up = np.where(own, places, parent).astype(np.int32)
+    sizes = (~own).astype(np.int32)
+    while True:
+        more = sizes[up]
+        if not more.any():
+            break
+        sizes, up = sizes + more, up[up]
+    sizes += 1
+    ends = np.cumsum(sizes, dtype=np.int64)
+    if int(ends[-1]) > most:
+        n = int(np.searchsorted(ends, most)) + 1
+        codes, parent, own, places, sizes, ends = codes[:n], parent[:n], own[:n], places[:n], sizes[:n], ends[:n]
+    starts = ends - sizes
+    back = np.where(own, 0, starts - starts[np.where(own, places, parent)])
+    source = np.arange(int(ends[-1]), dtype=np.int32) - np.repeat(back.astype(np.int32), sizes)
+    value = np.zeros(int(ends[-1]), np.uint8)
+    value[starts[own]] = codes[own]
+    while True:
+        further = source[source]
+        if np.array_equal(further, source):
+            return value[source].tobytes()
+        source = further
+
+
+def lzw_decode(data: bytes, bits: int = 8, most: int = 1 << 30) -> bytes:
+    """The bytes of a code stream, up to the code with which they are ``most``."""
+    out, held = [], 0
+    for codes in _codes(data, bits):
+        if held >= most:
+            break
+        out.append(_expanded(codes, bits, most - held))
+        held += len(out[-1])
+    return b"".join(out)
 
 
 @dataclass
@@ -167,7 +215,12 @@ class Frame:
     disposal: int = 0
     transparent: int | None = None
     time: int = 0
-    canvas: np.ndarray | None = None  # RGBA of the whole screen as shown
+    shown: np.ndarray | None = None  # the whole screen, red, green, blue and alpha in a word
+
+    @property
+    def canvas(self) -> np.ndarray:
+        """Height x width x RGBA of the whole screen as shown."""
+        return self.shown.view(np.uint8).reshape(*self.shown.shape, 4)
 
 
 def _blocks(data: bytes) -> bytes:
@@ -190,11 +243,36 @@ def _rows(height: int) -> np.ndarray:
     return np.concatenate([np.arange(a, height, b) for a, b in ((0, 8), (4, 8), (2, 4), (1, 2))])
 
 
-def decode(data: bytes, draw: bool = True) -> list[Frame]:
-    """The frames of a GIF; with ``draw``, each with the canvas that it shows."""
+class Broken(ValueError):
+    """A file that breaks off or breaks the rules; ``frames`` come before that place."""
+
+    def __init__(self, why: str, frames: list[Frame]):
+        super().__init__(why)
+        self.frames = frames
+
+
+def decode(data: bytes, most_pixels: int = MOST_PIXELS) -> list[Frame]:
+    """The frames of a GIF, drawn."""
+    frames: list[Frame] = []
+    try:
+        for f in _frames(data, most_pixels):
+            frames.append(f)
+    except (ValueError, IndexError, struct.error) as e:
+        raise Broken("cut off" if isinstance(e, (IndexError, struct.error)) else str(e), frames) from e
+    return frames
+
+
+def _words(palette: np.ndarray) -> np.ndarray:
+    """Colours as words of red, green, blue and full alpha."""
+    return np.column_stack([palette, np.full(len(palette), 255, np.uint8)]).astype(np.uint8).view("<u4")[:, 0]
+
+
+def _frames(data: bytes, most_pixels: int) -> Iterator[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
+    if width * height > most_pixels:
+        raise ValueError("screen too large")
     at = 13
 
     def colours(flags: int) -> np.ndarray | None:
@@ -202,6 +280,8 @@ def decode(data: bytes, draw: bool = True) -> list[Frame]:
         if not flags & 0x80:
             return None
         n = 2 << (flags & 7)
+        if at + 3 * n > len(data):
+            raise IndexError
         table = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3)
         at += 3 * n
         return table
@@ -216,14 +296,13 @@ def decode(data: bytes, draw: bool = True) -> list[Frame]:
         return b"".join(parts)
 
     common = colours(flags)
-    canvas = np.zeros((height, width, 4), np.uint8) if draw else None
-    frames: list[Frame] = []
+    canvas = np.zeros((height, width), "<u4")
     delay, disposal, transparent, time = 0, 0, None, 0
     while True:
         kind = data[at]
         at += 1
         if kind == 0x3B:
-            return frames
+            return
         if kind == 0x21:
             label = data[at]
             at += 1
@@ -240,11 +319,13 @@ def decode(data: bytes, draw: bool = True) -> list[Frame]:
         palette = own if own is not None else common
         if palette is None:
             raise ValueError("no palette")
+        if w * h > most_pixels:
+            raise ValueError("image too large")
         bits = data[at]
         at += 1
         if not 1 <= bits <= 8:
             raise ValueError("code size")
-        pixels = lzw_decode(sub_blocks(), bits)
+        pixels = lzw_decode(sub_blocks(), bits, w * h)
         if len(pixels) < w * h:
             raise ValueError("too few pixels")
         image = np.frombuffer(pixels, np.uint8, w * h).reshape(h, w)
@@ -252,100 +333,150 @@ def decode(data: bytes, draw: bool = True) -> list[Frame]:
             whole = np.empty_like(image)
             whole[_rows(h)] = image
             image = whole
-        frame = Frame(image, palette, left, top, delay, disposal, transparent, time)
-        if draw:
-            before = canvas.copy() if disposal == 3 else None
-            part = canvas[top : top + h, left : left + w]
-            shown = image[: part.shape[0], : part.shape[1]]
-            paint = np.ones(shown.shape, bool) if transparent is None else shown != transparent
-            if int(shown.max(initial=0)) >= len(palette):
-                raise ValueError("index beyond the palette")
-            part[paint, :3] = palette[shown[paint]]
-            part[paint, 3] = 255
-            frame.canvas = canvas.copy()
-            if disposal == 2:
-                part[:] = 0
-            elif disposal == 3:
-                canvas = before
-        frames.append(frame)
+        before = canvas.copy() if disposal == 3 else None
+        part = canvas[top : top + h, left : left + w]
+        drawn = image[: part.shape[0], : part.shape[1]]
+        if len(palette) < 256 and drawn.size and int(np.where(drawn == transparent, 0, drawn).max() if transparent is not None else drawn.max()) >= len(palette):
+            raise ValueError("index beyond the palette")
+        ink = _words(palette) if len(palette) == 256 else np.append(_words(palette), np.zeros(256 - len(palette), "<u4"))
+        if transparent is None:
+            part[:] = ink[drawn]
+        else:
+            np.copyto(part, ink[drawn], where=drawn != transparent)
+        yield Frame(image, palette, left, top, delay, disposal, transparent, time, canvas.copy())
+        if disposal == 2:
+            part[:] = 0
+        elif disposal == 3:
+            canvas = before
         time += delay
         delay, disposal, transparent = 0, 0, None
 
 
-def histogram(rgb: np.ndarray) -> np.ndarray:
-    """Counts of 64 colour classes: the two high bits of red, green and blue."""
-    v = rgb.reshape(-1, rgb.shape[-1])
-    return np.bincount((v[:, 0] >> 6) * 16 + (v[:, 1] >> 6) * 4 + (v[:, 2] >> 6), minlength=64)
+def histogram(shown: np.ndarray) -> np.ndarray:
+    """Counts of 64 colour classes (the two high bits of red, green and blue) of the words that are not clear."""
+    c = shown.reshape(-1)
+    c = c[c >> 24 > 0] if (c >> 24 == 0).any() else c
+    return np.bincount((c >> 2 & 48) | (c >> 12 & 12) | (c >> 22 & 3), minlength=64)
 
 
-def colour_counts(frame: Frame) -> np.ndarray:
-    """``histogram`` of a frame's own pixels, by way of its palette."""
-    p = frame.palette
-    of = np.bincount(frame.pixels.reshape(-1), minlength=len(p))
-    return np.bincount((p[:, 0] >> 6) * 16 + (p[:, 1] >> 6) * 4 + (p[:, 2] >> 6), of[: len(p)], 64).astype(np.int64)
+FRAME_FIELDS = [
+    ("number", T.IntegerType()), ("time", T.IntegerType()), ("delay", T.IntegerType()), ("left", T.IntegerType()), ("top", T.IntegerType()), ("width", T.IntegerType()), ("height", T.IntegerType()),
+    ("disposal", T.IntegerType()), ("transparent", T.IntegerType()), ("rgba", T.BinaryType()), ("histogram", T.ArrayType(T.LongType())), ("error", T.StringType()),
+]
 
 
-FRAMES = "frames array<struct<number:int,time:int,delay:int,left:int,top:int,width:int,height:int,disposal:int,transparent:int,rgba:binary,histogram:array<long>>>, error string"
-
-
-def frames(df: DataFrame, column: str = "media") -> DataFrame:
-    """``df`` with its timed frames, drawn on the canvas, and their colour histograms (of the pixels that are not clear)."""
-    schema = T.StructType([*df.schema.fields, *T.StructType.fromDDL(FRAMES).fields])
+def timed(df: DataFrame, column: str = "media", most_pixels: int = MOST_PIXELS) -> DataFrame:
+    """A row for each frame of each cell, with the columns of ``df``: its time, place and rules, the screen as it shows it (``__loom_rgba``) and the colours of that screen."""
+    schema = T.StructType([*df.schema.fields, *[T.StructField(OWN + n, t) for n, t in FRAME_FIELDS]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        target = to_arrow_schema(schema)
+        target = list(to_arrow_schema(schema))[-len(FRAME_FIELDS) :]
         for b in batches:
-            found, errors = [], []
-            for cell in b.column(b.schema.names.index(column)):
+            names = pa.schema([*b.schema, *target])
+
+            def rows(k: int, values: list[tuple]) -> pa.RecordBatch:
+                whole = [pa.array(v, t.type) for v, t in zip(zip(*values), target)]
+                return pa.RecordBatch.from_arrays([*[c.take(pa.array([k] * len(values))) for c in b.columns], *whole], schema=names)  # noqa: B023
+
+            for k, cell in enumerate(b.column(b.schema.names.index(column))):
+                held, number = [], 0
                 try:
-                    own = decode(cell.as_py()) if cell.is_valid and len(cell.as_py()) else []
-                    found.append([{
-                        "number": k, "time": f.time, "delay": f.delay, "left": f.left, "top": f.top, "width": f.pixels.shape[1], "height": f.pixels.shape[0], "disposal": f.disposal,
-                        "transparent": f.transparent, "rgba": f.canvas.tobytes(), "histogram": histogram(f.canvas[f.canvas[..., 3] > 0]).tolist(),
-                    } for k, f in enumerate(own)])
-                    errors.append(None)
+                    for f in _frames(cell.as_py(), most_pixels) if cell.is_valid and len(cell.as_py()) else ():
+                        held.append((number, f.time, f.delay, f.left, f.top, f.pixels.shape[1], f.pixels.shape[0], f.disposal, f.transparent, f.shown.tobytes(), histogram(f.shown).tolist(), None))
+                        number += 1
+                        if sum(len(x[9]) for x in held) > 1 << 24:  # screens leave as they come
+                            yield rows(k, held)
+                            held = []
                 except (ValueError, IndexError, struct.error) as e:
-                    found.append(None)
-                    errors.append(str(e) or "cut off")
-            extra = [pa.array(found, target.field(len(target) - 2).type), pa.array(errors, pa.string())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *extra], schema=pa.schema([*b.schema, *list(target)[-2:]]))
+                    held.append((*[None] * 11, "cut off" if isinstance(e, (IndexError, struct.error)) else str(e)))
+                    number += 1
+                if held or not number:
+                    yield rows(k, held or [(None,) * 12])
 
     return df.mapInArrow(run, schema)
 
 
+def _runs(mask: np.ndarray, least: int) -> np.ndarray:
+    """Where ``mask`` holds for ``least`` places or more on end; a flat array."""
+    edge = np.flatnonzero(np.diff(mask, prepend=False, append=False))
+    starts, ends = edge[::2], edge[1::2]
+    out = np.zeros(len(mask), bool)
+    for a, b in zip(starts[ends - starts >= least].tolist(), ends[ends - starts >= least].tolist()):
+        out[a:b] = True
+    return out
+
+
 def store(payload: bytes, width: int = WIDTH) -> bytes:
-    """A payload of whole rows as palette indices of a GIF, in frames of at most ``ROWS`` rows."""
+    """A payload of whole rows, of bytes below ``CLEAR``, as palette indices of a GIF, in frames of at most ``ROWS`` rows."""
     image = np.frombuffer(payload, np.uint8).reshape(-1, width)
-    parts = [Frame(image[k : k + ROWS], PALETTE, delay=DELAY, disposal=1) for k in range(0, len(image), ROWS)]
-    return encode(parts, width, min(len(image), ROWS))
+    if len(image) <= ROWS:
+        return encode([Frame(image, PALETTE, delay=DELAY, disposal=DISPOSALS[0])], width, len(image))
+    canvas, frames = np.full((ROWS, width), -1, np.int16), []
+    for k in range(0, len(image), ROWS):
+        part, disposal = image[k : k + ROWS], DISPOSALS[len(frames) % len(DISPOSALS)]
+        same = _runs((canvas[: len(part)] == part).reshape(-1), RUN).reshape(part.shape)
+        frames.append(Frame(np.where(same, CLEAR, part).astype(np.uint8), PALETTE, delay=DELAY, disposal=disposal, transparent=CLEAR))
+        if disposal == 1:
+            canvas[: len(part)] = part
+        elif disposal == 2:
+            canvas[: len(part)] = -1
+    return encode(frames, width, ROWS)
+
+
+#: For each pair of red and green, and of blue and alpha, the bits that they give to the index of ``PALETTE``.
+_RED_GREEN = ((np.arange(1 << 16) & 255) // 36 << 5 | (np.arange(1 << 16) >> 8) // 36 << 2).astype(np.uint8)
+_BLUE = ((np.arange(1 << 16) & 255) // 85).astype(np.uint8)
+
+
+def taken_back(frames: list[Frame]) -> tuple[bytes, np.ndarray]:
+    """The payload that the canvases show, and the colour classes of all of it."""
+    payload, classes = [], np.zeros(64, np.int64)
+    for f in frames:
+        shown = np.ascontiguousarray(f.shown[f.top : f.top + f.pixels.shape[0], f.left : f.left + f.pixels.shape[1]])
+        halves = shown.view("<u2").reshape(-1, 2)
+        payload.append((_RED_GREEN[halves[:, 0]] | _BLUE[halves[:, 1]]).tobytes())
+        classes += histogram(shown)
+    return b"".join(payload), classes
 
 
 def padded(text: bytes, width: int = WIDTH) -> bytes:
     return text.ljust(max(1, -(-len(text) // width)) * width, b" ")
 
 
+#: Bytes of texts whose results a task remembers, for their copies.
+REMEMBER = 16 << 20
+
+
 def stored(docs: DataFrame, with_media: bool = True) -> DataFrame:
-    """Each text stored as a GIF and read back: ``doc_id``, the stored bytes (``media``) and what is known of either form."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, histogram array<long>, media binary"
+    """Each text stored as a GIF, drawn and read back: ``doc_id``, the stored bytes (``media``) and what is known of either form."""
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, shown_for int, histogram array<long>, media binary"
 
     def row(text: bytes) -> tuple:
         media = store(padded(text))
-        read = decode(media, draw=False)
-        back = b"".join(f.pixels.tobytes() for f in read)
-        classes = sum(colour_counts(f) for f in read)
-        feature = ",".join(map(str, classes.tolist()))
-        return len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(read), classes.tolist(), media if with_media else None
+        frames = decode(media)
+        back, classes = taken_back(frames)
+        return len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), ",".join(map(str, classes.tolist())), len(frames), frames[-1].time + frames[-1].delay, classes.tolist(), media if with_media else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
-        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "histogram", "media"]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
+        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "shown_for", "histogram", "media"]
+        known: dict[bytes, tuple] = {}
+        held = 0
         for b in batches:
             for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
-                columns = list(zip(*[row(t.as_py() or b"") for t in part.column(1).cast(pa.binary())]))
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds)]], names=names)
+                part, rows = b.slice(k, 500), []
+                for t in part.column(1).cast(pa.binary()):
+                    text = t.as_py() or b""
+                    found = known.get(text)
+                    if found is None:
+                        found = row(text)
+                        held += len(text) + len(found[-1] or b"") + 1000
+                        if held > REMEMBER:
+                            known, held = {}, len(text) + 1000
+                        known[text] = found
+                    rows.append(found)
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, t) for c, t in zip(zip(*rows), kinds)]], names=names)
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
-

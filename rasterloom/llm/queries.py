@@ -133,7 +133,7 @@ SELECT d.doc_id, d.digest AS canonical_sha256, license, coalesce(notices, '') AS
 
 
 def op5_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gif.stored(table(spark, sf_dir, "documents"), with_media=False).drop("media", "histogram")
+    return gif.stored(table(spark, sf_dir, "documents"), with_media=False).drop("media")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
