@@ -7,11 +7,15 @@ what reaches the driver has a constant size.  The ridge solution's raw scores
 are calibrated on other labelled rows by isotonic regression (pool adjacent
 violators over fixed bins of the raw score, interpolated between blocks).
 
+Statistics are computed once, into a column of their own; learning reads that
+column, and filtering reads it beside the columns of the documents.
+
 Defined results: a null text is the empty text and is scored like any other;
-rows without a label, or with a null one, are not learned from; repeated labels
-count as often as they are there; with nothing to learn from every score is
-0.5; with one class only the scores are that class; an empty table gives an
-empty result; other columns, whatever their names, are passed by.
+texts of any length are counted whole; rows without an id, without a label, or
+with a null one, are not learned from; repeated rows and labels count as often
+as they are there; equal texts have equal scores; with nothing to learn from
+every score is 0.5; with one class only the scores are that class; an empty table
+gives an empty result; other columns, whatever their names, are passed by.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import summed
+from rasterloom.llm.common import OWN, summed, written
 
 #: Random features, ridge factor (times the number of rows) and kernel width (times the square root of the statistics' number).
 FEATURES, RIDGE, KERNEL, SEED = 384, 1e-4, 0.6, 5
@@ -88,17 +92,21 @@ def statistics(text: bytes) -> list[float]:
     ]
 
 
+STATS = OWN + "stats"
+
+
 def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` and ``stats``."""
-    rows = docs.select(*keep, "text")
+    """The columns ``keep`` and ``__loom_stats``, the packed statistics of ``text``."""
+    names = [*dict.fromkeys([*keep, "text"])]
+    rows = docs.select(*names)
+    at = [names.index(k) for k in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            stats = np.array([statistics(t.as_py() or b"") for t in b.column(len(keep)).cast(pa.binary())], np.float64)
-            packed = pa.array([s.tobytes() for s in stats], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], packed], names=[*keep, "stats"])
+            packed = pa.array([np.array(statistics(t.as_py() or b""), np.float64).tobytes() for t in b.column(names.index("text")).cast(pa.binary())], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in at], packed], names=[*keep, STATS])
 
-    return rows.mapInArrow(run, rows.select(*keep).schema.add("stats", "binary"))
+    return rows.mapInArrow(run, rows.select(*keep).schema.add(STATS, "binary"))
 
 
 @dataclass(frozen=True)
@@ -127,7 +135,7 @@ def fourier(x: np.ndarray) -> np.ndarray:
 
 
 def _partition_sums(rows: DataFrame, of) -> np.ndarray | None:
-    """rows: ``stats`` and ``label``.  The sum over all batches of ``of(stats, labels)``, a flat vector."""
+    """rows: written, statistics and ``label``.  The sum over all batches of ``of(stats, labels)``, a flat vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -138,7 +146,7 @@ def _partition_sums(rows: DataFrame, of) -> np.ndarray | None:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([""], pa.string()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["key", "task", "data"])
 
-    return summed(rows.select("stats", "label").mapInArrow(run, "key string, task int, data binary")).get("")
+    return summed(rows.select(STATS, "label").mapInArrow(run, "key string, task int, data binary")).get("")
 
 
 def unpacked(column: pa.Array) -> np.ndarray:
@@ -158,7 +166,7 @@ def isotonic(value: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def train(fit: DataFrame, calibrate: DataFrame) -> Model:
-    """fit, calibrate: ``stats`` and ``label`` (0 or 1) of different rows."""
+    """fit, calibrate: statistics and ``label`` (0 or 1) of different rows, written."""
     none = Model(np.zeros(N_STATS), np.ones(N_STATS), np.zeros(FEATURES + 1), np.empty(0), np.empty(0))
     moments = _partition_sums(fit, lambda x, y: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]))
     if moments is None:
@@ -191,15 +199,19 @@ def train(fit: DataFrame, calibrate: DataFrame) -> Model:
 
 
 def labelled(stats: DataFrame, labels: DataFrame, id_bucket: Column) -> tuple[DataFrame, DataFrame]:
-    """stats: ``doc_id`` and ``stats``; labels: ``doc_id`` and ``quality``.  The rows to fit on (buckets 1 to 3) and to calibrate on (4); bucket 0 is held out."""
+    """stats: ``doc_id`` and statistics; labels: ``doc_id`` and ``quality``.  The rows to fit on (buckets 1 to 3) and to calibrate on (4); bucket 0 is held out.
+
+    The labelled rows are joined once and written: learning reads them several times.
+    """
     known = labels.filter("doc_id is not null and quality is not null").select("doc_id", F.col("quality").cast("double").alias("label"))
-    rows = stats.withColumn("bucket", id_bucket).filter("bucket > 0").join(known, "doc_id")
+    rows = stats.select("doc_id", STATS, id_bucket.alias("bucket")).filter("bucket > 0").join(known, "doc_id").select("bucket", STATS, "label")
+    rows = written(rows, "quality-labelled")
     return rows.filter("bucket < 4"), rows.filter("bucket = 4")
 
 
 def scores(stats: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns ``keep`` and ``score``."""
-    rows = stats.select(*keep, "stats")
+    rows = stats.select(*keep, STATS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -211,13 +223,17 @@ def scores(stats: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more, with the columns of ``docs``; no shuffle."""
-    at = docs.columns.index("text")
+    """The rows of ``docs`` that score ``threshold`` or more, with the columns of ``docs``; no shuffle.
+
+    Statistics that ``docs`` brings along are used, and dropped from the result.
+    """
+    rows = docs if STATS in docs.columns else with_statistics(docs, docs.columns)
+    at = rows.columns.index(STATS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                stats = np.array([statistics(t.as_py() or b"") for t in b.column(at).cast(pa.binary())], np.float64)
-                yield b.filter(pa.array(np.clip(model.score(stats), 0, 1) >= threshold))
+                yield b.filter(pa.array(np.clip(model.score(unpacked(b.column(at))), 0, 1) >= threshold)).drop_columns([STATS])
 
-    return docs.mapInArrow(run, docs.schema)
+    kept = docs.drop(STATS)
+    return rows.mapInArrow(run, kept.schema) if at == len(rows.columns) - 1 else rows.select(*kept.columns, STATS).transform(lambda df: accepted(df, model, threshold))
