@@ -7,10 +7,12 @@ likelihoods estimates the proportion of each language.  Languages enter in
 order of their proportion for as long as the likelihood, less a penalty for each
 further language, grows; the proportions are estimated anew for the set.
 
-Defined results: a null text, or one without any letter, is ``und`` with score 0
-and no languages; with no language learned every text is; ties between languages
-go to the first by name; null languages are not learned; repeated rows count as
-often as they are there; an empty table gives an empty result; other columns are
+Defined results: a null text, or one without any letter (digits, fractions and
+numerals are none), is ``und`` with score 0 and no languages; with no language
+learned every text is; texts of any length are counted whole; ids are whole
+numbers or null; ties between languages go to the first by name; null languages
+and texts are not learned; repeated rows count as often as they are there; an
+empty table gives an empty result; other columns, whatever their names, are
 passed by.
 """
 
@@ -34,11 +36,16 @@ SMOOTH = 0.5
 #: Times the logarithm of the number of trigrams: what a further language must add to the log-likelihood.
 PENALTY = 2.0
 ROUNDS, SETTLED = 25, 1e-4
-LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and some numerals that are none.
+ALMOST_LETTER = re.compile(r"[^\W\d_]")
 #: Letters stay as they are, all else of ASCII is a space.
 FOLD = np.array([c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256)], np.uint8)
 
 
+def has_letter(text: str) -> bool:
+    return any(m.group().isalpha() for m in ALMOST_LETTER.finditer(text))
+
+
 def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The bins of a text's trigrams and their counts."""
     b = FOLD[np.frombuffer(f" {text.lower()} ".encode(), np.uint8)].astype(np.uint32)
@@ -91,7 +98,7 @@ def _em(like: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, float]:
 
 def mixture(model: Languages, text: str | None) -> list[tuple[str, float]]:
     """The text's languages and their proportions, largest first; none if it has no letter."""
-    if not model.names or not text or not LETTER.search(text):
+    if not model.names or not text or not has_letter(text):
         return []
     at, counts = trigrams(text)
     like, counts = model.like[:, at], counts.astype(np.float64)
