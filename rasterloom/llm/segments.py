@@ -12,7 +12,8 @@ score is the probability that its perturbed score exceeds the first one that
 did not come out (the threshold of conditional Poisson sampling).
 
 Where no piece spans two neighbouring characters the lattice falls apart, and
-its parts (words, mostly) are independent.  The sums of each distinct part are
+its parts (words, mostly) are independent.  The sums of each distinct part (found
+by a hash, then compared character by character) are
 computed once in a batch, paths of all texts of a batch are drawn together, and
 noise comes from a counter-based hash of seed, row key, sample, part and step,
 so a row's samples depend on nothing but its key, its text and the seed.
@@ -20,25 +21,37 @@ so a row's samples depend on nothing but its key, its text and the seed.
 A model of the unigram kind gives log-probabilities.  A model of the merge kind
 has only ranks; a piece of rank r then weighs (r + ``OFFSET``) ** -1, after
 Zipf's law.  Characters without a piece become their bytes' pieces, together
-one edge.
+one edge; so does a ``▁`` in a text, which is the pieces' sign for a space.  Texts are
+taken as they are, not normalised, so that they come back as they were.  The
+model's file is shipped to the executors.
 
 Defined results: a null text is the empty text, which has one empty
 segmentation; a text with fewer than k segmentations gets all of them, the
-last with inclusion 1; a null key hashes as zero; repeated rows get equal
-samples; an empty table gives an empty result; other columns are passed by.
+last with inclusion 1; a text is one lattice, whatever its length (about 60 bytes
+of memory for each character of it, and a node for each character of its distinct
+parts); a null key hashes as zero; ids are whole numbers or null; repeated rows get
+equal samples; samples that tie come out in the order in which they were found; an
+empty table gives an empty result; other columns, whatever their names, are passed
+by ``sampled`` and kept by ``decoded``.
 """
 
 from __future__ import annotations
 
 import functools
 import heapq
+import itertools
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from rasterloom.llm.common import OWN
 
 SPACE = "▁"
 #: For models that only rank their pieces.
@@ -74,7 +87,9 @@ class Model:
     spelled_at: np.ndarray
 
 
-POINTS = 0x110000
+#: One more than there are code points: a ``▁`` of the text itself.
+LITERAL = 0x110000
+POINTS = LITERAL + 1
 
 
 def _trie(ids: dict[str, int], classes: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,9 +172,12 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.int32)
 
 
-def prepared(text: str) -> str:
-    """White space shown, with one space before a text that is not empty."""
-    return (SPACE + text.replace(" ", SPACE)) if text else ""
+def shown(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts, white space shown and one space before each that is not empty; and where each ends."""
+    points = code_points("".join([" " + t if t else "" for t in texts])).copy()
+    points[points == ord(SPACE)] = LITERAL
+    points[points == ord(" ")] = ord(SPACE)
+    return points, np.cumsum(np.fromiter((len(t) + bool(t) for t in texts), np.int64, len(texts)))
 
 
 #: For the hash that tells parts apart (fixed values).
@@ -175,8 +193,7 @@ class Lattices:
     """
 
     def __init__(self, model: Model, texts: list[str]):
-        points = code_points("".join(texts))
-        stops = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        points, stops = shown(texts)
         kinds = model.class_of[points]
         cut = np.ones(len(points) + 1, bool)
         cut[1:-1] = ~model.joined[kinds[:-1], kinds[1:]]
@@ -184,13 +201,16 @@ class Lattices:
         starts = np.flatnonzero(cut[:-1]) if len(points) else np.zeros(0, np.int64)
         self.ends = np.searchsorted(starts, stops, side="left")
         sizes = np.diff(np.append(starts, len(points)))
-        with np.errstate(over="ignore"):
-            powers = np.cumprod(np.full(int(sizes.max(initial=0)) + 1, STEP, np.uint64))
-            within = np.arange(len(points), dtype=np.int32) - np.repeat(starts.astype(np.int32), sizes)
-            mixed = (points.astype(np.uint64) + np.uint64(1)) * MIX
-            mixed ^= mixed >> np.uint64(32)
-            names = np.add.reduceat(mixed * powers[within], starts) if len(points) else np.zeros(0, np.uint64)
-        _, first, parts = np.unique(names, return_index=True, return_inverse=True)
+        within = np.arange(len(points), dtype=np.int32) - np.repeat(starts.astype(np.int32), sizes)
+        for salt in itertools.count(1):
+            with np.errstate(over="ignore"):
+                powers = np.cumprod(np.full(int(sizes.max(initial=0)) + 1, STEP, np.uint64))
+                mixed = (points.astype(np.uint64) + np.uint64(salt)) * MIX
+                mixed ^= mixed >> np.uint64(32)
+                names = np.add.reduceat(mixed * powers[within], starts) if len(points) else np.zeros(0, np.uint64)
+            _, first, parts = np.unique(names, return_index=True, return_inverse=True)
+            if np.array_equal(sizes[first][parts], sizes) and np.array_equal(points[np.repeat(starts[first][parts], sizes) + within], points):
+                break  # no two different parts share a hash
         self.parts = parts.astype(np.int32)
         # the distinct parts, one after another
         self.size_of = sizes[first].astype(np.int32)
@@ -231,7 +251,7 @@ class Lattices:
         plain = self.piece >= 0
         log_p[plain] = model.log_p[self.piece[plain]]
         odd = -self.piece[~plain] - 1
-        log_p[~plain] = model.byte_log_p * (1 + (odd >= 128) + (odd >= 2048) + (odd >= 65536))
+        log_p[~plain] = model.byte_log_p * (1 + (odd >= 128) + (odd >= 2048) + ((odd >= 65536) & (odd != LITERAL)))
         # backward sums, from the ends of all parts at once
         far = to_end[node]
         by_far = np.argsort(far.astype(np.uint16) if int(self.size_of.max(initial=0)) < 65536 else far, kind="stable")
@@ -253,9 +273,14 @@ class Lattices:
             value[a:b] = v - np.repeat(total, deg)
         self.log_p = np.empty(len(node))
         self.log_p[by_far] = value
-        running = np.cumsum(np.exp(self.log_p))
-        first = self.edge_of[:-1]
-        running -= np.repeat(running[first] - np.exp(self.log_p[first]), degree)
+        p, first = np.exp(self.log_p), self.edge_of[:-1]
+        # what the other edges of each edge's node have together, without loss where that is little; none: the only way on
+        most = p >= 0.5
+        others = np.add.reduceat(np.where(most, 0.0, p), first) if len(p) else p
+        with np.errstate(divide="ignore"):
+            self.log_rest = np.log(np.where(most, np.repeat(others, degree), 1 - p))
+        running = np.cumsum(p)
+        running -= np.repeat(running[first] - p[first], degree)
         running[self.edge_of[1:] - 1] = 2.0  # the last takes what rounding leaves
         self.upto = running
 
@@ -352,11 +377,11 @@ def top_k(lat: Lattices, parts: np.ndarray, key: int, k: int, fresh) -> list[Sam
         while at < len(given):
             part_of = given[at : at + BLOCK]
             before = shared + np.cumsum(part_of) - part_of
-            left = -np.expm1(part_of)
+            left = lat.log_rest[edges[at : at + BLOCK]]
             if barred and at == t:
-                left[0] -= np.exp(lat.log_p[list(barred)]).sum()
-            free = np.flatnonzero(left > 1e-12)  # else it is the only way on
-            mass = np.log(left[free]) + before[free]
+                left[0] = _log_rest(lat, int(edges[t]), barred)
+            free = np.flatnonzero(left > -np.inf)  # else it is the only way on
+            mass = left[free] + before[free]
             g = np.concatenate([g, below(mass, bound, noise((key, (1 << 20) + 1 + n), free + at))])
             open_ = np.concatenate([open_, free + at])
             shared, at = float(before[-1] + part_of[-1]), at + BLOCK
@@ -371,6 +396,13 @@ def top_k(lat: Lattices, parts: np.ndarray, key: int, k: int, fresh) -> list[Sam
     return found
 
 
+def _log_rest(lat: Lattices, edge: int, barred: frozenset) -> float:
+    """What the edges of an edge's node have together, without itself and those that are barred."""
+    node = int(np.searchsorted(lat.edge_of, edge, side="right")) - 1
+    free = [e for e in range(int(lat.edge_of[node]), int(lat.edge_of[node + 1])) if e != edge and e not in barred]
+    return float(np.logaddexp.reduce(lat.log_p[free])) if free else -np.inf
+
+
 def _depart(lat: Lattices, parts: np.ndarray, former: int, barred: frozenset, part: int, key: int, n: int) -> np.ndarray:
     """From the node of the edge ``former``: an edge that is not barred, then as it comes, to the end of the part."""
     node = int(np.searchsorted(lat.edge_of, former, side="right")) - 1
@@ -398,7 +430,8 @@ def piece_ids(model: Model, pieces: np.ndarray) -> np.ndarray:
     out, last = [], 0
     for i in odd.tolist():
         out.append(pieces[last:i])
-        codes = [model.byte_ids[b] for b in chr(-int(pieces[i]) - 1).encode("utf-8", "surrogatepass")]
+        point = -int(pieces[i]) - 1
+        codes = [model.byte_ids[b] for b in (SPACE if point == LITERAL else chr(point)).encode("utf-8", "surrogatepass")]
         out.append(np.array(codes if min(codes) >= 0 else [model.unknown], np.int64))
         last = i + 1
     return np.concatenate([*out, pieces[last:]])
@@ -421,7 +454,7 @@ def decode(model: Model, ids: list[int]) -> str:
 
 def sample_batch(model: Model, keys: list[int], texts: list[str], k: int) -> list[list[tuple[np.ndarray, Sample]]]:
     """For each text its samples, with their piece ids."""
-    lat = Lattices(model, [prepared(t) for t in texts])
+    lat = Lattices(model, texts)
     counts = np.diff(np.concatenate([[0], lat.ends]))
     hashed = np.repeat(np.array([x & ONES for x in keys], np.uint64), counts)
     places = np.arange(len(lat.parts)) - np.repeat(lat.ends - counts, counts)
@@ -445,6 +478,12 @@ def row_key(seed: int, *columns: Column) -> Column:
     return F.xxhash64(F.lit(seed), *columns)
 
 
+def _shipped(df: DataFrame, path: str) -> str:
+    """The name under which executors find the file at ``path``."""
+    df.sparkSession.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
 SAMPLES = "samples array<struct<ids:array<int>,log_p:double,perturbed:double,inclusion:double,exact:boolean>>"
 
 
@@ -452,9 +491,10 @@ def sampled(docs: DataFrame, model_path: str, k: int = 2, seed: int = 11, alpha:
     """For each row ``doc_id`` and ``samples``: k distinct segmentations, the largest perturbed score first; ``exact``: decoding gives the text back."""
     key = F.col("doc_id") if key is None else key
     rows = docs.select(row_key(seed, key).alias("key"), F.col("doc_id").cast("long"), "text")
+    name = _shipped(docs, model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(model_path, alpha)
+        model = load(SparkFiles.get(name), alpha)
         kind = pa.list_(pa.struct([("ids", pa.list_(pa.int32())), ("log_p", pa.float64()), ("perturbed", pa.float64()), ("inclusion", pa.float64()), ("exact", pa.bool_())]))
 
         def flush(ids: list, keys: list[int], texts: list[str]) -> pa.RecordBatch:
@@ -483,3 +523,20 @@ def sampled(docs: DataFrame, model_path: str, k: int = 2, seed: int = 11, alpha:
             yield flush(ids, keys, texts)
 
     return rows.mapInArrow(run, f"doc_id long, {SAMPLES}")
+
+
+def decoded(df: DataFrame, model_path: str, column: str = "ids") -> DataFrame:
+    """``df`` with ``__loom_text``, the text of the piece ids in ``column``; null for a null list, empty for an empty one."""
+    schema = T.StructType([*df.schema.fields, T.StructField(OWN + "text", T.StringType())])
+    at, name = df.columns.index(column), _shipped(df, model_path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = load(SparkFiles.get(name))
+        for b in batches:
+            lists = b.column(at).to_pylist()
+            ids = np.array([i for own in lists for i in own or ()], np.int64)
+            back = spell(model, ids, np.cumsum([len(own or ()) for own in lists], dtype=np.int64))
+            texts = pa.array([None if own is None else t.decode("utf-8", "replace") for own, t in zip(lists, back)], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, texts], names=[*b.schema.names, OWN + "text"])
+
+    return df.mapInArrow(run, schema)
