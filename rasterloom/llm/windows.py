@@ -12,13 +12,16 @@ by groups of documents and meets their texts in one shuffle, where the words
 covered merge into maximal removal intervals.
 
 So a window that a third of all documents share adds one competitor for each
-task to its bucket, not one for each document.  The number of buckets follows
-``spark.sql.shuffle.partitions``, which follows the input.
+task to its bucket, not one for each document.  The texts' bytes are counted
+first, and the number of buckets follows them: a bucket holds the windows of about
+``BUCKET_BYTES`` of text, and is compared in ranges of hashes of ``AT_ONCE`` windows.
 
 Defined results: a null text has no words; texts shorter than a window lose
-nothing; a null id counts as larger than all others; rows with the same id do
-not count against one another; a window that repeats only within its own
-document stays; an empty table gives an empty result; ties cannot occur.
+nothing; texts of any length are read whole; ids are whole numbers, a null id
+counts as larger than all others; rows with the same id (ties, repeated rows) do
+not count against one another, and each gets a row; a window that repeats only
+within its own document stays; an empty table gives an empty result; other
+columns, whatever their names, are passed by.
 """
 
 from __future__ import annotations
@@ -38,13 +41,13 @@ SIZE = 13
 GATHER = 3_000_000
 #: Odd multipliers of the two polynomials (fixed values).
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-#: Buckets for each shuffle partition.
-PER_PARTITION = 4
+#: Buckets for each shuffle partition; bytes of text whose windows make a bucket; windows that are compared at once.
+PER_PARTITION, BUCKET_BYTES, AT_ONCE = 4, 96 << 20, 1 << 22
 NO_ID = np.iinfo(np.int64).max
 #: Distinct words whose hashes a task remembers.
 REMEMBER = 250_000
-#: Decided pairs in a row of their own, and decided pairs that a task holds before it reports them.
-LATE, HOLD = 50_000, 1_000_000
+#: Decided pairs in a row of their own, and decided pairs that a task holds before it reports them, at least and at most.
+LATE, HOLD, HOLD_MOST = 50_000, 1_000_000, 8_000_000
 
 
 class _Words(dict):
@@ -181,12 +184,17 @@ def _answer(groups: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        hold = min(HOLD_MOST, max(HOLD, 8 * groups))
 
-        def settle(parts: list[tuple[bytes, bytes]]) -> None:
+        def settle(parts: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
             pairs = [unpack(*p) for p in parts]
-            h, d = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-            by_id = np.argsort(d, kind="stable")
-            held.append(compete(h[by_id], d[by_id])[1:])
+            ranges = -(-sum(len(h) for h, _ in pairs) // AT_ONCE)
+            for k in range(ranges):
+                own = [((h >> np.uint64(40)) % np.uint64(ranges) == k) for h, _ in pairs] if ranges > 1 else [slice(None)] * len(pairs)
+                h, d = np.concatenate([p[0][o] for p, o in zip(pairs, own)]), np.concatenate([p[1][o] for p, o in zip(pairs, own)])
+                by_id = np.argsort(d, kind="stable")
+                held.append(compete(h[by_id], d[by_id])[1:])
+                yield from flush(hold)
 
         def flush(least: int) -> Iterator[pa.RecordBatch]:
             if sum(len(h) for h, _ in held) <= least:
@@ -204,16 +212,16 @@ def _answer(groups: int):
         for b in batches:
             for bucket, kind, hashes, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
                 if bucket != at and parts:
-                    settle(parts)
+                    yield from settle(parts)
                     parts = []
                 at = bucket
                 if kind:
                     held.append(unpack(hashes.as_py(), ids.as_py()))
                 else:
                     parts.append((hashes.as_py(), ids.as_py()))
-                yield from flush(HOLD)
+                yield from flush(hold)
         if parts:
-            settle(parts)
+            yield from settle(parts)
         yield from flush(0)
 
     return run
@@ -289,9 +297,10 @@ def _shrink(groups: int):
 
 def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """For each row: ``doc_id``, ``n_words``, ``n_removed``, ``removed`` (maximal intervals of words) and ``kept`` (the text that is left)."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = parts * PER_PARTITION
     rows = docs.select(F.col("doc_id").cast("long"), "text")
+    size_of_all = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * PER_PARTITION, -(-size_of_all // BUCKET_BYTES))
+    parts = -(-n // PER_PARTITION)
     sent = rows.mapInArrow(_send(size, n), "bucket int, kind int, hashes binary, ids binary")
     told = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(n), "grp int, hashes binary, ids binary")
     texts = rows.mapInArrow(_shrink(n), "grp int, hashes binary, ids binary, doc_id long, text binary")
