@@ -1,6 +1,7 @@
 """The ten operators against brute force, on small tables with nulls, empty and long texts, ties and repeated rows."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter
@@ -70,6 +71,52 @@ def test_exact_dedup(spark, docs, rows, empty, tmp_path):
     assert exact_dedup.keep_one(spark, empty).count() == 0
 
 
+def test_exact_dedup_of_later_arrivals(spark, tmp_path):
+    first = [(1, "a b"), (2, "c"), (3, None), (4, "long  text here")]
+    second = [(5, "ab"), (6, "a  b"), (7, "d"), (8, ""), (None, "c"), (12, "c"), (9, "e"), (10, "e ")]
+    for digest in (exact_dedup.sha256, lambda c: F.substring(exact_dedup.sha256(c), 1, 0)):  # all clash
+        folder = f"file://{tmp_path}/{id(digest)}"
+        by = lambda rows: Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in rows)
+        one = exact_dedup.arrive(spark.createDataFrame(first, "doc_id long, text string"), folder, digest).collect()
+        assert by(one) == Counter([(i, i, 1, True) for i in range(1, 5)])
+        exact_dedup.stream_state(spark, folder)  # started again without arrivals: nothing changes
+        two = exact_dedup.arrive(spark.createDataFrame(second, "doc_id long, text string").repartition(4), folder, digest, files=1).collect()
+        got = by(two)
+        # the longest original, 6, takes the place of 1; 3 and 2 stay from the first arrival
+        assert got == Counter([(5, 6, 3, False), (6, 6, 3, True), (7, 7, 1, True), (8, 3, 2, False), (None, 2, 3, False), (12, 2, 3, False), (9, 10, 2, False), (10, 10, 2, True)])
+
+
+def test_exact_dedup_goes_on_after_a_stop(spark, tmp_path, docs, rows):
+    folder = f"file://{tmp_path}/state"
+    located = exact_dedup.located(docs)
+    exact_dedup.entries(located, exact_dedup.sha256).repartition(6).write.parquet(f"{folder}/entries/a")
+    written, real = [], exact_dedup.STATE_STORE
+    stream = lambda: exact_dedup.stream_state(spark, folder, 1)
+    from pyspark.errors import StreamingQueryException
+    from pyspark.sql import DataFrameWriter
+
+    save = DataFrameWriter.parquet
+
+    def fails(self, path, *a, **k):
+        if "/state/batch=" in path:
+            written.append(path)
+            if len(written) == 3:
+                raise RuntimeError("lost")
+        return save(self, path, *a, **k)
+
+    DataFrameWriter.parquet = fails
+    try:
+        with pytest.raises(StreamingQueryException):
+            stream()
+        stream()
+    finally:
+        DataFrameWriter.parquet = save
+    assert len(written) > 6 and exact_dedup.STATE_STORE is real
+    got = Counter(r.group_size for r in exact_dedup.latest_state(spark, folder).collect())
+    assert got == Counter(Counter(re.sub(r"[\x20\x09-\x0D]+", "", t or "") for _, t, *_ in rows).values())
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") != exact_dedup.STATE_STORE["spark.sql.streaming.stateStore.providerClass"]
+
+
 # SimHash
 
 
@@ -203,6 +250,19 @@ def test_repeated_windows(docs, rows, empty):
     assert windows.remove_repeats(empty).count() == 0
 
 
+def test_windows_in_ranges_of_hashes(spark, monkeypatch):
+    rng = np.random.default_rng(17)
+    texts = [(int(i), " ".join(rng.choice(WORDS[:3], int(rng.integers(0, 80)))), 1, "x") for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, hashes int, grp string").repartition(3)  # clashing columns
+    pick = lambda df: Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in df.collect())
+    want = pick(windows.remove_repeats(docs, 4))
+    few = windows._answer(7)
+    monkeypatch.setattr(windows, "AT_ONCE", 50)
+    monkeypatch.setattr(windows, "HOLD", 1)
+    monkeypatch.setattr(windows, "BUCKET_BYTES", 100)
+    assert pick(windows.remove_repeats(docs, 4)) == want and few
+
+
 def test_window_hashes_are_polynomials():
     h = np.random.default_rng(1).integers(0, 1 << 63, 40).astype(np.uint64)
     for size in (1, 2, 5, 13, 16):
@@ -228,7 +288,7 @@ def brute_share(budget, children):
 
 
 def test_mixing(docs, rows, empty, monkeypatch):
-    monkeypatch.setattr(mixing, "BUCKET_ROWS", 3)
+    monkeypatch.setattr(mixing, "FEW", 3)
     mix = mixing.Mix({"lang": F.col("lang"), "source": F.col("source")}, {"lang": {"en": 1, "fr": 4}}, 0.7, 2)
     leaves = Counter()
     for i, t, lang, source, _ in rows:
@@ -250,6 +310,64 @@ def test_mixing(docs, rows, empty, monkeypatch):
     assert mixing.drawn(empty, mix).count() == 0
 
 
+def brute_quota(leaves, mix, budget):
+    """Water-filling down the tree over usable leaves; leaves: (names, tokens)."""
+    def weight(level, name):
+        return (mix.weights.get(level) or {}).get(name, 1)
+
+    levels = list(mix.levels)
+    usable = {k: n * mix.max_epochs for k, n in leaves.items() if n and all(weight(x, v) > 0 for x, v in zip(levels, k))}
+    got = {(): min(budget, sum(usable.values()))}
+    for depth, level in enumerate(levels):
+        below = {}
+        for parent, b in got.items():
+            children = {k[depth] for k in usable if k[:depth] == parent}
+            caps = [(c, sum(n for k, n in usable.items() if k[: depth + 1] == (*parent, c)), weight(level, c)) for c in children]
+            below |= {(*parent, c): q for c, q in brute_share(b, caps).items()}
+        got = below
+    return {k: got.get(k, 0) for k in leaves}
+
+
+@pytest.mark.parametrize("few", [1, 256])
+def test_mixing_spends_what_zero_weights_leave(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "FEW", few)
+    rng = np.random.default_rng(23)
+    rows, k = [], 0
+    for a in "ABC":
+        for b in "xyz":
+            for c in "123":
+                for _ in range(int(rng.integers(0, 12))):
+                    rows.append((k, " ".join(["w"] * int(rng.integers(0, 40))), a, b, c))
+                    k += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, a string, b string, c string")
+    weights = {"a": {"A": 2, "B": 3, "C": 0}, "b": {"x": 0, "y": 1, "z": 5}, "c": {"1": 4, "2": 0, "3": None}}
+    mix = mixing.Mix({n: F.col(n) for n in "abc"}, weights, 0.9, 1, 3)
+    plain = mixing.Mix(mix.levels, {x: {n: 1 if w is None else w for n, w in m.items()} for x, m in weights.items()}, 0.9, 1, 3)
+    leaves = Counter()
+    for _, t, *leaf in rows:
+        leaves[tuple(leaf)] += len(t.split())
+    want = brute_quota(leaves, plain, int(sum(leaves.values()) * 0.9))
+    got, hashed = Counter(), {}
+    for r in mixing.mixed(docs, mix).collect():
+        got[r.a, r.b, r.c] += r["__loom_full"] * r["__loom_tokens"] + r["__loom_prefix"]
+        hashed.setdefault((r.a, r.b, r.c), []).append((r["__loom_hash"], r.doc_id, r["__loom_tokens"], r["__loom_prefix"]))
+    assert {k: got[k] for k in want} == want
+    assert sum(want.values()) > 0 and all(want[k] == 0 for k in want if k[0] == "C" or k[1] == "x" or k[2] == "2")
+    for own in hashed.values():  # the last epoch is a prefix in the order of the hashes
+        taken = [p / n for _, _, n, p in sorted(x for x in own if x[2])]
+        assert taken == sorted(taken, reverse=True) and sum(0 < p < 1 for p in taken) <= 1
+
+
+def test_mixing_order_does_not_depend_on_the_size(spark):
+    mix = mixing.Mix({"lang": F.col("lang")}, {}, 0.5, 1, 9)
+    rows = [(i, "a b c", "en") for i in range(400)]
+    orders = []
+    for n in (300, 400):
+        got = mixing.mixed(spark.createDataFrame(rows[:n], "doc_id long, text string, lang string"), mix).filter("doc_id < 300").collect()
+        orders.append([r.doc_id for r in sorted(got, key=lambda r: r["__loom_hash"])])
+    assert orders[0] == orders[1]
+
+
 def test_drawn_cuts_the_last_document(spark, docs):
     mix = mixing.Mix({"lang": F.col("lang"), "source": F.col("source")}, {"lang": {"en": 1, "fr": 4}}, 0.7, 2)
     want, texts = Counter(), {}
@@ -285,12 +403,33 @@ def test_licenses_as_published(spark):
     texts += [f"{head}\n\n{mit}" for head in heads]
     texts.append(mit.replace("OR COPYRIGHT HOLDERS", "OR\nCOPYRIGHT HOLDERS"))  # wrapped within a sentence
     want = ["MIT"] * len(texts)
-    texts += ["BSD 3-Clause License\n\nCopyright (c) 2020, A\nAll rights reserved.\n\n" + licenses.MORE_KNOWN["BSD-3-Clause"], bsd.replace("1. ", "* ").replace("2. ", "* "), mit + " and more"]
+    texts += ["BSD 3-Clause License\n\nCopyright (c) 2020, A\nAll rights reserved.\n\n" + licenses.KNOWN["BSD-3-Clause"], bsd.replace("1. ", "* ").replace("2. ", "* "), mit + " and more"]
     want += ["BSD-3-Clause", "BSD-2-Clause", None]
     docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
     assert [r["__loom_license"] for r in licenses.scan(docs).orderBy("doc_id").collect()] == want
 
 
+def test_licenses_by_line_and_digest(spark):
+    apache = "/usr/share/common-licenses/Apache-2.0"
+    texts = [
+        "licence licence", "text\nReleased under the MIT Licence!\r\n# Licensed under CC BY-NC 4.0\nReleased under the MIT License", "Copyright 2020 A\rReleased under the MIT License.",
+        "x" * 300_000, None, "sub-licence, sub licence; copyright holder's", "Copyright (c) Jane Doe\n\n" + licenses.KNOWN["ISC"],
+    ]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] * 2, "doc_id long, text string, license string")  # repeated rows
+    got = licenses.scan(docs).withColumn("c", licenses.canonical(F.col("text"))).orderBy("doc_id").collect()
+    assert len(got) == 2 * len(texts) and got[::2] == got[1::2]
+    got = got[::2]
+    assert got[0].c == "license license" and got[5].c == "sublicense sublicense copyright owners"
+    assert got[1]["__loom_notices"] == ["MIT-line", "CC-BY-NC-4.0-line", "MIT-line"] and got[1]["__loom_license"] is None
+    assert got[2]["__loom_license"] == "MIT-line" and got[6]["__loom_license"] == "ISC" and got[4]["__loom_notices"] == []
+    two = {"b": "one text", "a": "One, text"}
+    assert [r["__loom_license"] for r in licenses.scan(spark.createDataFrame([("one text!",)], "text string"), two).collect()] == ["a"]  # a tie
+    if os.path.exists(apache):
+        body = open(apache).read()
+        found = licenses.scan(spark.createDataFrame([(body,), (body.replace("\n", "\r\n"),), (body[: body.index("APPENDIX")],), (body[:5000],)], "text string")).collect()
+        assert [r["__loom_license"] for r in found] == ["Apache-2.0"] * 3 + [None]
+
+
 # GIF
 
 
@@ -319,7 +458,7 @@ def test_known_gif_disposal_and_transparency():
     assert read[3].canvas[0, 0, 3] == 0 and read[3].canvas[3, 3, 3] == 255  # cleared
 
 
-def test_stored_and_frames(spark, docs, rows, empty):
+def test_stored(spark, docs, rows, empty):
     got = gif.stored(docs).collect()
     assert len(got) == len(rows)
     by = {r.doc_id: r for r in got}
@@ -329,10 +468,55 @@ def test_stored_and_frames(spark, docs, rows, empty):
         r = by[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-16:]))
         assert r.media_sha256 == hashlib.sha256(r.media).hexdigest() and sum(r.histogram) == len(pay)
-    media = spark.createDataFrame([(by[304].media, "x"), (b"junk", "y"), (None, None)], "media binary, frames_of string")
-    a, b, c = gif.frames(media).collect()
-    assert sum(f.height * f.width for f in a.frames) == by[304].payload_bytes and b.frames is None and b.error and c.frames == []
     assert gif.stored(empty).count() == 0
+    odd = spark.createDataFrame([(None, None, "x"), (7, "a", "y"), (7, "a", "y")], "doc_id long, text string, media string")  # a clashing column
+    assert Counter((r.doc_id, r.n_bytes) for r in gif.stored(odd).collect()) == Counter([(None, 0), (7, 1), (7, 1)])
+
+
+def test_long_payloads_use_all_rules():
+    rng = np.random.default_rng(6)
+    lines = [sentence(rng, 30) for _ in range(4)]
+    text = "\n".join(lines[int(k)] for k in rng.integers(0, 4, 900)).encode() * 2
+    payload = gif.padded(text)
+    frames = gif.decode(gif.store(payload))
+    assert gif.taken_back(frames)[0] == payload and len(frames) > 4
+    assert {f.disposal for f in frames} == {1, 2, 3} and [f.time for f in frames] == [10 * k for k in range(len(frames))]
+    assert any((f.pixels == gif.CLEAR).any() for f in frames)  # some pixels are left as the canvas shows them
+    assert gif.taken_back(frames)[1].tolist() == sum(np.bincount((gif.PALETTE[f, 0] >> 6) * 16 + (gif.PALETTE[f, 1] >> 6) * 4 + (gif.PALETTE[f, 2] >> 6), minlength=64) for f in [np.frombuffer(payload, np.uint8)]).tolist()
+
+
+def test_uncleared_tables_and_broken_streams():
+    codes = [256, *([65] * 3), *[66 + k % 50 for k in range(5000)], 258, 259, 257]  # the table fills and is not cleared
+    widths, free = [9], 258
+    for k in range(1, len(codes)):
+        widths.append(min(12, max(9, free.bit_length())))
+        free = min(4096, free + (k > 1)) if k < len(codes) else free
+    place = np.arange(len(codes)) - 1
+    packed = gif._pack(np.array(codes), np.where(place < gif.FULL, gif._widths(8)[np.clip(place, 0, gif.FULL - 1)], 12))
+    want = b"A" * 3 + bytes(66 + k % 50 for k in range(5000)) + b"AA" + b"AA"
+    assert gif.lzw_decode(packed) == want and gif.lzw_decode(packed, most=10)[:10] == want[:10]
+    with pytest.raises(ValueError):
+        gif.lzw_decode(gif._pack(np.array([256, 65, 300, 257]), np.array([9, 9, 9, 9])))
+
+
+def test_timed_frames(spark, empty):
+    whole, dot = np.full((4, 4), 3), np.array([[9, 5], [5, 9]])
+    frames = [gif.Frame(whole, gif.PALETTE, delay=3, disposal=1), gif.Frame(dot, gif.PALETTE, 1, 1, 4, 3, 9), gif.Frame(dot, gif.PALETTE, 0, 0, 5, 2)]
+    good = gif.encode(frames, 4, 4)
+    huge = good[:6] + b"\xff\xff\xff\xff" + good[10:]
+    cells = [(1, good), (2, good[:-1]), (3, b"junk"), (4, None), (5, b""), (6, huge), (7, good), (7, good)]  # 2: without its end; 7: repeated
+    df = spark.createDataFrame([(k, c, f"x{k}", "y") for k, c in cells], "doc_id int, media binary, frames string, error string")
+    got = gif.timed(df).orderBy("doc_id", "__loom_number").collect()
+    by = {k: [(r["__loom_number"], r["__loom_time"], r["__loom_disposal"], r["__loom_transparent"], r["__loom_error"]) for r in got if r.doc_id == k] for k, _ in cells}
+    plain = [(0, 0, 1, None, None), (1, 3, 3, 9, None), (2, 7, 2, None, None)]
+    assert by[1] == plain and sorted(by[2], key=str) == sorted([(None, None, None, None, "cut off"), *plain], key=str)
+    assert by[3] == [(None, None, None, None, "not a GIF")] and by[4] == by[5] == [(None,) * 5] and by[6] == [(None, None, None, None, "screen too large")]
+    assert by[7] == sorted(plain * 2)
+    one = [r for r in got if r.doc_id == 1][1]
+    screen = np.frombuffer(one["__loom_rgba"], np.uint8).reshape(4, 4, 4)
+    assert (screen[1, 2, :3] == gif.PALETTE[5]).all() and (screen[1, 1, :3] == gif.PALETTE[3]).all() and sum(one["__loom_histogram"]) == 16
+    assert one.frames == "x1" and one.error == "y"
+    assert gif.timed(empty.select(F.lit(None).cast("binary").alias("media"))).count() == 0
 
 
 # chat
@@ -352,6 +536,66 @@ def test_rotations(spark):
 # languages and quality
 
 
+def test_letters():
+    assert not any(map(langid.has_letter, ["½ ² Ⅷ ①", "12 34!", "", "_"])) and all(map(langid.has_letter, ["½a", "é", "日", "ª"]))
+
+
+def brute_mixture(docs, text):
+    """Languages and shares from plain counts: em over all, then sets by falling share under the penalty."""
+    from math import log
+
+    def grams(t):
+        b = [c if c >= 128 or 97 <= c <= 122 else 32 for c in f" {t.lower()} ".encode()]
+        return Counter((((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 2654435761) % (1 << 32)) >> 17 for i in range(len(b) - 2) if b[i + 1] != 32 or b[i + 2] != 32)
+
+    counts = {}
+    for t, lang in docs:
+        if t is not None and lang is not None:
+            counts.setdefault(lang, Counter()).update(grams(t))
+    names, own = sorted(counts), grams(text)
+    like = {n: {g: (counts[n][g] + 0.5) / (sum(counts[n].values()) + 0.5 * (1 << 15)) for g in own} for n in names}
+
+    def em(chosen):
+        share = {n: 1 / len(chosen) for n in chosen}
+        for _ in range(25 if len(chosen) > 1 else 0):
+            new = {n: sum(c * share[n] * like[n][g] / sum(share[m] * like[m][g] for m in chosen) for g, c in own.items()) / sum(own.values()) for n in chosen}
+            moved = max(abs(new[n] - share[n]) for n in chosen)
+            share = new
+            if moved < 1e-4:
+                break
+        return share, sum(c * log(sum(share[n] * like[n][g] for n in chosen)) for g, c in own.items())
+
+    order = sorted(names, key=lambda n: (-em(names)[0][n], n))
+    best = None
+    for k in range(1, len(order) + 1):
+        share, value = em(order[:k])
+        value -= 2.0 * log(max(2, sum(own.values()))) * (k - 1)
+        if best is not None and value <= best[1]:
+            break
+        best = share, value
+    return sorted(best[0].items(), key=lambda x: (-x[1], x[0]))
+
+
+def test_mixtures_equal_brute_force(spark):
+    rng = np.random.default_rng(12)
+    words_of = {n: ["".join(rng.choice(list(a), int(rng.integers(2, 7)))) for _ in range(40)] for n, a in {"aa": "abcdefgh", "bb": "defghijk", "cc": "éèhijklm"}.items()}
+    text = lambda n, k: " ".join(rng.choice(words_of[n], k))
+    train = [(text(n, 60), n) for n in words_of for _ in range(3)] + [(None, "aa"), ("zz", None)] + [("same", "aa")] * 2
+    model = langid.learn(spark.createDataFrame(train, "text string, lang string").repartition(3))
+    for t in [text("aa", 20), text("aa", 20) + " " + text("bb", 15), text("cc", 3), text("bb", 40) + " " + text("cc", 9) + " " + text("aa", 30), "x", "Ab 12"]:
+        got, want = langid.mixture(model, t), brute_mixture(train, t)
+        assert [n for n, _ in got] == [n for n, _ in want] and np.allclose([s for _, s in got], [s for _, s in want], atol=1e-6)
+
+
+def test_languages_of_odd_tables(spark):
+    model = langid.learn(spark.createDataFrame([("ab ab ba " * 9, "p"), ("xy xy yx " * 9, "q")], "text string, lang string"))
+    rows = [(1, "ab ba", "r", 0.5), (1, "ab ba", "r", 0.5), (None, None, None, None), (2, "xy " * 60_000, "x", 1.0), (3, "mm", "y", 0.0)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang_pred string, score double"), model).collect()  # clashing names
+    assert Counter((r.doc_id, r.lang_pred) for r in got) == Counter([(1, "p"), (1, "p"), (None, "und"), (2, "q"), (3, "p")])  # 3: a tie
+    assert langid.identify(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
+    assert langid.learn(spark.createDataFrame([], "text string, lang string")).names == []
+
+
 def test_languages(spark):
     rng = np.random.default_rng(9)
     alphabets = {"aa": "abcdefgh", "bb": "mnopqrst", "cc": "éèêuvwx"}
@@ -377,6 +621,43 @@ def test_isotonic_is_the_least_squares_fit():
     assert np.allclose(got, want)
 
 
+def test_quality_equals_a_direct_solve(spark):
+    rng = np.random.default_rng(8)
+    texts = [(i, " ".join(w + "*" * int(rng.integers(0, 2) * (i % 3 == 0)) for w in sentence(rng, int(rng.integers(5, 60))).split())) for i in range(300)]
+    labels = [(i, int(i % 3 > 0) if rng.random() < 0.9 else int(rng.integers(0, 2))) for i, _ in texts]
+    bucket = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    model = quality.train(*quality.labelled(quality.with_statistics(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), ["doc_id"]), spark.createDataFrame(labels, "doc_id long, quality int"), bucket))
+    x, y = np.array([quality.statistics(t.encode()) for _, t in texts]), np.array([v for _, v in labels], float)
+    part = np.array([zlib.crc32(str(i).encode()) % 5 for i, _ in texts])
+    fit = (part > 0) & (part < 4)
+    mean, scale = x[fit].mean(0), x[fit].std(0) + 1e-6
+    z = quality.fourier((x - mean) / scale)
+    pen = np.full(z.shape[1], quality.RIDGE * fit.sum())
+    pen[-1] = 1e-9 * fit.sum()
+    w = np.linalg.lstsq(np.vstack([z[fit], np.diag(np.sqrt(pen))]), np.concatenate([y[fit], np.zeros(z.shape[1])]), rcond=None)[0]
+    assert np.allclose(model.mean, mean) and np.allclose(model.scale, scale) and np.allclose(z @ w, model.raw(x), atol=1e-6)
+    raw = model.raw(x[part == 4])
+    bins = np.clip(((raw - quality.LOW) / (quality.HIGH - quality.LOW) * quality.BINS).astype(int), 0, quality.BINS - 1)
+    seen = np.unique(bins)
+    v, n = np.array([y[part == 4][bins == b].mean() for b in seen]), np.array([(bins == b).sum() for b in seen], float)
+    want = [max(min(np.average(v[a : b + 1], weights=n[a : b + 1]) for b in range(i, len(v))) for a in range(i + 1)) for i in range(len(v))]
+    assert np.allclose(model.value, want)
+
+
+def test_sums_leave_few_rows_for_the_driver(spark):
+    from rasterloom.llm import common
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        one = np.ones(3).tobytes()
+        parts = spark.range(0, 300, 1, 300).select(F.lit("k").alias("key"), F.col("id").cast("int").alias("task"), F.lit(bytearray(one)).alias("data"))
+        assert common.packed_sum(parts).count() <= 32
+        assert common.summed(parts)["k"].tolist() == [300.0] * 3
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_quality_learns_and_copes(spark, docs, rows, empty):
     rng = np.random.default_rng(5)
     texts = [(i, sentence(rng, 40) if i % 4 else " ".join(w + "***" for w in sentence(rng, 40).split())) for i in range(400)]
@@ -398,7 +679,7 @@ def test_quality_learns_and_copes(spark, docs, rows, empty):
 
 
 def lattice(model, text):
-    whole, out = segments.prepared(text), {}
+    whole, out = "▁" + text.replace(" ", "▁"), {}
 
     def go(i, ids, lp):
         if i == len(whole):
@@ -437,6 +718,50 @@ def test_samples_have_the_lattice_probabilities():
         assert abs(total[k] - 1) < 0.25
 
 
+def test_lone_letters_have_all_their_segmentations():
+    model = segments.load(PIECES)
+    want = lattice(model, "t")
+    assert len(want) == 2  # one of them with a probability of about 1e-13
+    (own,) = segments.sample_batch(model, [5], ["t"], 3)
+    assert {tuple(i.tolist()) for i, _ in own} == set(want) and all(abs(want[tuple(i.tolist())] - s.log_p) < 1e-6 and s.inclusion == 1 for i, s in own)
+
+
+def test_decoding_gives_texts_back(spark):
+    texts = ["the river", "a ▁ b▁", " two  spaces ", "tab\tline\n", "", None, "日本 ½ 🙂", "▁▁", "word " * 30_000]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = segments.sampled(docs, PIECES, 2).select("doc_id", F.explode("samples").alias("s")).select("doc_id", "s.ids", "s.exact")
+    got = segments.decoded(rows.withColumn("text", F.lit("clash")), PIECES).collect()
+    assert len(got) >= 2 * len(texts) - 4 and all(r["__loom_text"] == (texts[r.doc_id] or "") and r.exact and r.text == "clash" for r in got)
+    none = spark.createDataFrame([(None,), ([],)], "ids array<int>")
+    assert [r["__loom_text"] for r in segments.decoded(none, PIECES).collect()] == [None, ""]
+    assert segments.decoded(none.filter("false"), PIECES).count() == 0
+
+
+def test_parts_with_equal_hashes_are_told_apart(monkeypatch):
+    model = segments.load(PIECES)
+    want = [[i.tolist() for i, _ in own] for own in segments.sample_batch(model, [1, 2], ["the house", "a river"], 2)]
+    tried, real = [], np.add.reduceat
+
+    def weak(a, starts, *more):
+        out = real(a, starts, *more)
+        if a.dtype == np.uint64 and not tried:  # the first time all parts hash alike
+            tried.append(1)
+            out = out * np.uint64(0)
+        return out
+
+    class Add:
+        reduceat = staticmethod(weak)
+        def __getattr__(self, name):
+            return getattr(np_add, name)
+        def __call__(self, *a, **k):
+            return np_add(*a, **k)
+
+    np_add = np.add
+    monkeypatch.setattr(segments.np, "add", Add())
+    got = [[i.tolist() for i, _ in own] for own in segments.sample_batch(model, [1, 2], ["the house", "a river"], 2)]
+    assert tried and got == want
+
+
 def test_samples_of_rows(docs, rows, empty):
     got = segments.sampled(docs, PIECES, 2).collect()
     assert len(got) == len(rows)
