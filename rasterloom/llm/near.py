@@ -13,8 +13,10 @@ cluster then sends its whole set of shingle hashes to the cluster's task once,
 where a breadth-first search over exact similarities gives a spanning forest.
 All pairs of a cluster are looked at but for those already in one component, so
 a pair that no key joined is found as well if others lead from one to the other.
-Clusters of more than ``BLOCK`` shingles are cut into blocks, and each pair of
-blocks is a task of its own.  Shingles are compared by their 64-bit hashes.
+Clusters of more than ``BLOCK`` shingles are cut into blocks.  All blocks are first
+compared with the cluster's first text, which is all that a group of copies of
+one text needs; texts that it does not reach, if there are any, are then
+compared with every block.  Shingles are compared by their 64-bit hashes.
 
 Defined results: a null or empty text has one shingle, the empty one; fewer
 words than a shingle make one shingle of all words; ids number the rows in the
@@ -24,12 +26,12 @@ id sorts after all others; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
@@ -40,32 +42,28 @@ SHINGLE = 5
 ROWS, BANDS = 6, 40
 #: Shingles of a cluster that one task compares with as many others.
 BLOCK = 2 << 20
-#: Odd factors and summands of the MinHash values, fixed by a seed.
-_FIXED = np.random.default_rng(42).integers(0, 1 << 64, (2, ROWS * BANDS, 1), np.uint64)
-FACTORS, SUMMANDS = _FIXED[0] | np.uint64(1), _FIXED[1]
+#: Odd factors and summands of the MinHash values (of the hashes' upper halves), fixed by a seed.
+_FIXED = np.random.default_rng(42).integers(0, 1 << 32, (2, ROWS * BANDS, 1), np.uint32)
+FACTORS, SUMMANDS = _FIXED[0] | np.uint32(1), _FIXED[1]
+#: The hash of a text without words.
+BLANK = xxhash.xxh64_intdigest(b"", simhash.SEED)
+
+
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    return np.unique(hashes) if len(hashes) else np.array([BLANK], np.uint64)
 
 
 def shingles(text: bytes) -> np.ndarray:
     """The distinct hashes of a text's shingles, sorted."""
-    words = text.lower().split()
-    n = len(words)
-    joined = b" ".join(words)
-    if n <= SHINGLE:
-        return np.array([xxhash.xxh64_intdigest(joined, simhash.SEED)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
-    starts = [0, *ends[: n - SHINGLE].tolist()]
-    stops = (ends[SHINGLE - 1 :] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter([digest(joined[a:b], simhash.SEED) for a, b in zip(starts, stops)], np.uint64, n - SHINGLE + 1))
+    return distinct(simhash.shingle_hashes(text, SHINGLE))
 
 
 def band_keys(hashes: np.ndarray) -> list[int]:
     """A signed key for each band."""
-    least = np.full(ROWS * BANDS, (1 << 64) - 1, np.uint64)
-    for k in range(0, len(hashes), 1 << 10):
-        least = np.minimum(least, (FACTORS * hashes[k : k + (1 << 10)] + SUMMANDS).min(1))
-    packed = least.astype("<u8").tobytes()
-    size = 8 * ROWS
+    least, upper = np.full(ROWS * BANDS, (1 << 32) - 1, np.uint32), (hashes >> np.uint64(32)).astype(np.uint32)
+    for k in range(0, len(upper), 1 << 10):
+        least = np.minimum(least, (FACTORS * upper[k : k + (1 << 10)] + SUMMANDS).min(1))
+    packed, size = least.astype("<u4").tobytes(), 4 * ROWS
     return [_signed(xxhash.xxh64_intdigest(packed[b * size : (b + 1) * size], b)) for b in range(BANDS)]
 
 
@@ -82,11 +80,11 @@ def _prints(docs: DataFrame, keep: list[str]) -> DataFrame:
         for b in batches:
             fps, sizes, keys = [], [], []
             for t in b.column(len(keep)).cast(pa.binary()):
-                text = t.as_py() or b""
-                hashes = shingles(text)
-                fps.append(_signed(simhash.fingerprint(text, SHINGLE)))
-                sizes.append(len(hashes))
-                keys.append(band_keys(hashes))
+                hashes = simhash.shingle_hashes(t.as_py() or b"", SHINGLE)
+                own = distinct(hashes)
+                fps.append(_signed(simhash.majority(hashes)))
+                sizes.append(len(own))
+                keys.append(band_keys(own))
             own = [pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *own], names=[*keep, "fp", "size", "keys"])
 
@@ -170,25 +168,73 @@ def _forest(nodes: np.ndarray, sets: list[np.ndarray]) -> tuple[list[int], list[
     return nodes[near].tolist() if near else [], nodes[far].tolist() if far else []
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by root, p, q: the links within each group."""
-    now, nodes, sets = None, [], []
+def _grouped(find: Callable[[np.ndarray, list[np.ndarray]], tuple[list[int], list[int]]]):
+    """mapInArrow over rows sorted by root, p, q and node: the links that ``find`` sees within each group."""
 
-    def flush() -> pa.RecordBatch:
-        a, b = _forest(np.array(nodes), sets)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes, sets = None, [], []
 
-    for batch in batches:
-        keys = zip(*(batch.column(k).to_pylist() for k in range(3)))
-        for key, node, packed in zip(keys, batch.column(3).to_pylist(), batch.column(4)):
-            if key != now:
-                if len(nodes) > 1:
-                    yield flush()
-                now, nodes, sets = key, [], []
-            nodes.append(node)
-            sets.append(np.frombuffer(packed.as_py(), np.uint64))
-    if len(nodes) > 1:
-        yield flush()
+        def flush() -> pa.RecordBatch:
+            a, b = find(np.array(nodes), sets)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            keys = zip(*(batch.column(k).to_pylist() for k in range(3)))
+            for key, node, packed in zip(keys, batch.column(3).to_pylist(), batch.column(4)):
+                if key != now:
+                    if len(nodes) > 1:
+                        yield flush()
+                    now, nodes, sets = key, [], []
+                if not nodes or nodes[-1] != node:
+                    nodes.append(node)
+                    sets.append(np.frombuffer(packed.as_py(), np.uint64))
+        if len(nodes) > 1:
+            yield flush()
+
+    return run
+
+
+def _from_first(nodes: np.ndarray, sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """Links of the smallest node to those similar to it."""
+    first = sets[0]  # rows are sorted by node
+    found = [n for n, s in zip(nodes[1:].tolist(), sets[1:]) if 9 * int(np.isin(s, first, assume_unique=True).sum()) >= 4 * (len(s) + len(first))]
+    return [int(nodes[0])] * len(found), found
+
+
+def _linked(sets: DataFrame, find) -> DataFrame:
+    """sets: ``root``, ``p``, ``q``, ``node``, ``hashes``."""
+    rows = sets.select("root", "p", "q", "node", "hashes").repartition("root", "p", "q").sortWithinPartitions("root", "p", "q", "node")
+    return rows.mapInArrow(_grouped(find), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
+
+
+def _each(n: str, name: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
+
+
+def _exact(docs: DataFrame, members: DataFrame, place: list[str]) -> DataFrame:
+    """members: written, ``node``, ``root``, ``size``, ``blocks`` and the place of each text of a cluster.  Links that span the components under the exact similarity."""
+    def sets(rows: DataFrame, *keep: str) -> DataFrame:
+        return _sets(docs.join(sized(rows, 200), place), ["node", "root", *keep])
+
+    zero = F.lit(0).alias("q")
+    links = written(_linked(sets(members.filter("blocks = 1"), "blocks").select("*", F.lit(0).alias("p"), zero), _forest), "near-links")
+    large = written(members.filter("blocks > 1"), "near-large")
+    if large.isEmpty():
+        return links
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    # the first text of a cluster goes to all its blocks
+    spread = large.select("*", F.when(F.col("node") == F.col("root"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block)).alias("ps"))
+    near = written(_linked(sets(spread, "ps").select("*", F.explode("ps").alias("p"), zero), _from_first), "near-first")
+    left = large.filter("node != root").join(near.select(F.col("b").alias("node")), "node", "left_anti")
+    lefts = written(left.groupBy("root").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("rests"), F.count("*").alias("n")), "near-rests")
+    if lefts.isEmpty():
+        return links.unionByName(near)
+    left = written(spread_join(written(left, "near-left"), lefts, ["root"], "n").drop("n"), "near-left")
+    every = written(large.join(sized(lefts, 40), "root").drop("n"), "near-every")
+    rest = F.pmod(F.xxhash64("node"), F.col("rests")).cast("int").alias("p")
+    one = sets(left, "blocks", "rests").select("*", rest).select("*", _each("blocks", "q"))
+    two = sets(every, "blocks", "rests").select("*", block.alias("q")).select("*", _each("rests", "p"))
+    return links.unionByName(near).unionByName(written(_linked(one.select("root", "p", "q", "node", "hashes").unionByName(two.select("root", "p", "q", "node", "hashes")), _forest), "near-links"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -198,18 +244,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     prints = written(_prints(docs, ["doc_id", *place]), "near-minhash")
     # numbered in the order of rank, so that the smallest node of a component is the row that stays
     prints = written(prints.orderBy(simhash.rank(*place)).select("*", F.monotonically_increasing_id().alias("node")), "near-nodes")
-    clusters = simhash.components(written(_candidates(prints), "near-candidates"))
+    clusters = written(simhash.components(written(_candidates(prints), "near-candidates")), "near-clusters")
     members = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
     members = written(prints.select("node", "size", *place).join(members, "node"), "near-members")
     blocks = written(members.groupBy("root").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")), "near-roots")
-    members = written(spread_join(members, blocks, ["root"], "n").select("node", "root", "blocks", *place), "near-blocks")
-
-    sets = _sets(docs.join(sized(members, 200), place), ["node", "root", "blocks"])
-    sets = sets.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sets = sets.filter("blocks = 1 or block != other")
-    grouped = sets.select("root", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "node", "hashes")
-    grouped = grouped.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q")
-    found = grouped.mapInArrow(_links, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    copies = simhash.components(written(found, "near-links")).select("node")
+    members = written(spread_join(members, blocks, ["root"], "n").select("node", "root", "size", "blocks", *place), "near-blocks")
+    copies = simhash.components(written(_exact(docs, members, place).distinct(), "near-exact")).select("node")
     dropped = written(members.join(copies, "node", "left_semi").select(*place), "near-dropped")
     return without_own(docs.join(sized(dropped, 200), place, "left_anti"))

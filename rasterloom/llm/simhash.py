@@ -44,20 +44,24 @@ BLOCK = 8192
 MAX_ROUNDS = 60
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """The fingerprint of a text, unsigned."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The hashes of a text's shingles, repeats included; none for a text without words."""
     words = text.lower().split()  # of bytes: only A-Z are lowered, only ASCII white space splits
     n = len(words)
     if not n:
-        return 0
-    if n <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
+    if n <= shingle:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
     starts = [0, *ends[: n - shingle].tolist()]
     stops = (ends[shingle - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter([digest(joined[a:b], SEED) for a, b in zip(starts, stops)], np.uint64, n - shingle + 1)
+    return np.fromiter([digest(joined[a:b], SEED) for a, b in zip(starts, stops)], np.uint64, n - shingle + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes, unsigned."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 14):
         part = hashes[k : k + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -65,6 +69,11 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """The fingerprint of a text, unsigned."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, keep: list[str], shingle: int = SHINGLE) -> DataFrame:
     """The columns ``keep`` of ``docs`` and ``fp``, the fingerprint of ``text`` as a signed long."""
     rows = docs.select(*keep, "text")
