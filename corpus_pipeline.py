@@ -18,9 +18,9 @@ from rasterloom.llm.common import crc_bucket, table, written
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score of the threshold or more; learned from the labels of those in ``docs``, held-out ids aside."""
-    stats = written(quality.with_statistics(docs, ["doc_id"]), "pipeline-stats")
-    model = quality.train(*quality.labelled(stats, table(spark, sf_dir, "labels"), crc_bucket(F.col("doc_id"), 5)))
-    return quality.accepted(docs, model)
+    rows = written(quality.with_statistics(docs, docs.columns), "pipeline-stats")  # read twice, to learn and to filter
+    model = quality.train(*quality.labelled(rows, table(spark, sf_dir, "labels"), crc_bucket(F.col("doc_id"), 5)))
+    return quality.accepted(rows, model)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
