@@ -1,12 +1,18 @@
 """The raster operators on whole blocks: NumPy kernels for tasks that hold a tile.
 
 They follow the relational forms in ``focus``, ``choose`` and ``blend``; tests
-hold both against one another.  A block has rows first and keeps its precision
-(32 bits in whole runs); borders mirror about the first and last place.
+hold both against one another.  A block has rows and columns in its last two
+axes (planes of one kind come before) and keeps its precision (32 bits in whole
+runs); borders mirror about the first and last place.
+
+Every linear step along an axis is one of ``axis``'s tables.  Cut into runs of
+``RUN`` output places it is a band of small dense matrices, so that a step is a
+few matrix products, fast whatever the kernel's width.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -15,36 +21,40 @@ from rasterloom.functions.pixel import BLUE, GREEN, RED
 from rasterloom.operators import axis, focus
 
 FLOOR = 1e-8
-
-
-def mirrored(n: int, reach: int) -> np.ndarray:
-    """The places that -reach to n - 1 + reach stand for."""
-    if n == 1:
-        return np.zeros(1 + 2 * reach, int)
-    m = np.arange(-reach, n + reach) % (2 * (n - 1))
-    return np.minimum(m, 2 * (n - 1) - m)
-
-
-def part(a: np.ndarray, dim: int, *bounds: int | None) -> np.ndarray:
-    """A slice along one axis."""
-    return a[(slice(None),) * dim + (slice(*bounds),)]
+RUN = 32
+
+
+@functools.lru_cache(maxsize=256)
+def _band(kind: str, n: int, weights: tuple, dtype: str) -> tuple[int, list[tuple[int, int, int, int, np.ndarray]]]:
+    """How many places come out, and the runs: out from and to, in from and to, matrix."""
+    table = {"around": lambda: axis.around(n, dict(weights)), "odd": lambda: axis.around(n, dict(weights), True), "halving": lambda: axis.halving(n), "doubling": lambda: axis.doubling(n)}[kind]()
+    src, out, w = table[:, 0].astype(int), table[:, 1].astype(int), table[:, 2]
+    size, runs = int(out.max()) + 1, []
+    for o0 in range(0, size, RUN):
+        here = (out >= o0) & (out < o0 + RUN)
+        o1, i0, i1 = min(o0 + RUN, size), int(src[here].min()), int(src[here].max()) + 1
+        m = np.zeros((o1 - o0, i1 - i0), dtype)
+        m[out[here] - o0, src[here] - i0] = w[here]
+        runs.append((o0, o1, i0, i1, m))
+    return size, runs
+
+
+def _applied(a: np.ndarray, dim: int, kind: str, n: int, weights: tuple = ()) -> np.ndarray:
+    size, runs = _band(kind, n, weights, a.dtype.char)
+    if dim == 0:
+        out = np.empty((*a.shape[:-2], size, a.shape[-1]), a.dtype)
+        for o0, o1, i0, i1, m in runs:
+            np.matmul(m, a[..., i0:i1, :], out=out[..., o0:o1, :])
+    else:
+        out = np.empty((*a.shape[:-1], size), a.dtype)
+        for o0, o1, i0, i1, m in runs:
+            np.matmul(a[..., i0:i1], m.T, out=out[..., o0:o1])
+    return out
 
 
 def along(a: np.ndarray, weights: dict[int, float], dim: int) -> np.ndarray:
-    """The weighted sum of the places around each, along one axis; of the block's own precision."""
-    n, reach = a.shape[dim], max(abs(d) for d in weights)
-    wide = np.take(a, mirrored(n, reach), axis=dim) if reach else a
-    out, term = np.zeros_like(a), np.empty_like(a)
-    for d, w in weights.items():
-        if d > 0 and weights.get(-d) == w:
-            continue  # added with its mirror image
-        near = part(wide, dim, reach + d, reach + d + n)
-        if d < 0 and weights.get(-d) == w:
-            np.add(near, part(wide, dim, reach - d, reach - d + n), out=term)
-            near = term
-        np.multiply(near, w, out=term)
-        out += term
-    return out
+    """The weighted sum of the places around each, along rows (0) or columns (1); of the block's own precision."""
+    return _applied(a, dim, "around", a.shape[dim - 2], tuple(weights.items())) if weights != axis.IDENTITY else a
 
 
 def filtered(a: np.ndarray, vertical: dict[int, float], horizontal: dict[int, float]) -> np.ndarray:
@@ -57,11 +67,21 @@ def smooth(a: np.ndarray, radius: int) -> np.ndarray:
 
 
 def grey(rgb: np.ndarray) -> np.ndarray:
-    return rgb @ np.array([RED, GREEN, BLUE], rgb.dtype)
+    """Of three planes."""
+    return rgb[0] * rgb.dtype.type(RED) + rgb[1] * rgb.dtype.type(GREEN) + rgb[2] * rgb.dtype.type(BLUE)
 
 
 def sobel(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return filtered(a, axis.BELL, axis.RISE), filtered(a, axis.RISE, axis.BELL)
+    """Differences first: where a block is flat they are exactly zero, and stay so."""
+    return along(along(a, axis.RISE, 1), axis.BELL, 0), along(along(a, axis.RISE, 0), axis.BELL, 1)
+
+
+def softened(a: np.ndarray, weights: dict[int, float], odd: int | None = None) -> np.ndarray:
+    """A separable symmetric filter; ``odd``: the axis along which ``a`` is a derivative.  The derivative of a softened block is its softened derivative."""
+    w = tuple(weights.items())
+    for dim in (0, 1):
+        a = _applied(a, dim, "odd" if dim == odd else "around", a.shape[dim - 2], w)
+    return a
 
 
 def energy(a: np.ndarray) -> np.ndarray:
@@ -69,39 +89,56 @@ def energy(a: np.ndarray) -> np.ndarray:
     return gx * gx + gy * gy
 
 
+def soft_energy(gx: np.ndarray, gy: np.ndarray, weights: dict[int, float]) -> np.ndarray:
+    """The squared gradient of a softened block, from the gradient of the block."""
+    gx, gy = softened(gx, weights, 1), softened(gy, weights, 0)
+    return gx * gx + gy * gy
+
+
 def standard_score(g: np.ndarray, radius: int, multiscale: bool = False) -> np.ndarray:
-    fine = smooth(energy(g), radius)
-    return fine + 0.5 * smooth(energy(smooth(g, 3)), 2 * radius) if multiscale else fine
+    gx, gy = sobel(g)
+    fine = smooth(gx * gx + gy * gy, radius)
+    return fine + 0.5 * smooth(soft_energy(gx, gy, axis.gaussian(3)), 2 * radius) if multiscale else fine
+
+
+def structure(g: np.ndarray, radius: int, gradient: tuple[np.ndarray, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+    """``coherence`` of the gradient (squared), the ``noise`` floor, ``variance`` and ``contrast``."""
+    gx, gy = gradient or sobel(g)
+    mixed = filtered(g, axis.STEP, axis.STEP)
+    xx, yy, xy, floor, mean, square = smooth(np.stack([gx * gx, gy * gy, gx * gy, mixed * mixed, g, g * g]), radius)
+    trace = np.maximum(xx + yy, 1)
+    coherence = ((xx - yy) ** 2 + 4 * xy**2) / (trace * trace)
+    noise = 0.25 * floor * np.maximum(1 - coherence, 0)
+    variance = np.maximum(square - mean * mean, 0)
+    return {"coherence": coherence, "noise": noise, "variance": variance, "contrast": variance / (variance + 2 * noise + 1024)}
 
 
 def photographic_score(g: np.ndarray, radius: int, best: bool) -> np.ndarray:
-    """As ``focus.photographic_score``."""
+    """As ``focus.photographic_score``; what noise explains is taken off before the evidence is smoothed, which is the same."""
     gx, gy = sobel(g)
-    xx, yy, xy = (smooth(p, radius) for p in (gx * gx, gy * gy, gx * gy))
-    incoherent = 1 - ((xx - yy) ** 2 + 4 * xy**2) / np.maximum(xx + yy, 1) ** 2
-    noise = 0.25 * smooth(filtered(g, axis.STEP, axis.STEP) ** 2, radius) * np.maximum(incoherent, 0)
-    variance = np.maximum(smooth(g * g, radius) - smooth(g, radius) ** 2, 0)
-    total = np.zeros_like(g)
+    bends = along(g, axis.SECOND, 0) + along(g, axis.SECOND, 1)
+    s = structure(g, radius, (gx, gy))
+    noise, total = s["noise"], np.zeros_like(g)
     for support, sigma, weight in focus.SCALES[: 3 if best else 2]:
-        wide = focus.reach(support, radius)
-        soft = filtered(g, *[focus.bell(support, sigma)] * 2)
-        gain = np.maximum(smooth(energy(soft), wide) - 1.5 * focus.noise_gain(support, sigma) * smooth(noise, wide), 0)
-        bend = smooth((along(soft, axis.SECOND, 0) + along(soft, axis.SECOND, 1)) ** 2, wide)
-        total += weight * (gain + 0.2 * np.maximum(bend - 0.5 * noise, 0))
-    return total * variance / (variance + 2 * noise + 1024)
+        bell = focus.bell(support, sigma)
+        explained = g.dtype.type(1.5 * focus.noise_gain(support, sigma)) * noise
+        bend = softened(bends, bell)
+        gain, bend = smooth(np.stack([soft_energy(gx, gy, bell) - explained, bend * bend]), focus.reach(support, radius))
+        total += weight * (np.maximum(gain, 0) + 0.2 * np.maximum(bend - 0.5 * noise, 0))
+    return total * s["contrast"]
 
 
 class Best:
     """The three best scores of each pixel and their frames, as frames come by; -1 and frame 0 where there is none."""
 
-    def __init__(self, shape: tuple[int, int]):
-        self.scores, self.frames = np.full((3, *shape), -1, np.float32), np.zeros((3, *shape), np.int32)
-        self.guide = np.zeros(shape, np.float32)
+    def __init__(self, shape: tuple[int, int], kind: type = np.float32):
+        self.scores, self.frames = np.full((3, *shape), -1, kind), np.zeros((3, *shape), np.uint16)
+        self.guide = np.zeros(shape, kind)
 
     def see(self, score: np.ndarray, frame: int, guide: np.ndarray) -> None:
         """A score that beats a place takes it, and what stood there goes on to the next one; ties leave the earlier frame."""
         self.guide = np.where(score > self.scores[0], guide, self.guide)
-        s, f = score, np.full(score.shape, frame, np.int32)
+        s, f = score, np.full(score.shape, frame, np.uint16)
         for k in range(3):
             wins = s > self.scores[k]
             self.scores[k], s = np.where(wins, s, self.scores[k]), np.where(wins, self.scores[k], s)
@@ -117,9 +154,17 @@ class Best:
 
 def median3(a: np.ndarray) -> np.ndarray:
     """Of the 3 x 3 places around each; the border repeats."""
-    h, w = a.shape
     wide = np.pad(a, 1, mode="edge")
-    return np.sort([wide[i : i + h, j : j + w] for i in range(3) for j in range(3)], axis=0)[4]
+    x, y, z = (wide[k : k + a.shape[0]] for k in range(3))
+    low, high = np.minimum(x, y), np.maximum(x, y)
+    least, most = np.minimum(low, z), np.maximum(high, z)  # of each column of three, sorted
+    middle = np.maximum(low, np.minimum(high, z))
+    three = lambda p: (p[:, :-2], p[:, 1:-1], p[:, 2:])
+
+    def median(p: np.ndarray, q: np.ndarray, r: np.ndarray) -> np.ndarray:
+        return np.maximum(np.minimum(p, q), np.minimum(np.maximum(p, q), r))
+
+    return median(np.maximum.reduce(three(least)), median(*three(middle)), np.minimum.reduce(three(most)))
 
 
 def cleaned(best: Best, confidence: np.ndarray, edge: np.ndarray | None) -> np.ndarray:
@@ -134,6 +179,8 @@ def cleaned(best: Best, confidence: np.ndarray, edge: np.ndarray | None) -> np.n
 
 def eroded(valid: np.ndarray, support: int) -> np.ndarray:
     """Places all of whose square is valid; outside counts as valid."""
+    if valid.all():
+        return valid
     out = valid
     for dim in (0, 1):
         n = out.shape[dim]
@@ -144,23 +191,14 @@ def eroded(valid: np.ndarray, support: int) -> np.ndarray:
 
 
 def down(a: np.ndarray) -> np.ndarray:
-    return along(along(a, axis.BINOMIAL, 0)[::2], axis.BINOMIAL, 1)[:, ::2]
+    for dim in (0, 1):
+        a = _applied(a, dim, "halving", a.shape[dim - 2])
+    return a
 
 
 def up(a: np.ndarray, h: int, w: int) -> np.ndarray:
     """To h x w; borders mirror on the larger block."""
-    for dim, n in ((0, h), (1, w)):
-        m = a.shape[dim]
-        if n == 1:
-            continue
-        first = part(a, dim, 1, 2) if m > 1 else a
-        last = part(a, dim, m - 2, m - 1) if n % 2 else part(a, dim, m - 1, m)
-        low, high = np.concatenate([first, part(a, dim, 0, m - 1)], dim), np.concatenate([part(a, dim, 1, m), last], dim)
-        out = np.empty((*a.shape[:dim], n, *a.shape[dim + 1 :]), a.dtype)
-        part(out, dim, 0, None, 2)[...] = (low + high) * 0.125 + a * 0.75
-        part(out, dim, 1, None, 2)[...] = (part(a, dim, 0, n // 2) + part(high, dim, 0, n // 2)) * 0.5
-        a = out
-    return a
+    return _applied(_applied(a, 0, "doubling", h), 1, "doubling", w)
 
 
 def pyramid(a: np.ndarray, levels: int) -> list[np.ndarray]:
@@ -168,7 +206,7 @@ def pyramid(a: np.ndarray, levels: int) -> list[np.ndarray]:
     out = []
     for _ in range(levels):
         small = down(a)
-        out.append(a - up(small, *a.shape[:2]))
+        out.append(a - up(small, *a.shape[-2:]))
         a = small
     return [*out, a]
 
@@ -176,7 +214,7 @@ def pyramid(a: np.ndarray, levels: int) -> list[np.ndarray]:
 def collapsed(bands: list[np.ndarray]) -> np.ndarray:
     a = bands[-1]
     for band in reversed(bands[:-1]):
-        a = band + up(a, *band.shape[:2])
+        a = band + up(a, *band.shape[-2:])
     return a
 
 
@@ -190,21 +228,26 @@ def warped(block: np.ndarray, inverse: np.ndarray, box: tuple[int, int, int, int
     ``block`` begins at ``at`` in a source of ``size``; ``inverse`` maps reference places to source places.
     """
     y0, y1, x0, x1 = box
-    y, x = np.mgrid[y0:y1, x0:x1].astype(float)
-    sx = inverse[0, 0] * x + inverse[0, 1] * y + inverse[0, 2]
-    sy = inverse[1, 0] * x + inverse[1, 1] * y + inverse[1, 2]
+    y, x = np.arange(y0, y1, dtype=float)[:, None], np.arange(x0, x1, dtype=float)[None, :]
+    sx = inverse[0, 0] * x + (inverse[0, 1] * y + inverse[0, 2])
+    sy = inverse[1, 0] * x + (inverse[1, 1] * y + inverse[1, 2])
     slack = 1e-4
     valid = (sx >= -slack) & (sx <= size[1] - 1 + slack) & (sy >= -slack) & (sy <= size[0] - 1 + slack)
-    h, w = block.shape[:2]
+    h, w = block.shape[-2:]
     sy, sx = np.clip(sy - at[0], 0, h - 1), np.clip(sx - at[1], 0, w - 1)
-    iy, ix = np.minimum(sy.astype(int), max(h - 2, 0)), np.minimum(sx.astype(int), max(w - 2, 0))
-    fy, fx = sy - iy, sx - ix
-    if block.ndim == 3:
-        fy, fx = fy[..., None], fx[..., None]
-    jy, jx = np.minimum(iy + 1, h - 1), np.minimum(ix + 1, w - 1)
-    top = block[iy, ix] * (1 - fx) + block[iy, jx] * fx
-    low = block[jy, ix] * (1 - fx) + block[jy, jx] * fx
-    return top * (1 - fy) + low * fy, valid
+    iy, ix = np.minimum(sy.astype(np.int64), max(h - 2, 0)), np.minimum(sx.astype(np.int64), max(w - 2, 0))
+    fy, fx = (sy - iy).astype(block.dtype), (sx - ix).astype(block.dtype)
+    first, right, below = iy * w + ix, int(w > 1), w * int(h > 1)
+    planes = block.reshape(-1, h * w)
+    out = np.empty((len(planes), *valid.shape), block.dtype)
+    for plane, into in zip(planes, out):
+        top = plane[first]
+        top += (plane[first + right] - top) * fx
+        low = plane[first + below]
+        low += (plane[first + (below + right)] - low) * fx
+        top += (low - top) * fy
+        into[...] = top
+    return out.reshape(*block.shape[:-2], *valid.shape), valid
 
 
 def region(inverse: np.ndarray, box: tuple[int, int, int, int], size: tuple[int, int]) -> tuple[int, int, int, int] | None:

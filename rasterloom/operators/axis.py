@@ -1,18 +1,20 @@
 """Linear neighbourhood operators as weighted maps along each axis.
 
 A filter along one axis, with its border rule, is a small table (src, out, w):
-place ``src`` adds ``w`` times its value to place ``out``.  Applying it is a
-broadcast join on the place and a sum by output place: one shuffle, with
-partial sums before it, and no join of the raster with itself.  The tables have
-as many rows as the axis has places, times the taps, whatever the number of
-frames.  Smoothing, derivatives, pyramid steps, area binning and resizing are
-all such tables.
+place ``src`` adds ``w`` times its value to place ``out``.  Smoothing,
+derivatives, pyramid steps, area binning and resizing are all such tables, built
+on the driver.  On pixels a table is a broadcast join on the place and a sum by
+output place: one shuffle, with partial sums before it, and no join of the
+raster with itself.  That form defines what the operators do; rasters of any size
+go through ``blocks``, whose kernels (``arrays``) apply the same tables as banded
+matrices.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,15 +24,38 @@ from rasterloom.functions.pixel import reflect101, replicate
 MOST = 1_000_000
 
 
-def taps(spark: SparkSession, n: int, weights: dict[int, float], border=reflect101) -> DataFrame:
-    """out = the sum of weight times the value at out + offset, borders by the rule."""
-    pairs = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(float(w)).alias("w")) for d, w in weights.items()])
-    rows = spark.range(n).select(F.col("id").cast("int").alias("out"), F.explode(pairs).alias("t"))
-    return _summed(rows.select(border(F.col("out") + F.col("t.d"), n).cast("int").alias("src"), "out", F.col("t.w").alias("w")))
+def mirrored(places: np.ndarray, n: int) -> np.ndarray:
+    """Mirrored about the first and last place, which are not repeated; over any number of mirrors."""
+    if n == 1:
+        return np.zeros_like(places)
+    m = places % (2 * (n - 1))
+    return np.minimum(m, 2 * (n - 1) - m)
 
 
-def _summed(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("src", "out").agg(F.sum("w").alias("w"))
+def entries(src: np.ndarray, out: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The table of these triples, with those of the same places added up: columns src, out, w."""
+    pairs, at = np.unique(np.column_stack([src, out]), axis=0, return_inverse=True)
+    return np.column_stack([pairs, np.bincount(at.reshape(-1), w)])
+
+
+def around(n: int, weights: dict[int, float], odd: bool = False) -> np.ndarray:
+    """out = the sum of weight times the value at out + offset, borders mirrored; ``odd``: values change their sign in a mirror, as a derivative does."""
+    d = np.array(list(weights), np.int64)
+    out = np.repeat(np.arange(n), len(d))
+    at, w = out + np.tile(d, n), np.tile(np.array(list(weights.values()), float), n)
+    if odd:
+        turned = at % (2 * (n - 1)) if n > 1 else at * 0
+        w = np.where(turned > n - 1, -w, np.where(turned % max(n - 1, 1) == 0, 0.0, w))
+    return entries(mirrored(at, n), out, w)
+
+
+def framed(spark: SparkSession, table: np.ndarray) -> DataFrame:
+    """A table as a small frame of the driver's."""
+    return spark.createDataFrame([(int(s), int(o), float(w)) for s, o, w in table], "src int, out int, w double")
+
+
+def taps(spark: SparkSession, n: int, weights: dict[int, float]) -> DataFrame:
+    return framed(spark, around(n, weights))
 
 
 def gaussian(radius: int) -> dict[int, float]:
@@ -49,14 +74,26 @@ STEP = {0: 1.0, 1: -1.0}
 BINOMIAL = {-2: 1 / 16, -1: 4 / 16, 0: 6 / 16, 1: 4 / 16, 2: 1 / 16}
 
 
-def halved(spark: SparkSession, n: int) -> DataFrame:
+def halving(n: int) -> np.ndarray:
     """One pyramid step down: (n + 1) // 2 places."""
-    return taps(spark, n, BINOMIAL).filter("out % 2 = 0").select("src", F.expr("cast(out div 2 as int)").alias("out"), "w")
+    t = around(n, BINOMIAL)
+    t = t[t[:, 1] % 2 == 0]
+    return np.column_stack([t[:, 0], t[:, 1] // 2, t[:, 2]])
 
 
-def doubled(spark: SparkSession, n: int) -> DataFrame:
+def doubling(n: int) -> np.ndarray:
     """One pyramid step up, to n places: values on even places, twice the kernel."""
-    return taps(spark, n, BINOMIAL).filter("src % 2 = 0").select(F.expr("cast(src div 2 as int)").alias("src"), "out", (F.col("w") * (2 if n > 1 else 1)).alias("w"))
+    t = around(n, BINOMIAL)
+    t = t[t[:, 0] % 2 == 0]
+    return np.column_stack([t[:, 0] // 2, t[:, 1], t[:, 2] * (2 if n > 1 else 1)])
+
+
+def halved(spark: SparkSession, n: int) -> DataFrame:
+    return framed(spark, halving(n))
+
+
+def doubled(spark: SparkSession, n: int) -> DataFrame:
+    return framed(spark, doubling(n))
 
 
 def binned(spark: SparkSession, n: int, m: int) -> DataFrame:

@@ -13,13 +13,15 @@ import io
 import os
 import struct
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 from typing import BinaryIO
 
 import numpy as np
 import zstandard
 
+from rasterloom.functions import lzw
+
 # Fixed values of the file format: tag numbers, field types, compression codes.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, DESCRIPTION, STRIPS, ORIENTATION = 256, 257, 258, 259, 262, 270, 273, 274
 SAMPLES, ROWS, COUNTS, X_RESOLUTION, Y_RESOLUTION, PLANAR, UNIT, PREDICTOR = 277, 278, 279, 282, 283, 284, 296, 317
@@ -168,72 +170,58 @@ def header(path: str, content: bytes | None = None) -> Header:
     return Header(path, order, h, w, depth, orientation, compression, predictor, seg_h, seg_w, tuple(offsets), tuple(counts), _meta(t, orientation >= 5), content)
 
 
+CLEAR, END, FREE = 256, 257, 258
+#: Width of the k-th code after a clear code, wider a step early, and where it begins; entries of a table before it is left.
+_WIDTHS = np.clip(np.floor(np.log2(FREE + np.arange(lzw.FULL))).astype(np.int64) + 1, 9, 12)
+_PLACES = np.concatenate([[0], np.cumsum(_WIDTHS)])
+_MOST = 3837
+
+
 def lzw_decode(data: bytes) -> bytes:
-    """The format's LZW: codes from the high bit on, one wider a step early."""
-    out, table, width, held, n_held, before = [], [bytes([i]) for i in range(256)] + [b"", b""], 9, 0, 0, None
-    for byte in data:
-        held, n_held = (held << 8) | byte, n_held + 8
-        if n_held < width:
-            continue
-        n_held -= width
-        code, held = held >> n_held, held & ((1 << n_held) - 1)
-        if code == 257:
-            break
-        if code == 256:
-            del table[258:]
-            width, before = 9, None
-            continue
-        if before is None:
-            word = table[code]
+    """The format's LZW: codes from the high bit on."""
+    raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int32)
+    words = raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]
+    total, bit, run, out = 8 * len(data), 0, [], []
+    while True:
+        begun = sum(map(len, run))
+        widths = _WIDTHS[begun:] if begun < lzw.FULL else np.full(lzw.FULL, 12)
+        starts = np.cumsum(widths) - widths
+        n = int(np.searchsorted(starts + widths, total - bit, side="right"))
+        at = bit + starts[:n]
+        codes = words[at >> 3] >> (24 - (at & 7) - widths[:n]) & ((1 << widths[:n]) - 1)
+        marks = np.flatnonzero((codes == CLEAR) | (codes == END))
+        used = int(marks[0]) if len(marks) else n
+        run.append(codes[:used])
+        if len(marks) or not n:
+            out.append(lzw.expanded(np.concatenate(run), FREE))
+            if not len(marks) or codes[used] == END:
+                return b"".join(out)
+            bit, run = bit + int(starts[used] + widths[used]), []
         else:
-            word = table[code] if code < len(table) else before + before[:1]
-            table.append(before + word[:1])
-        out.append(word)
-        before = word
-        width = max(9, min(12, (len(table) + 1).bit_length()))
-    return b"".join(out)
+            bit += int(starts[n - 1] + widths[n - 1])
 
 
 def lzw_encode(data: bytes) -> bytes:
-    out, held, n_held = bytearray(), 0, 0
-    table, width = {bytes([i]): i for i in range(256)}, 9
-    following, word = 258, b""
-
-    def put(code: int) -> None:
-        nonlocal held, n_held
-        held, n_held = (held << width) | code, n_held + width
-        while n_held >= 8:
-            n_held -= 8
-            out.append(held >> n_held)
-            held &= (1 << n_held) - 1
-
-    put(256)
-    for i in range(len(data)):
-        longer = word + data[i : i + 1]
-        if longer in table:
-            word = longer
-            continue
-        put(table[word])
-        table[longer] = following
-        following += 1
-        word = data[i : i + 1]
-        if following == 4095:
-            put(256)
-            table, width, following = {bytes([k]): k for k in range(256)}, 9, 258
-        else:
-            width = max(9, following.bit_length())
-    if word:
-        put(table[word])
-        width = max(9, (following + 1).bit_length())
-    put(257)
-    if n_held:
-        out.append((held << (8 - n_held)) & 255)
-    return bytes(out)
+    runs = lzw.parsed(data, _MOST - 1, CLEAR) or [[]]
+    codes, widths = [[CLEAR]], [[9]]
+    for k, run in enumerate(runs):
+        codes.append([*run, END if k == len(runs) - 1 else CLEAR])
+        widths.append(_WIDTHS[: len(run) + 1])
+    code, width = np.concatenate(codes).astype(np.int64), np.concatenate(widths).astype(np.int64)
+    ends = np.cumsum(width)
+    starts = ends - width
+    moved, at, size = code << (24 - (starts & 7) - width), starts >> 3, int(ends[-1] + 7 >> 3)
+    out = sum(np.bincount(at + k, moved >> 16 - 8 * k & 255, size + 2) for k in range(3))
+    return out[:size].astype(np.uint8).tobytes()
 
 
 def _unpacked(data: bytes, compression: int, most: int) -> bytes:
     if compression in (CODES["zlib"], OLD_ZLIB):
-        return zlib.decompressobj().decompress(data, most)
+        stream = zlib.decompressobj()
+        out = stream.decompress(data, most + 1)
+        while not stream.eof and stream.unconsumed_tail:  # the check sum comes at the end, wherever that is
+            stream.decompress(stream.unconsumed_tail, 1 << 20)
+        return out[:most]
     if compression == CODES["zstd"]:
         return zstandard.ZstdDecompressor().decompress(data, max_output_size=most)
     return lzw_decode(data) if compression == CODES["lzw"] else data
@@ -321,20 +309,35 @@ def _rational(x: float) -> list[int]:
     return [round(x * bottom), bottom]
 
 
-def write(f: BinaryIO, strips: Iterable[bytes], h: int, w: int, compression: str, meta: dict, big: bool | None = None) -> None:
-    """A file of 16-bit RGB; ``strips`` are packed already and in order, of ``strip_rows`` rows each."""
-    big = h * w * 6 * 1.1 + (1 << 20) > 0xFFFFFFFF if big is None else big
-    f.write(struct.pack("<2sHHHQ", b"II", 43, 8, 0, 0) if big else struct.pack("<2sHI", b"II", 42, 0))
-    offsets, counts = [], []
-    for data in strips:
-        offsets.append(f.tell())
-        counts.append(len(data))
-        f.write(data)
+def big_file(h: int, w: int) -> bool:
+    """Whether an output could outgrow the classic form."""
+    return h * w * 6 * 1.1 + (1 << 20) > 0xFFFFFFFF
+
+
+def preamble(big: bool) -> bytes:
+    """What stands before the segments; the place of the directory is still 0."""
+    return struct.pack("<2sHHHQ", b"II", 43, 8, 0, 0) if big else struct.pack("<2sHI", b"II", 42, 0)
+
+
+def pointer(big: bool, directory: int) -> tuple[int, bytes]:
+    """Where in the preamble the directory's place goes, and its bytes."""
+    return (8, struct.pack("<Q", directory)) if big else (4, struct.pack("<I", directory))
+
+
+def directory(at: int, offsets: Sequence[int], counts: Sequence[int], h: int, w: int, compression: str, meta: dict, big: bool, rows: int | None = None, tile: int | None = None) -> tuple[bytes, int]:
+    """What stands behind the segments, which end at ``at``, and where in the file the directory itself is.
+
+    16-bit RGB in strips of ``rows`` rows, or in square tiles of side ``tile``.
+    """
     wide = 16 if big else 4
     tags = [
-        _tag(WIDTH, 4, [w]), _tag(HEIGHT, 4, [h]), _tag(BITS, 3, [16] * 3), _tag(COMPRESSION, 3, [CODES[compression]]), _tag(PHOTOMETRIC, 3, [2]),
-        _tag(STRIPS, wide, offsets), _tag(ORIENTATION, 3, [1]), _tag(SAMPLES, 3, [3]), _tag(ROWS, 4, [strip_rows(w)]), _tag(COUNTS, wide, counts), _tag(PLANAR, 3, [1]), _tag(FORMAT, 3, [1] * 3),
+        _tag(WIDTH, 4, [w]), _tag(HEIGHT, 4, [h]), _tag(BITS, 3, [16] * 3), _tag(COMPRESSION, 3, [CODES[compression]]), _tag(PHOTOMETRIC, 3, [2]), _tag(ORIENTATION, 3, [1]), _tag(SAMPLES, 3, [3]), _tag(PLANAR, 3, [1]),
+        _tag(FORMAT, 3, [1] * 3),
     ]
+    if tile:
+        tags += [_tag(TILE_W, 4, [tile]), _tag(TILE_H, 4, [tile]), _tag(TILES, wide, offsets), _tag(TILE_COUNTS, wide, counts)]
+    else:
+        tags += [_tag(ROWS, 4, [rows or strip_rows(w)]), _tag(STRIPS, wide, offsets), _tag(COUNTS, wide, counts)]
     if "icc" in meta:
         tags.append(_tag(PROFILE, 7, meta["icc"]))
     if "resolution" in meta:
@@ -342,18 +345,32 @@ def write(f: BinaryIO, strips: Iterable[bytes], h: int, w: int, compression: str
     for name, code in {**TEXTS, "description": DESCRIPTION}.items():
         if name in meta:
             tags.append(_tag(code, 2, meta[name].encode() + b"\0"))
-    inline, places = 8 if big else 4, {}
+    inline, places, out = 8 if big else 4, {}, bytearray()
     for code, _, _, raw in tags:
         if len(raw) > inline:
-            f.write(b"\0" * (f.tell() % 2))
-            places[code] = f.tell()
-            f.write(raw)
-    f.write(b"\0" * (-f.tell() % 8))
-    at = f.tell()
-    f.write(struct.pack("<Q" if big else "<H", len(tags)))
+            out += b"\0" * ((at + len(out)) % 2)
+            places[code] = at + len(out)
+            out += raw
+    out += b"\0" * (-(at + len(out)) % 8)
+    here = at + len(out)
+    out += struct.pack("<Q" if big else "<H", len(tags))
     for code, kind, n, raw in sorted(tags):
-        f.write(struct.pack("<HHQ" if big else "<HHI", code, kind, n))
-        f.write(struct.pack("<Q" if big else "<I", places[code]) if code in places else raw.ljust(inline, b"\0"))
-    f.write(struct.pack("<Q" if big else "<I", 0))
-    f.seek(8 if big else 4)
-    f.write(struct.pack("<Q" if big else "<I", at))
+        out += struct.pack("<HHQ" if big else "<HHI", code, kind, n)
+        out += struct.pack("<Q" if big else "<I", places[code]) if code in places else raw.ljust(inline, b"\0")
+    return bytes(out + struct.pack("<Q" if big else "<I", 0)), here
+
+
+def write(f: BinaryIO, segments: Iterable[bytes], h: int, w: int, compression: str, meta: dict, big: bool | None = None, rows: int | None = None, tile: int | None = None) -> None:
+    """A file of 16-bit RGB; ``segments`` are packed already and in order: strips of ``rows`` rows (by default ``strip_rows``), or tiles."""
+    big = big_file(h, w) if big is None else big
+    f.write(preamble(big))
+    offsets, counts = [], []
+    for data in segments:
+        offsets.append(f.tell())
+        counts.append(len(data))
+        f.write(data)
+    tail, here = directory(f.tell(), offsets, counts, h, w, compression, meta, big, rows, tile)
+    f.write(tail)
+    place, value = pointer(big, here)
+    f.seek(place)
+    f.write(value)
