@@ -5,8 +5,9 @@ copyright or reserve rights removed; every run of punctuation, symbols and white
 space made one space; equivalent spellings replaced by one of them.  Its SHA-256
 is then hash-joined with the digests of known licence texts: short ones pass
 through the same expressions, long ones are known by their digests alone.  The
-same look-up by line finds the notices within a text.  The known table has a few
-dozen rows, fixed by the caller, so it is broadcast.
+same look-up by line finds the known texts that stand within a text as a line of
+their own.  The known table has a few dozen rows, fixed by the caller, so it is
+broadcast.
 
 Defined results: a null text is the empty text and matches nothing; texts of any
 length are digested whole; a text that matches several known names (the same text
@@ -17,6 +18,11 @@ empty result; other columns, whatever their names, are kept.
 
 from __future__ import annotations
 
+import hashlib
+import operator
+from collections import Counter
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -206,14 +212,38 @@ def known_digests(spark: SparkSession, known: dict[str, str] | None = None) -> D
     return rows.groupBy(OWN + "digest").agg(F.min("license").alias(OWN + "license"))
 
 
+def marks(canonical_texts: list[str]) -> list[str]:
+    """A few words, one of which every text that is equal to a known one has in it, letter by letter in lower case: no spelling leads to them."""
+    spelled = {w for _, one in EQUIVALENT for w in one.split()}
+    left, chosen = [set(t.split()) - spelled for t in canonical_texts], []
+    if not all(left):
+        return [""]
+    while left:
+        words = Counter(w for own in left for w in own)
+        best = max(words, key=lambda w: (min(len(w), 6), words[w], len(w), w))
+        chosen.append(best)
+        left = [own for own in left if best not in own]
+    return chosen
+
+
 def scan(docs: DataFrame, known: dict[str, str] | None = None) -> DataFrame:
-    """``docs`` with ``__loom_digest``, ``__loom_license`` (null: not a known licence text) and ``__loom_notices``, the names of its lines that are, in their order."""
-    table = known_digests(docs.sparkSession, known)
-    rows = docs.withColumn(OWN + "digest", digest(F.col("text"))).join(F.broadcast(table), OWN + "digest", "left")
-    names = {r[0]: r[1] for r in table.collect()}  # as many as the caller knows texts
-    if not names:
+    """``docs`` with ``__loom_digest``, ``__loom_license`` (null: not a known licence text) and ``__loom_notices``, the names of its lines that are known texts, in their order."""
+    spark = docs.sparkSession
+    rows = docs.withColumn(OWN + "digest", digest(F.col("text"))).join(F.broadcast(known_digests(spark, known)), OWN + "digest", "left")
+    texts = spark.createDataFrame(forms() if known is None else [*known.items()], "license string, known_text string").select("license", canonical(F.col("known_text")).alias("c")).collect()
+    if not texts:  # as many as the caller knows
         return rows.withColumn(OWN + "notices", F.array().cast("array<string>"))
-    lines = F.split(F.coalesce("text", F.lit("")), r"\r\n?|\n")
-    hits = F.filter(F.transform(lines, digest), lambda d: d.isin(list(names)))
+    names: dict[str, str] = {}
+    for r in sorted(texts):
+        names.setdefault(hashlib.sha256(r.c.encode()).hexdigest(), r.license)
+    words = marks([r.c for r in texts])
+
+    def marked(text: Column) -> Column:
+        small = F.lower(text)
+        return reduce(operator.or_, [F.contains(small, F.lit(w)) for w in words])
+
+    # only lines that have one of the words are brought to the canonical form; most texts have none
+    lines = F.filter(F.split(F.col("text"), r"\r\n?|\n"), marked)
     by_digest = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    return rows.withColumn(OWN + "notices", F.transform(hits, lambda d: F.element_at(by_digest, d)))
+    hits = F.transform(F.filter(F.transform(lines, digest), lambda d: d.isin(list(names))), lambda d: F.element_at(by_digest, d))
+    return rows.withColumn(OWN + "notices", F.when(F.coalesce(marked(F.col("text")), F.lit(False)), hits).otherwise(F.array().cast("array<string>")))

@@ -41,7 +41,7 @@ from rasterloom.llm.common import OWN, located, sized, spread_join, without_own,
 SHINGLE = 5
 ROWS, BANDS = 6, 40
 #: Shingles of a cluster that one task compares with as many others.
-BLOCK = 2 << 20
+BLOCK = 1 << 16
 #: Odd factors and summands of the MinHash values (of the hashes' upper halves), fixed by a seed.
 _FIXED = np.random.default_rng(42).integers(0, 1 << 32, (2, ROWS * BANDS, 1), np.uint32)
 FACTORS, SUMMANDS = _FIXED[0] | np.uint32(1), _FIXED[1]

@@ -127,7 +127,7 @@ def op4_sql() -> str:
 WITH known AS MATERIALIZED (SELECT digest, min(name) AS license FROM (SELECT {sql('body')} AS digest, name FROM (VALUES {texts}) AS k(name, body) UNION ALL SELECT * FROM (VALUES {digests}) AS m(digest, name)) GROUP BY digest),
 d AS (SELECT doc_id, {sql('text')} AS digest FROM documents),
 l AS (SELECT doc_id, unnest(string_split(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) AS line, generate_subscripts(string_split(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), 1) AS k FROM documents),
-n AS (SELECT doc_id, string_agg(license, ',' ORDER BY k) AS notices FROM (SELECT doc_id, k, {sql('line')} AS digest FROM l) JOIN known USING (digest) GROUP BY doc_id)
+n AS (SELECT doc_id, string_agg(license, ',' ORDER BY k) AS notices FROM (SELECT doc_id, k, {sql('line')} AS digest FROM l) JOIN (SELECT {sql('body')} AS digest, min(name) AS license FROM (VALUES {texts}) AS k(name, body) GROUP BY 1) USING (digest) GROUP BY doc_id)
 SELECT d.doc_id, d.digest AS canonical_sha256, license, coalesce(notices, '') AS notices FROM d LEFT JOIN known USING (digest) LEFT JOIN n ON n.doc_id = d.doc_id
 """
 

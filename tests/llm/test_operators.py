@@ -427,6 +427,7 @@ def test_licenses_by_line_and_digest(spark):
     assert got[0].c == "license license" and got[5].c == "sublicense sublicense copyright owners"
     assert got[1]["__loom_notices"] == ["MIT-line", "CC-BY-NC-4.0-line", "MIT-line"] and got[1]["__loom_license"] is None
     assert got[2]["__loom_license"] == "MIT-line" and got[6]["__loom_license"] == "ISC" and got[4]["__loom_notices"] == []
+    assert licenses.marks(["licensed under cc", "the software is free"]) == ["software", "under"] and licenses.marks(["license"]) == [""]
     two = {"b": "one text", "a": "One, text"}
     assert [r["__loom_license"] for r in licenses.scan(spark.createDataFrame([("one text!",)], "text string"), two).collect()] == ["a"]  # a tie
     if os.path.exists(apache):
