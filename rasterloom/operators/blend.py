@@ -1,4 +1,4 @@
-"""Weights, fusion and pyramids."""
+"""Weights, merging and pyramids, pixel by pixel; ``valid`` (0 or 1) tells which pixels of a moved frame there are."""
 
 from __future__ import annotations
 
@@ -17,9 +17,10 @@ def clip01(v: Column) -> Column:
 
 
 def masks(frames: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
-    """For every frame that some pixel of its stack is labelled with: its pixels and ``mask``, 1 where it is the label."""
+    """For every frame that some pixel of its stack is labelled with: its pixels and ``mask``, 1 where it is the label; all are valid unless ``frames`` says so."""
     used = labels.select(*keys, F.col("label").alias("frame")).distinct()
     rows = frames.join(used, [*keys, "frame"], "left_semi").join(labels, [*keys, "y", "x"])
+    rows = rows if "valid" in frames.columns else rows.withColumn("valid", F.lit(1))
     return rows.withColumn("mask", (F.col("label") == F.col("frame")).cast("double"))
 
 
@@ -31,7 +32,7 @@ def softened(rows: DataFrame, keys: list[str], h: int, w: int, radius: int) -> D
 def plain_weight() -> Column:
     """Hard where the choice is sure, soft elsewhere."""
     hard = clip01(4 * F.col("confidence"))
-    return hard * F.col("mask") + (1 - hard) * F.col("soft")
+    return (hard * F.col("mask") + (1 - hard) * F.col("soft")) * F.col("valid")
 
 
 def protection() -> Column:
@@ -41,7 +42,7 @@ def protection() -> Column:
 def occlusion_weight() -> Column:
     """Soft only in unprotected transitions."""
     s = (1 - protection()) * clip01(4 * F.col("soft") * (1 - F.col("soft")))
-    return F.col("mask") * (1 - s) + F.col("soft") * s
+    return (F.col("mask") * (1 - s) + F.col("soft") * s) * F.col("valid")
 
 
 def fused(rows: DataFrame, keys: list[str], values: list[str], fallback: DataFrame) -> DataFrame:
@@ -54,7 +55,7 @@ def fused(rows: DataFrame, keys: list[str], values: list[str], fallback: DataFra
 
 def owned(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """The values of the frame that each pixel is labelled with."""
-    return rows.groupBy(*keys, "y", "x").agg(*[F.sum(F.col(v) * F.col("mask")).alias(v) for v in values])
+    return rows.groupBy(*keys, "y", "x").agg(*[F.sum(F.col(v) * F.col("mask") * F.col("valid")).alias(v) for v in values])
 
 
 def down(df: DataFrame, keys: list[str], value: str, h: int, w: int) -> DataFrame:
@@ -110,7 +111,7 @@ def multiband(rows: DataFrame, keys: list[str], value: str, h: int, w: int, leve
     for k in range(1, levels + 1):
         now, size = held(down(now, own, "weight", *size), "weights"), ((size[0] + 1) // 2, (size[1] + 1) // 2)
         step = 1 << k
-        at = rows.filter(f"y % {step} = 0 and x % {step} = 0").select(*own, F.expr(f"cast(y div {step} as int)").alias("y"), F.expr(f"cast(x div {step} as int)").alias("x"), p.alias("p"), "mask")
+        at = rows.filter(f"y % {step} = 0 and x % {step} = 0").select(*own, F.expr(f"cast(y div {step} as int)").alias("y"), F.expr(f"cast(x div {step} as int)").alias("x"), p.alias("p"), (F.col("mask") * F.col("valid")).alias("mask"))
         weight = F.col("weight") * (1 - F.col("p")) + F.col("mask") * F.col("p")
         weights = weights.unionByName(now.join(at, [*own, "y", "x"]).select(*own, F.lit(k).alias("level"), "y", "x", weight.alias("weight")))
     sums = bands.join(weights, [*own, "level", "y", "x"]).groupBy(*keys, "level", "y", "x").agg(F.sum("weight").alias("wsum"), F.sum(F.col("weight") * F.col(value)).alias("wvsum"))

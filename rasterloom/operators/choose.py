@@ -46,11 +46,10 @@ def confidence_of(first: Column, second: Column) -> Column:
 
 
 def labels(scores: DataFrame, keys: list[str]) -> DataFrame:
-    """``label`` and ``confidence`` of each pixel, and the ranked frames ``best``."""
-    r = ranked(scores, keys)
-    at = lambda k, c: F.max(F.when(F.col("rank") == k, F.col(c)))
-    rows = r.groupBy(*keys, "y", "x").agg(at(1, "frame").alias("label"), at(1, "score").cast("double").alias("s0"), at(2, "score").cast("double").alias("s1"), F.collect_set("frame").alias("best"))
-    return rows.select(*keys, "y", "x", "label", confidence_of(F.col("s0"), F.col("s1")).alias("confidence"), "best")
+    """``label`` and ``confidence`` of each pixel, and ``best``, the frames in its three slots (as ``cascade`` leaves them)."""
+    c = F.col("c")
+    best = F.transform(F.filter(c, lambda s: s["score"] >= 0), lambda s: s["frame"])
+    return cascade(scores, keys).select(*keys, "y", "x", c[0]["frame"].alias("label"), confidence_of(c[0]["score"], c[1]["score"]).alias("confidence"), best.alias("best"))
 
 
 def median3(df: DataFrame, keys: list[str], label: str, h: int, w: int) -> DataFrame:

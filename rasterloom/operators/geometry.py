@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.functions.pixel import replicate
+from rasterloom.operators import arrays
 
 M = ("a", "b", "c", "d", "e", "f")
 
@@ -33,7 +35,7 @@ def singular(a: Column, b: Column, d: Column, e: Column) -> tuple[Column, Column
 
 
 def verdict(rows: DataFrame) -> DataFrame:
-    """Adds ``reason``: why a transform is rejected, or null.  (The overlap is judged by ``kernels.overlap``.)"""
+    """Adds ``reason``: why a transform is rejected, or null.  (The overlap is judged by ``register.overlap``.)"""
     a, b, c, d, e, f = (F.col(x) for x in M)
     finite = ~F.greatest(*[F.isnan(x) | (F.abs(x) == float("inf")) | x.isNull() for x in (a, b, c, d, e, f)])
     large, small = singular(a, b, d, e)
@@ -45,20 +47,35 @@ def verdict(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"reason": reason, "scale": F.sqrt(F.abs(a * e - b * d)), "rotation": turn})
 
 
-def warped(pixels: DataFrame, transforms: DataFrame, keys: list[str], value: str, h: int, w: int) -> DataFrame:
+def warped(pixels: DataFrame, transforms: DataFrame, keys: list[str], value: str, h: int, w: int, side: int = 256) -> DataFrame:
     """Each frame drawn on the reference's places: bilinear, borders repeated; ``valid`` within 1e-4 of the source.
 
-    transforms: one row for each frame, source to reference; places are mapped by the inverse.  The four
-    corners are an equi-join on whole coordinates.
+    transforms: one row for each frame, source to reference; places are mapped by the inverse.  The result is cut into
+    blocks; each asks for the source blocks under its corners (an equi-join on block numbers), and is drawn in a task.
     """
-    spark = pixels.sparkSession
-    inv = transforms.select(*keys, *[v.alias(k) for k, v in inverse(*[F.col(m) for m in M]).items()])
-    places = spark.range(h * w).select(F.expr(f"cast(id div {w} as int)").alias("y"), F.expr(f"cast(id % {w} as int)").alias("x"))
-    at = inv.crossJoin(F.broadcast(places)) if h * w <= 1 << 22 else inv.crossJoin(places)
-    at = at.select(*keys, "y", "x", (F.expr("a * x + b * y + c")).alias("u"), (F.expr("d * x + e * y + f")).alias("v"))
-    at = at.withColumns({"valid": F.expr(f"u >= -1e-4 and u <= {w - 1} + 1e-4 and v >= -1e-4 and v <= {h - 1} + 1e-4"), "x0": F.floor("u"), "y0": F.floor("v")})
-    at = at.withColumns({"fx": F.col("u") - F.col("x0"), "fy": F.col("v") - F.col("y0")})
-    corner = lambda dy, dx: F.struct(replicate(F.col("y0") + dy, h).cast("int").alias("sy"), replicate(F.col("x0") + dx, w).cast("int").alias("sx"), ((F.col("fy") if dy else 1 - F.col("fy")) * (F.col("fx") if dx else 1 - F.col("fx"))).alias("w"))
-    four = at.withColumn("k", F.explode(F.array(corner(0, 0), corner(0, 1), corner(1, 0), corner(1, 1)))).select(*keys, "y", "x", "valid", "k.sy", "k.sx", "k.w").filter("w != 0")
-    source = pixels.select(*keys, F.col("y").alias("sy"), F.col("x").alias("sx"), F.col(value).alias("value"))
-    return four.join(source, [*keys, "sy", "sx"]).groupBy(*keys, "y", "x", "valid").agg(F.sum(F.col("w") * F.col("value")).alias(value))
+    inv = transforms.select(*keys, *[v.alias("m" + k) for k, v in inverse(*[F.col(m) for m in M]).items()])
+    across, down = -(-w // side), -(-h // side)
+    asked = inv.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(across * down - 1))))
+    asked = asked.withColumns({"ty": F.expr(f"cast(block div {across} as int)"), "tx": F.expr(f"cast(block % {across} as int)")})
+    corners = [(y, x) for y in (f"ty * {side}", f"least(ty * {side} + {side}, {h}) - 1") for x in (f"tx * {side}", f"least(tx * {side} + {side}, {w}) - 1")]
+    for name, (p, q, r), n in (("sx", "abc", w), ("sy", "def", h)):
+        at = ", ".join(f"m{p} * ({x}) + m{q} * ({y}) + m{r}" for y, x in corners)
+        first, last = f"floor(least({at})) - 1", f"ceil(greatest({at})) + 1"
+        asked = asked.withColumn(name, F.explode(F.expr(f"sequence(cast(greatest(least({first}, {n - 1}), 0) div {side} as int), cast(least(greatest({last}, 0), {n - 1}) div {side} as int))")))
+    source = pixels.select(*keys, "y", "x", F.col(value).cast("double").alias("value")).withColumns({"sy": F.expr(f"cast(y div {side} as int)"), "sx": F.expr(f"cast(x div {side} as int)")})
+    names = [f"m{k}" for k in M]
+    rows = source.join(asked, [*keys, "sy", "sx"]).select(*keys, "ty", "tx", *names, "y", "x", "value")
+
+    def draw(table: pa.Table) -> pa.Table:
+        y, x, v = (table.column(c).to_numpy() for c in ("y", "x", "value"))
+        block = np.zeros((y.max() + 1 - y.min(), x.max() + 1 - x.min()))
+        block[y - y.min(), x - x.min()] = v
+        row = {c: table.column(c)[0].as_py() for c in (*keys, "ty", "tx", *names)}
+        box = (row["ty"] * side, min(row["ty"] * side + side, h), row["tx"] * side, min(row["tx"] * side + side, w))
+        out, valid = arrays.warped(block, np.array([row[n] for n in names]).reshape(2, 3), box, (int(y.min()), int(x.min())), (h, w))
+        oy, ox = np.mgrid[box[0] : box[1], box[2] : box[3]].astype(np.int32)
+        own = {k: pa.array([row[k]] * out.size, table.schema.field(k).type) for k in keys}
+        return pa.table({**own, "y": pa.array(oy.ravel()), "x": pa.array(ox.ravel()), "valid": pa.array(valid.ravel()), value: pa.array(out.ravel())})
+
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pixels.select(*keys).schema.fields)
+    return rows.groupBy(*keys, "ty", "tx").applyInArrow(draw, f"{types}, y int, x int, valid boolean, {value} double")

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.functions import pixel
-from rasterloom.operators import arrays, axis, blend, choose, focus, geometry, match, tiles
+from rasterloom.operators import arrays, axis, blend, blocks, choose, focus, geometry, layers, match, tiles
 from rasterloom.plans import oracle
-from rasterloom.sources import listing, rasters
+from rasterloom.sources import listing, rasters, scenes
 from rasterloom.sources.scratch import held
 
 N = rasters.SIDE
@@ -37,28 +38,62 @@ def r(c: Column | str, digits: int = 6) -> Column:
     return F.round(c, digits)
 
 
+def blockwise(df: DataFrame, halo: int, kernel: Callable[[np.ndarray], dict[str, np.ndarray]], columns: dict[str, str]) -> DataFrame:
+    """A kernel on the values ``v`` of each frame."""
+    return blocks.by_block(df, FRAME, ["v"], N, N, halo, lambda b: kernel(b["v"].astype(float)), columns)
+
+
+def seen(spark: SparkSession, d: str) -> DataFrame:
+    """Frames some of which do not reach the left border, as if they had been moved."""
+    e = rasters.embeddings(spark, d)
+    return e.withColumn("valid", F.when((F.col("frame") % 4 == 0) & (F.col("x") < 2), 0).otherwise(1))
+
+
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    """Frames with the squared gradient as their score."""
-    e = focus.energy(rasters.embeddings(spark, d), FRAME, F.col("v"), N, N)
-    return e.select("stack", "frame", "y", "x", F.col("energy").alias("score"))
+    """Frames with the squared gradient as their score; -1 where a pixel or a neighbour of it is not valid."""
+    rows = choose.eroded(seen(spark, d), FRAME, "valid", N, N, 1).select(*FRAME, "y", "x", F.col("valid").alias("usable"))
+    e = blockwise(rasters.embeddings(spark, d), 1, lambda v: {"energy": arrays.energy(v)}, {"energy": "double"})
+    return e.join(rows, [*FRAME, "y", "x"]).select(*FRAME, "y", "x", F.when(F.col("usable") == 1, F.col("energy")).otherwise(-1.0).alias("score"))
 
 
-def label_plane(spark: SparkSession, d: str) -> DataFrame:
-    """label, confidence, edge, best: before clean-up."""
-    frames = rasters.embeddings(spark, d)
-    lab = choose.labels(scored(spark, d), PIXEL)
-    guide = lab.join(frames.withColumnRenamed("frame", "label"), ["stack", "label", "y", "x"])
-    edge = focus.edge_strength(guide, PIXEL, F.col("v"), N, N)
-    return lab.join(edge, ["stack", "y", "x"])
+def chosen(b: blocks.Block, score: Callable[[np.ndarray], np.ndarray], support: int) -> tuple[arrays.Best, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a raster's frames: the best three, confidence, edge and cleaned labels (places in ``b.frames``)."""
+    best = arrays.Best(b["v"].shape[1:], np.float64)
+    for k, v in enumerate(b["v"].astype(float)):
+        best.see(np.where(arrays.eroded(b["valid"][k] > 0, support), score(v), -1), k, v)
+    confidence, edge = best.confidence(), best.edge()
+    return best, confidence, edge, arrays.cleaned(best, confidence, edge)
+
+
+def label_planes(spark: SparkSession, d: str) -> DataFrame:
+    """label (cleaned), confidence and edge of each place, by the squared gradient."""
+    def kernel(b: blocks.Block) -> dict[str, np.ndarray]:
+        _, confidence, edge, label = chosen(b, arrays.energy, 1)
+        return {"label": b.frames[label][None], "confidence": confidence[None], "edge": edge[None]}
+
+    return blocks.by_block(seen(spark, d), PIXEL, ["v", "valid"], N, N, 4, kernel, {"label": "long", "confidence": "double", "edge": "double"}, frame="frame")
 
 
 def weighted(spark: SparkSession, d: str, weight: Callable[[], Column]) -> DataFrame:
-    clean = choose.cleaned(label_plane(spark, d), PIXEL, N, N).select("stack", "y", "x", "label", "confidence", "edge")
-    clean = held(clean, "labels")  # used for the mask, the frames in use and the weights
-    rows = blend.softened(blend.masks(rasters.embeddings(spark, d), clean, PIXEL), PIXEL, N, N, 2)
+    clean = held(label_planes(spark, d), "labels")  # used for the mask, the frames in use and the weights
+    rows = blend.softened(blend.masks(seen(spark, d), clean, PIXEL), PIXEL, N, N, 2)
     return rows.withColumn("weight", weight())
 
 
+def laid(spark: SparkSession, d: str, rules: layers.Rules, score: Callable[[np.ndarray], np.ndarray], support: int, finish: Callable, columns: dict[str, str]) -> DataFrame:
+    """Each stack's frames put together, in one exchange: ``finish(layers, b)`` makes planes of the sums."""
+    def kernel(b: blocks.Block) -> dict[str, np.ndarray]:
+        _, confidence, edge, label = chosen(b, score, support)
+        sure = np.maximum(np.clip(5 * confidence, 0, 1), edge) if rules.levels else np.clip(4 * confidence, 0, 1)
+        sums = layers.Layers(label, sure, rules)
+        for k in np.unique(label).tolist():
+            sums.add(k, np.repeat(b["v"][k].astype(float)[None], 3, 0), b["valid"][k] > 0)
+        return {name: plane[None] for name, plane in finish(sums, b).items()}
+
+    halo = support + 2 + rules.blend_radius + sum(4 << k for k in range(rules.levels))
+    return blocks.by_block(seen(spark, d), PIXEL, ["v", "valid"], N, N, halo, kernel, columns, grid=1 << rules.levels, frame="frame")
+
+
 @query("raster_embeddings", "SELECT stack, frame, y, x, v FROM emb")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return rasters.embeddings(spark, d)
@@ -93,13 +128,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("gaussian_smooth", f"SELECT stack, frame, y, x, round(s, 4) AS s FROM ({oracle.smooth('emb', FRAME, 'v', 's', 3)})")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return focus.smooth(rasters.embeddings(spark, d), FRAME, F.col("v"), "s", N, N, 3).withColumn("s", r("s", 4))
+    return blockwise(rasters.embeddings(spark, d), 3, lambda v: {"s": arrays.smooth(v, 3)}, {"s": "double"}).withColumn("s", r("s", 4))
 
 
 @query("sobel", "SELECT stack, frame, y, x, CAST(gx AS BIGINT) AS gx, CAST(gy AS BIGINT) AS gy FROM sobel")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    s = focus.sobel(rasters.embeddings(spark, d), FRAME, F.col("v"), N, N)
-    return s.select("stack", "frame", "y", "x", F.col("gx").cast("long").alias("gx"), F.col("gy").cast("long").alias("gy"))
+    return blockwise(rasters.embeddings(spark, d), 1, lambda v: dict(zip(("gx", "gy"), map(np.rint, arrays.sobel(v)))), {"gx": "long", "gy": "long"})
 
 
 def _tenengrad_sql(radius: int) -> str:
@@ -108,7 +142,7 @@ def _tenengrad_sql(radius: int) -> str:
 
 @query("tenengrad", f"SELECT stack, frame, y, x, round(score / 1e6, 4) AS score FROM ({_tenengrad_sql(3)})")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return focus.tenengrad(rasters.embeddings(spark, d), FRAME, F.col("v"), N, N, 3).withColumn("score", r(F.col("score") / 1e6, 4))
+    return blockwise(rasters.embeddings(spark, d), 4, lambda v: {"score": arrays.standard_score(v, 3)}, {"score": "double"}).withColumn("score", r(F.col("score") / 1e6, 4))
 
 
 oracle.PLANES["ten3"] = _tenengrad_sql(3)
@@ -120,7 +154,7 @@ oracle.PLANES["ten6"] = oracle.smooth("s3_energy", FRAME, "energy", "score", 6)
 
 @query("standard_score_multiscale", "SELECT a.stack, a.frame, a.y, a.x, round((a.score + 0.5 * b.score) / 1e6, 4) AS score FROM ten3 a JOIN ten6 b ON b.stack = a.stack AND b.frame = a.frame AND b.y = a.y AND b.x = a.x")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    s = focus.standard_score(rasters.embeddings(spark, d), FRAME, F.col("v"), N, N, 3, multiscale=True)
+    s = blockwise(rasters.embeddings(spark, d), 10, lambda v: {"score": arrays.standard_score(v, 3, True)}, {"score": "double"})
     return s.withColumn("score", r(F.col("score") / 1e6, 4))
 
 
@@ -136,18 +170,18 @@ oracle.PLANES["floor_"] = "SELECT stack, frame, y, x, coherence, 0.25 * m2 * gre
 
 @query("noise_coherence", "SELECT stack, frame, y, x, round(coherence, 6) AS coherence, round(noise / 1e6, 4) AS noise FROM floor_")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    s = focus.structure(rasters.embeddings(spark, d), FRAME, F.col("v"), N, N, 2)
-    return s.select(*FRAME, "y", "x", r("coherence").alias("coherence"), r(F.col("noise") / 1e6, 4).alias("noise"))
+    s = blockwise(rasters.embeddings(spark, d), 3, lambda v: arrays.structure(v, 2), {"coherence": "double", "noise": "double"})
+    return s.select(*FRAME, "y", "x", r(F.sqrt("coherence")).alias("coherence"), r(F.col("noise") / 1e6, 4).alias("noise"))
 
 
 oracle.PLANES["sq"] = "SELECT stack, frame, y, x, CAST(v AS DOUBLE) AS v, CAST(v AS DOUBLE) * v AS v2 FROM emb"
-oracle.PLANES["m1"] = oracle.smooth("sq", FRAME, "v", "m", 2)
-oracle.PLANES["m2s"] = oracle.smooth("sq", FRAME, "v2", "s", 2)
+oracle.PLANES["mean2"] = oracle.smooth("sq", FRAME, "v", "m", 2)
+oracle.PLANES["square2"] = oracle.smooth("sq", FRAME, "v2", "s", 2)
 
 
-@query("contrast", "SELECT stack, frame, y, x, round(greatest(s - m * m, 0) / 1e6, 4) AS variance, round(greatest(s - m * m, 0) / (greatest(s - m * m, 0) + 2 * noise + 1024), 6) AS contrast FROM m1 JOIN m2s USING (stack, frame, y, x) JOIN floor_ USING (stack, frame, y, x)")
+@query("contrast", "SELECT stack, frame, y, x, round(greatest(s - m * m, 0) / 1e6, 4) AS variance, round(greatest(s - m * m, 0) / (greatest(s - m * m, 0) + 2 * noise + 1024), 6) AS contrast FROM mean2 JOIN square2 USING (stack, frame, y, x) JOIN floor_ USING (stack, frame, y, x)")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    s = focus.contrast(rasters.embeddings(spark, d), FRAME, F.col("v"), N, N, 2)
+    s = blockwise(rasters.embeddings(spark, d), 3, lambda v: arrays.structure(v, 2), {"variance": "double", "contrast": "double"})
     return s.select(*FRAME, "y", "x", r(F.col("variance") / 1e6, 4).alias("variance"), r("contrast").alias("contrast"))
 
 
@@ -159,9 +193,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 for _r in (2, 4):
     oracle.PLANES[f"noise{_r}"] = oracle.smooth("floor_", FRAME, "noise", "v", _r)
-for _k, (_support, _sigma, _) in enumerate(focus.SCALES[:2]):
+for _k, (_support, _sigma, _) in enumerate(focus.SCALES):
     _bell, _wide = focus.bell(_support, _sigma), focus.reach(_support, 2)
-    oracle.PLANES[f"scale{_k}"] = oracle.conv("emb", FRAME, "v", {"v": axis.outer(_bell, _bell)})
+    oracle.PLANES[f"scale{_k}"] = oracle.separable("emb", FRAME, "v", "v", _bell)
     oracle.PLANES[f"scale{_k}_d"] = oracle.conv(f"scale{_k}", FRAME, "v", {**focus.SOBEL, **focus.LAPLACE})
     oracle.PLANES[f"scale{_k}_e"] = f"SELECT stack, frame, y, x, gx * gx + gy * gy AS energy, lap * lap AS bend FROM scale{_k}_d"
     oracle.PLANES[f"energy{_k}"] = oracle.smooth(f"scale{_k}_e", FRAME, "energy", "v", _wide)
@@ -169,17 +203,20 @@ for _k, (_support, _sigma, _) in enumerate(focus.SCALES[:2]):
 
 
 def _photographic_sql() -> str:
-    parts, joins = [], "floor_ n JOIN m1 USING (stack, frame, y, x) JOIN m2s USING (stack, frame, y, x) JOIN noise2 USING (stack, frame, y, x) JOIN noise4 USING (stack, frame, y, x)"
-    for k, (support, sigma, weight) in enumerate(focus.SCALES[:2]):
+    parts, joins = [], "floor_ n JOIN mean2 USING (stack, frame, y, x) JOIN square2 USING (stack, frame, y, x) JOIN noise2 USING (stack, frame, y, x) JOIN noise4 USING (stack, frame, y, x)"
+    for k, (support, sigma, weight) in enumerate(focus.SCALES):
         joins += f" JOIN energy{k} USING (stack, frame, y, x) JOIN bend{k} USING (stack, frame, y, x)"
         parts.append(f"{weight} * (greatest(energy{k}.v - {1.5 * focus.noise_gain(support, sigma)!r} * noise{focus.reach(support, 2)}.v, 0) + 0.2 * greatest(bend{k}.v - 0.5 * n.noise, 0))")
     variance = "greatest(s - m * m, 0)"
-    return f"SELECT stack, frame, y, x, round(({' + '.join(parts)}) * {variance} / ({variance} + 2 * n.noise + 1024) / 1e6, 3) AS score FROM {joins}"
+    return f"SELECT stack, frame, y, x, ({' + '.join(parts)}) * {variance} / ({variance} + 2 * n.noise + 1024) AS score FROM {joins}"
+
+
+oracle.PLANES["photo"] = _photographic_sql()
 
 
-@query("photographic_score", _photographic_sql())
+@query("photographic_score", "SELECT stack, frame, y, x, round(score / 1e6, 3) AS score FROM photo")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    s = focus.photographic_score(rasters.embeddings(spark, d), FRAME, F.col("v"), N, N, 2)
+    s = blockwise(rasters.embeddings(spark, d), 12, lambda v: {"score": arrays.photographic_score(v, 2, True)}, {"score": "double"})
     return s.select(*FRAME, "y", "x", r(F.col("score") / 1e6, 3).alias("score"))
 
 
@@ -188,25 +225,17 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return choose.ranked(scored(spark, d), PIXEL).select("stack", "y", "x", F.col("rank").cast("long").alias("rank"), "frame", F.col("score").cast("long").alias("score"))
 
 
-@query("top3_cascade", """
-, quant AS (SELECT stack, frame, y, x, CAST(floor(energy / 4e8) AS DOUBLE) AS s, row_number() OVER (PARTITION BY stack, y, x ORDER BY frame) AS k FROM energy),
-walk AS (WITH RECURSIVE w AS (
-  SELECT stack, y, x, k, s AS s0, CAST(frame AS BIGINT) AS f0, CAST(-1 AS DOUBLE) AS s1, CAST(0 AS BIGINT) AS f1, CAST(-1 AS DOUBLE) AS s2, CAST(0 AS BIGINT) AS f2 FROM quant WHERE k = 1
-  UNION ALL
-  SELECT w.stack, w.y, w.x, q.k,
-    CASE WHEN q.s > s0 THEN q.s ELSE s0 END, CASE WHEN q.s > s0 THEN q.frame ELSE f0 END,
-    CASE WHEN q.s > s0 THEN greatest(s0, s1) WHEN q.s > s1 THEN q.s ELSE s1 END, CASE WHEN q.s > s0 THEN CASE WHEN s0 > s1 THEN f0 ELSE f1 END WHEN q.s > s1 THEN q.frame ELSE f1 END,
-    CASE WHEN q.s > s0 THEN CASE WHEN s0 > s1 THEN greatest(s1, s2) ELSE greatest(s0, s2) END WHEN q.s > s1 THEN greatest(s1, s2) WHEN q.s > s2 THEN q.s ELSE s2 END,
-    CASE WHEN q.s > s0 THEN CASE WHEN s0 > s1 THEN CASE WHEN s1 > s2 THEN f1 ELSE f2 END WHEN s0 > s2 THEN f0 ELSE f2 END WHEN q.s > s1 THEN CASE WHEN s1 > s2 THEN f1 ELSE f2 END WHEN q.s > s2 THEN q.frame ELSE f2 END
-  FROM w JOIN quant q ON q.stack = w.stack AND q.y = w.y AND q.x = w.x AND q.k = w.k + 1) SELECT * FROM w)
-SELECT stack, y, x, s0, f0, s1, f1, s2, f2 FROM (SELECT *, max(k) OVER (PARTITION BY stack, y, x) AS n FROM walk) WHERE k = n
-""")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    s = scored(spark, d).withColumn("score", F.floor(F.col("score") / 4e8).cast("double"))
+oracle.PLANES["quant"] = "SELECT stack, frame, y, x, floor(score / 4e8) AS score FROM score WHERE score > -1"
+oracle.PLANES["quantslots"] = oracle.slots("quant", "score")
+
+
+@query("top3_cascade", "SELECT stack, y, x, s0, f0, s1, f1, s2, f2 FROM quantslots")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = scored(spark, d).filter("score > -1").withColumn("score", F.floor(F.col("score") / 4e8).cast("double"))
     return choose.cascade(s, PIXEL).select("stack", "y", "x", *[F.col("c")[k][n].alias(n[0] + str(k)) for k in range(3) for n in ("score", "frame")])
 
 
-@query("winner_argmax", "SELECT stack, y, x, label AS frame, CAST(s0 AS BIGINT) AS score FROM top")
+@query("winner_argmax", "SELECT stack, y, x, label AS frame, CAST(s0 AS BIGINT) AS score FROM conf")
 def _(spark: SparkSession, d: str) -> DataFrame:
     w = choose.winner(scored(spark, d), PIXEL)
     return w.select("stack", "y", "x", "frame", F.col("score").cast("long").alias("score"))
@@ -214,8 +243,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("guide_plane", "SELECT stack, y, x, v FROM guide")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    s = focus.sobel(rasters.embeddings(spark, d), FRAME, F.col("v"), N, N)
-    s = s.join(rasters.embeddings(spark, d), [*FRAME, "y", "x"]).withColumn("score", F.col("gx") ** 2 + F.col("gy") ** 2)
+    s = scored(spark, d).join(rasters.embeddings(spark, d), [*FRAME, "y", "x"])
     return choose.winner(s, PIXEL, "v").select("stack", "y", "x", "v")
 
 
@@ -226,7 +254,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("edge_strength", "SELECT stack, y, x, round(edge, 6) AS edge FROM edge")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return label_plane(spark, d).select("stack", "y", "x", r("edge").alias("edge"))
+    guide = QUERIES["guide_plane"](spark, d)
+    return focus.edge_strength(guide, PIXEL, F.col("v"), N, N).withColumn("edge", r("edge"))
 
 
 @query("median3_labels", "SELECT stack, y, x, median FROM med")
@@ -236,7 +265,16 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("cleanup_max", "SELECT stack, y, x, label FROM plane")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return choose.cleaned(label_plane(spark, d), PIXEL, N, N).select("stack", "y", "x", "label")
+    return label_planes(spark, d).select("stack", "y", "x", "label")
+
+
+@query("cleanup_pixels", "SELECT stack, y, x, label FROM plane")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The same, pixel by pixel."""
+    lab = choose.labels(scored(spark, d), PIXEL).join(QUERIES["guide_plane"](spark, d), ["stack", "y", "x"])
+    lab = held(lab, "labels")  # used for the edges, the medians and the choice
+    rows = lab.drop("v").join(focus.edge_strength(lab, PIXEL, F.col("v"), N, N), ["stack", "y", "x"])
+    return choose.cleaned(rows, PIXEL, N, N).select("stack", "y", "x", "label")
 
 
 @query("cleanup_standard", "SELECT c.stack, c.y, c.x, CASE WHEN c.confidence < 0.25 THEN m.median ELSE c.label END AS label FROM conf c JOIN med m ON m.stack = c.stack AND m.y = c.y AND m.x = c.x")
@@ -272,9 +310,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 SELECT e.stack, e.y, e.x, CAST(least(greatest(round_even(CASE WHEN coalesce(total, 0) > 1e-8 THEN t / greatest(total, 1e-8) ELSE e.v END, 0), 0), 65535) AS INTEGER) AS v, coalesce(total, 0) > 1e-8 AS covered
 FROM emb e JOIN f ON f.stack = e.stack AND f.frame = e.frame LEFT JOIN s ON s.stack = e.stack AND s.y = e.y AND s.x = e.x""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    e = rasters.embeddings(spark, d)
-    first = e.join(e.groupBy("stack").agg(F.min("frame").alias("frame")), FRAME, "left_semi")
-    return blend.fused(weighted(spark, d, blend.plain_weight), PIXEL, ["v"], first)
+    def finish(sums: layers.Layers, b: blocks.Block) -> dict[str, np.ndarray]:
+        return {"v": sums.image(lambda: np.repeat(b["v"][:1].astype(float), 3, 0))[..., 0], "covered": sums.totals[0] > arrays.FLOOR}
+
+    return laid(spark, d, layers.Rules(0, 1, 2, 2), arrays.energy, 1, finish, {"v": "int", "covered": "boolean"})
 
 
 @query("fallback_fill", """
@@ -287,7 +326,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return blend.fused(weighted(spark, d, blend.plain_weight).filter("(y + x) % 3 != 0"), PIXEL, ["v"], first)
 
 
-@query("hard_owned", "SELECT stack, y, x, CAST(sum(v * mask) AS BIGINT) AS v FROM mask GROUP BY stack, y, x")
+@query("hard_owned", "SELECT stack, y, x, CAST(sum(v * mask * valid) AS BIGINT) AS v FROM mask GROUP BY stack, y, x")
 def _(spark: SparkSession, d: str) -> DataFrame:
     own = blend.owned(weighted(spark, d, blend.plain_weight), PIXEL, ["v"])
     return own.select("stack", "y", "x", F.col("v").cast("long").alias("v"))
@@ -305,30 +344,47 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("laplacian_levels", "SELECT stack, frame, 0 AS level, y, x, round(v, 4) AS v FROM lap0 UNION ALL SELECT stack, frame, 1, y, x, round(v, 4) FROM small")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return blend.pyramid(rasters.embeddings(spark, d), FRAME, "v", N, N, 1).withColumn("v", r("v", 4))
+    kernel = lambda b: [{"v": p} for p in arrays.pyramid(b["v"].astype(float), 1)]
+    return blocks.by_block(rasters.embeddings(spark, d), FRAME, ["v"], N, N, 4, kernel, {"v": "double"}, grid=2, levels=True).withColumn("v", r("v", 4))
 
 
 @query("pyramid_roundtrip", "SELECT stack, frame, y, x, CAST(round(v, 3) AS DOUBLE) AS v FROM emb")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    levels = blend.pyramid(rasters.embeddings(spark, d), FRAME, "v", N, N, 2)
-    return blend.collapsed(levels, FRAME, "v", N, N, 2).withColumn("v", r("v", 3))
+    return blockwise(rasters.embeddings(spark, d), 60, lambda v: {"v": arrays.collapsed(arrays.pyramid(v, 4))}, {"v": "double"}).withColumn("v", r("v", 3) + 0.0)
 
 
 @query("multiband_accumulate", "SELECT stack, y, x, round(v, 3) AS v, covered FROM mb")
 def _(spark: SparkSession, d: str) -> DataFrame:
+    """Three levels, before the owned pixels come in."""
+    def finish(sums: layers.Layers, b: blocks.Block) -> dict[str, np.ndarray]:
+        image = arrays.collapsed([s / np.maximum(t, arrays.FLOOR) for s, t in zip(sums.sums, sums.totals)])
+        return {"v": image[0], "covered": sums.totals[0] > arrays.FLOOR}
+
+    return laid(spark, d, layers.Rules(3, 1, 2, 2), arrays.energy, 1, finish, {"v": "double", "covered": "boolean"}).withColumn("v", r("v", 3))
+
+
+@query("multiband_pixels", "SELECT stack, y, x, round(v, 3) AS v, covered FROM mb")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The same, pixel by pixel."""
     rows = weighted(spark, d, blend.occlusion_weight)
-    return blend.multiband(rows, PIXEL, "v", N, N, 1).withColumn("v", r("v", 3))
+    return blend.multiband(rows, PIXEL, "v", N, N, 3).withColumn("v", r("v", 3))
+
+
+#: The whole of quality max, on scores of three scales: erosion, slots, clean-up, four levels, owned pixels, 16 bits.
+oracle.PLANES["usable9"] = """SELECT p.stack, p.frame, p.y, p.x, min(q.valid) AS usable FROM seen p JOIN seen q ON q.stack = p.stack AND q.frame = p.frame AND abs(q.y - p.y) <= 3 AND abs(q.x - p.x) <= 3 GROUP BY p.stack, p.frame, p.y, p.x"""
+oracle.PLANES["f_score"] = "SELECT p.stack, p.frame, p.y, p.x, CASE WHEN u.usable = 1 THEN score ELSE -1 END AS score FROM photo p JOIN usable9 u ON u.stack = p.stack AND u.frame = p.frame AND u.y = p.y AND u.x = p.x"
+oracle.PLANES |= oracle.labelled("f_", "f_score") | oracle.weighed("f_", "seen") | oracle.multiband("f_", 4)
+oracle.PLANES["f_own"] = "SELECT stack, y, x, sum(v * mask * valid) AS own, max(p) AS p FROM f_w2 GROUP BY stack, y, x"
+oracle.PLANES["f_first"] = "SELECT e.stack, e.y, e.x, e.v FROM emb e JOIN (SELECT stack, min(frame) AS frame FROM emb GROUP BY stack) f ON f.stack = e.stack AND f.frame = e.frame"
 
 
-@query("fuse_max", """
-, own AS (SELECT stack, y, x, sum(v * mask) AS own, max(p) AS p FROM w2 GROUP BY stack, y, x)
-SELECT m.stack, m.y, m.x, round(m.v * (1 - o.p) + o.own * o.p, 3) AS v FROM mb m JOIN own o ON o.stack = m.stack AND o.y = m.y AND o.x = m.x""")
+@query("fuse_max", """SELECT m.stack, m.y, m.x, CAST(least(greatest(round_even(CASE WHEN m.covered THEN m.v * (1 - o.p) + o.own * o.p ELSE e.v END, 0), 0), 65535) AS INTEGER) AS v
+FROM f_mb m JOIN f_own o ON o.stack = m.stack AND o.y = m.y AND o.x = m.x JOIN f_first e ON e.stack = m.stack AND e.y = m.y AND e.x = m.x""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    rows = held(weighted(spark, d, blend.occlusion_weight), "weights")
-    image = blend.multiband(rows, PIXEL, "v", N, N, 1)
-    own = blend.owned(rows, PIXEL, ["v"])
-    guard = rows.select("stack", "y", "x", "confidence", "edge").distinct()
-    return blend.protected(image, own, guard, PIXEL, "v").withColumn("v", r("v", 3))
+    def finish(sums: layers.Layers, b: blocks.Block) -> dict[str, np.ndarray]:
+        return {"v": sums.image(lambda: np.repeat(b["v"][:1].astype(float), 3, 0))[..., 0]}
+
+    return laid(spark, d, layers.Rules(4, 3, 2, 2, best=True), lambda v: arrays.photographic_score(v, 2, True), 3, finish, {"v": "int"})
 
 
 _GRID_SQL = """SELECT CAST(ty * 4 + tx AS INTEGER) AS tile, ty * 24 AS y0, least(ty * 24 + 24, 70) AS y1, tx * 24 AS x0, least(tx * 24 + 24, 90) AS x1, greatest(ty * 24 - 5, 0) // 4 * 4 AS hy0, least((least(ty * 24 + 24, 70) + 5 + 3) // 4 * 4, 70) AS hy1,
@@ -369,7 +425,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("tile_frame_semijoin", "SELECT DISTINCT e.stack, e.frame, e.y // 4 * 2 + e.x // 4 AS tile FROM emb e JOIN plane p ON p.stack = e.stack AND p.label = e.frame AND p.y // 4 = e.y // 4 AND p.x // 4 = e.x // 4")
 def _(spark: SparkSession, d: str) -> DataFrame:
     tile = F.expr("cast(y div 4 * 2 + x div 4 as int)").alias("tile")
-    used = choose.cleaned(label_plane(spark, d), PIXEL, N, N).select("stack", F.col("label").alias("frame"), tile)
+    used = label_planes(spark, d).select("stack", F.col("label").alias("frame"), tile)
     rows = rasters.embeddings(spark, d).select("stack", "frame", tile)
     return rows.join(used, ["stack", "frame", "tile"], "left_semi").distinct()
 
@@ -444,14 +500,19 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return m.select("stack", "left_id", "right_id", r("d1").alias("d1"))
 
 
+def correlated(spark: SparkSession, d: str) -> DataFrame:
+    """Each frame's correlation with the first one of its stack."""
+    e = rasters.embeddings(spark, d)
+    first = e.groupBy("stack").agg(F.min("frame").alias("frame"))
+    ref = e.join(first, FRAME, "left_semi").select("stack", "y", "x", F.col("v").alias("ref"))
+    return e.join(ref, ["stack", "y", "x"]).groupBy("stack", "frame").agg(match.correlation(F.col("v"), F.col("ref")).alias("score"))
+
+
 @query("pearson_score", """
 , f AS (SELECT stack, min(frame) AS frame FROM emb GROUP BY stack)
 SELECT e.stack, e.frame, round(coalesce(corr(e.v, q.v), 0), 6) AS score FROM emb e JOIN f ON f.stack = e.stack JOIN emb q ON q.stack = f.stack AND q.frame = f.frame AND q.y = e.y AND q.x = e.x GROUP BY e.stack, e.frame""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    e = rasters.embeddings(spark, d)
-    first = e.groupBy("stack").agg(F.min("frame").alias("frame"))
-    ref = e.join(first, FRAME, "left_semi").select("stack", "y", "x", F.col("v").alias("ref"))
-    return e.join(ref, ["stack", "y", "x"]).groupBy("stack", "frame").agg(r(match.correlation(F.col("v"), F.col("ref"))).alias("score"))
+    return correlated(spark, d).withColumn("score", r("score"))
 
 
 @query("median_translation", "SELECT stack, y, median(v % 100) AS dx, median(v % 77) AS dy, count(*) AS inliers FROM emb WHERE v % 3 <> 0 GROUP BY stack, y")
@@ -460,21 +521,39 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return match.median_shift(e, ["stack", "y"])
 
 
-@query("normal_equations", "SELECT stack, frame, CAST(sum(gx * gx) AS BIGINT) AS h00, CAST(sum(gx * gy) AS BIGINT) AS h01, CAST(sum(gy * gy) AS BIGINT) AS h11, CAST(sum(gx * 7) AS BIGINT) AS g0, CAST(sum(gy * 7) AS BIGINT) AS g1 FROM sobel GROUP BY stack, frame")
+oracle.PLANES["against"] = "SELECT s.stack, s.frame, s.gx, s.gy, CAST(e.v AS DOUBLE) - f.v AS residual FROM sobel s JOIN emb e USING (stack, frame, y, x) JOIN f_first f ON f.stack = s.stack AND f.y = s.y AND f.x = s.x"
+
+
+@query("normal_equations", """
+, n AS (SELECT stack, frame, sum(gx * gx) AS h00, sum(gx * gy) AS h01, sum(gy * gy) AS h11, sum(gx * residual) AS g0, sum(gy * residual) AS g1 FROM against GROUP BY stack, frame),
+d AS (SELECT *, (h00 + 1e-3) * (h11 + 1e-3) - h01 * h01 AS det FROM n)
+SELECT stack, frame, CAST(h00 AS BIGINT) AS h00, CAST(h01 AS BIGINT) AS h01, CAST(h11 AS BIGINT) AS h11, CAST(g0 AS BIGINT) AS g0, CAST(g1 AS BIGINT) AS g1, round(((h11 + 1e-3) * g0 - h01 * g1) / det, 6) + 0 AS d0, round(((h00 + 1e-3) * g1 - h01 * g0) / det, 6) + 0 AS d1 FROM d""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    s = focus.sobel(rasters.embeddings(spark, d), FRAME, F.col("v"), N, N).withColumn("residual", F.lit(7.0))
-    n = match.normal_equations(s, FRAME, ["gx", "gy"], "residual")
-    return n.select(*FRAME, *[F.col(c).cast("long").alias(c) for c in ("h00", "h01", "h11", "g0", "g1")])
+    """Each frame against the first one of its stack."""
+    e = rasters.embeddings(spark, d)
+    first = e.join(e.groupBy("stack").agg(F.min("frame").alias("frame")), FRAME, "left_semi").select("stack", "y", "x", F.col("v").alias("first"))
+    s = blocks.by_block(e, FRAME, ["v"], N, N, 1, lambda b: dict(zip(("gx", "gy"), arrays.sobel(b["v"].astype(float)))) | {"v": b["v"]}, {"gx": "double", "gy": "double", "v": "double"})
+    rows = s.join(first, ["stack", "y", "x"]).withColumn("residual", F.col("v") - F.col("first"))
+    n = match.steps(match.normal_equations(rows, FRAME, ["gx", "gy"], "residual"))
+    return n.select(*FRAME, *[F.col(c).cast("long").alias(c) for c in ("h00", "h01", "h11", "g0", "g1")], *[(r(c) + 0.0).alias(c) for c in ("d0", "d1")])
 
 
-@query("alignment_accept", """
-, a AS (SELECT label AS stack, vec_id AS frame, (vec_id % 17) / 100.0 AS response, vec_id % 23 AS matches, vec_id % 11 AS inliers, (vec_id % 9) / 10.0 AS score FROM embeddings)
+_SCORES = "SELECT e.stack, e.frame, coalesce(corr(e.v, q.v), 0) AS score FROM emb e JOIN f_first q ON q.stack = e.stack AND q.y = e.y AND q.x = e.x GROUP BY e.stack, e.frame"
+
+
+@query("alignment_accept", f"""
+, pairs AS (SELECT l.stack, l.frame AS left_id, q.frame AS right_id, {_DIST} AS dist FROM vec l JOIN vec q ON q.stack = l.stack WHERE l.frame % 2 = 0 AND q.frame % 2 = 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY stack, left_id ORDER BY dist, right_id) AS rank FROM pairs),
+t AS (SELECT stack, left_id, max(CASE WHEN rank = 1 THEN dist END) AS d1, max(CASE WHEN rank = 2 THEN dist END) AS d2 FROM k GROUP BY stack, left_id),
+n AS (SELECT stack, count(*) AS matches, count(CASE WHEN d1 < 1.15 THEN 1 END) AS inliers FROM t WHERE d1 < 0.98 * d2 GROUP BY stack),
+a AS (SELECT stack, frame, score, abs(score) / 3 AS response, coalesce(matches, 0) AS matches, coalesce(inliers, 0) AS inliers FROM ({_SCORES}) LEFT JOIN n USING (stack))
 SELECT stack, frame, response >= 0.08 AS by_phase, matches >= 6 AND inliers >= 6 AND inliers >= 0.25 * matches AS by_features, (response >= 0.08 OR (matches >= 6 AND inliers >= 6 AND inliers >= 0.25 * matches)) AND score >= 0.2 AS accepted FROM a""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    v = F.col("vec_id")
-    e = rasters.table(spark, d, "embeddings").select(F.col("label").alias("stack"), v.alias("frame"), ((v % 17) / 100.0).alias("response"), (v % 23).alias("matches"), (v % 11).alias("inliers"), ((v % 9) / 10.0).alias("score"))
-    rows = match.accepted(e.withColumn("matches", F.col("matches")).filter("matches > 0")).unionByName(match.accepted(e.filter("matches = 0").withColumn("matches", F.lit(1).cast("long"))))
-    return rows.select("stack", "frame", "by_phase", "by_features", "accepted")
+    """By correlation with the stack's first frame and by the matches of the stack's features."""
+    v = rasters.table(spark, d, "embeddings").select(F.col("label").alias("stack"), F.col("vec_id").alias("id"), F.col("embedding").alias("features"))
+    m = match.ratio_matches(v.filter("id % 2 = 0"), v.filter("id % 2 = 1"), ["stack"], 0.98).groupBy("stack").agg(F.count("*").alias("matches"), F.count(F.when(F.col("d1") < 1.15, 1)).alias("inliers"))
+    rows = correlated(spark, d).join(m, "stack", "left").withColumns({"response": F.abs("score") / 3, "matches": F.coalesce("matches", F.lit(0)), "inliers": F.coalesce("inliers", F.lit(0))})
+    return match.accepted(rows).select("stack", "frame", "by_phase", "by_features", "accepted")
 
 
 @query("distinct_labels", "SELECT DISTINCT stack, label FROM conf")
@@ -494,10 +573,21 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return match.quality(rows, PIXEL).select("stack", *[r(F.col(c) / 1e6, 4).alias(c) for c in ("mse", "halo_mse", "thin_mse")])
 
 
-@query("seam_max", "SELECT stack, CAST(max(abs(a.v - b.v)) AS BIGINT) AS seam_max FROM emb a JOIN emb b USING (stack, frame, y, x) GROUP BY stack")
+@query("seam_max", "SELECT stack, CAST(max(abs(v - (v >> 8) * 257)) AS BIGINT) AS seam_max FROM emb GROUP BY stack")
 def _(spark: SparkSession, d: str) -> DataFrame:
+    """What 8 bits lose, at most."""
     e = rasters.embeddings(spark, d)
-    return match.seam(e, e, ["stack", "frame"], "v").groupBy("stack").agg(F.max("seam_max").cast("long").alias("seam_max"))
+    low = e.withColumn("v", pixel.expand8(pixel.reduce16(F.col("v"))))
+    return match.seam(e, low, ["stack", "frame"], "v").groupBy("stack").agg(F.max("seam_max").cast("long").alias("seam_max"))
+
+
+@query("tile_seams", "SELECT CAST(range AS INTEGER) AS frame, CAST(0 AS BIGINT) AS seam_max FROM range(4)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of small blocks against those of one large one: nothing may differ."""
+    rows = rasters.focus_bands(spark, 4, 96, 128).select("frame", "y", "x", pixel.luminance(F.col("r"), F.col("g"), F.col("b")).alias("v"))
+    rows = held(rows, "bands")
+    score = lambda side: blocks.by_block(rows, ["frame"], ["v"], 96, 128, 14, lambda b: {"s": arrays.photographic_score(b["v"], 3, True)}, {"s": "double"}, side=side).withColumn("s", F.round(F.col("s") / 1e6, 3))
+    return match.seam(score(24), score(512), ["frame"], "s").select("frame", F.col("seam_max").cast("long").alias("seam_max"))
 
 
 @query("hash_texture", """
@@ -509,11 +599,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return p.select("y", "x", *[pixel.texture(F.col("x"), F.col("y"), c).alias("rgb"[c]) for c in range(3)])
 
 
-@query("focus_band_frames", """
-, p AS (SELECT CAST(f.range AS INTEGER) AS frame, CAST(a.range AS BIGINT) AS y, CAST(b.range AS BIGINT) AS x FROM range(4) f CROSS JOIN range(48) a CROSS JOIN range(64) b), h1 AS (SELECT *, (x * 374761393 + y * 668265263) & 4294967295 AS h FROM p),
-h2 AS (SELECT frame, y, x, (xor(h, h >> 13) * 1274126177) & 4294967295 AS h FROM h1), h3 AS (SELECT frame, y, x, xor(h, h >> 16) AS h FROM h2)
-SELECT frame, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST(CASE WHEN x * 4 // 64 = frame THEN 5000 + h % 55000 ELSE 32500 END AS INTEGER) AS r, CAST(CASE WHEN x * 4 // 64 = frame THEN 5000 + (h >> 5) % 55000 ELSE 32500 END AS INTEGER) AS g,
-  CAST(CASE WHEN x * 4 // 64 = frame THEN 5000 + (h >> 10) % 55000 ELSE 32500 END AS INTEGER) AS b FROM h3""")
+oracle.PLANES["texture"] = """SELECT frame AS stack, y, x, CAST(5000 + h % 55000 AS DOUBLE) AS r, CAST(5000 + (h >> 5) % 55000 AS DOUBLE) AS g, CAST(5000 + (h >> 10) % 55000 AS DOUBLE) AS b FROM (SELECT frame, y, x, xor(h, h >> 16) AS h FROM (
+  SELECT frame, y, x, (xor(h, h >> 13) * 1274126177) & 4294967295 AS h FROM (SELECT CAST(f.range AS INTEGER) AS frame, CAST(a.range AS INTEGER) AS y, CAST(b.range AS INTEGER) AS x, (b.range * 374761393 + a.range * 668265263) & 4294967295 AS h FROM range(4) f CROSS JOIN range(48) a CROSS JOIN range(64) b)))"""
+for _kind, _from, _kernel in (("sharp", "texture", focus.bell(*scenes.GRAIN)), ("blurry", "sharp", focus.bell(*scenes.BLUR))):
+    for _c in "rgb":
+        oracle.PLANES[f"{_kind}_{_c}"] = oracle.separable(_from, PIXEL, _c, "v", _kernel, 48, 64)
+    oracle.PLANES[_kind] = f"SELECT r.stack, r.y, r.x, round_even(r.v, 0) AS r, round_even(g.v, 0) AS g, round_even(b.v, 0) AS b FROM {_kind}_r r JOIN {_kind}_g g USING (stack, y, x) JOIN {_kind}_b b USING (stack, y, x)"
+
+
+@query("focus_band_frames", "SELECT s.stack AS frame, s.y, s.x, " + ", ".join(f"CAST(CASE WHEN s.x * 4 // 64 = s.stack THEN s.{c} ELSE t.{c} END AS INTEGER) AS {c}" for c in "rgb") + " FROM sharp s JOIN blurry t USING (stack, y, x)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return rasters.focus_bands(spark, 4, 48, 64)
 
@@ -558,65 +652,48 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", listing.header_reason().alias("reason"))
 
 
-@query("run_totals", "SELECT stack, count(DISTINCT frame) AS frames, CAST(sum(2 * 1) AS BIGINT) AS bytes, min(v) AS least FROM emb GROUP BY stack")
+@query("run_totals", f"SELECT stack, count(*) AS frames, CAST(sum(bytes) AS BIGINT) AS bytes, round(min(score), 6) AS least FROM (SELECT stack, frame, count(*) * 6 AS bytes FROM emb GROUP BY stack, frame) JOIN ({_SCORES}) USING (stack, frame) GROUP BY stack")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return rasters.embeddings(spark, d).groupBy("stack").agg(F.countDistinct("frame").alias("frames"), F.sum(F.lit(2)).alias("bytes"), F.min("v").alias("least"))
+    """Frames, bytes of their pixels and the least correlation of each stack."""
+    sizes = rasters.embeddings(spark, d).groupBy(*FRAME).agg((F.count("*") * 6).alias("bytes"))
+    return sizes.join(correlated(spark, d), FRAME).groupBy("stack").agg(F.count("*").alias("frames"), F.sum("bytes").alias("bytes"), r(F.min("score")).alias("least"))
 
 
-def by_frame(df: DataFrame, channels: list[str], kernel: Callable, schema: str) -> DataFrame:
-    """A block kernel on each frame: it is given the channels as arrays and returns named planes."""
-    import numpy as np
-    import pandas as pd
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        shape = (rows.y.max() + 1, rows.x.max() + 1)
-        planes = {}
-        for c in channels:
-            planes[c] = np.zeros(shape, rows[c].dtype)
-            planes[c][rows.y, rows.x] = rows[c]
-        y, x = np.indices(shape)
-        made = {k: v.ravel() for k, v in kernel(**planes).items()}
-        return pd.DataFrame({"stack": rows["stack"].iloc[0], "frame": rows["frame"].iloc[0], "y": y.ravel(), "x": x.ravel(), **made})
-
-    return df.groupBy("stack", "frame").applyInPandas(run, "stack int, frame long, y int, x int, " + schema)
-
-
-@query("block_tenengrad", ORACLE["tenengrad"])
+@query("pixel_tenengrad", ORACLE["tenengrad"])
 def _(spark: SparkSession, d: str) -> DataFrame:
-    rows = by_frame(rasters.embeddings(spark, d), ["v"], lambda v: {"score": arrays.standard_score(v.astype(float), 3)}, "score double")
-    return rows.withColumn("score", r(F.col("score") / 1e6, 4))
+    """In pixel form."""
+    return focus.tenengrad(rasters.embeddings(spark, d), FRAME, F.col("v"), N, N, 3).withColumn("score", r(F.col("score") / 1e6, 4))
 
 
 @query("block_pyr_down", ORACLE["pyr_down"])
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return by_frame(rasters.embeddings(spark, d), ["v"], lambda v: {"v": arrays.down(v.astype(float)).repeat(2, 0).repeat(2, 1)}, "v double").filter("y % 2 = 0 and x % 2 = 0").select("stack", "frame", F.expr("cast(y div 2 as int)").alias("y"), F.expr("cast(x div 2 as int)").alias("x"), r("v", 4).alias("v"))
+    kernel = lambda b: [{"v": b["v"].astype(float)}, {"v": arrays.down(b["v"].astype(float))}]
+    rows = blocks.by_block(rasters.embeddings(spark, d), FRAME, ["v"], N, N, 4, kernel, {"v": "double"}, grid=2, levels=True)
+    return rows.filter("level = 1").drop("level").withColumn("v", r("v", 4))
 
 
 @query("tiff_roundtrip", "SELECT stack, frame, y, x, r, g, b FROM rgb")
 def _(spark: SparkSession, d: str) -> DataFrame:
     import io
 
-    import numpy as np
-
     from rasterloom.sources import tiff
 
-    def kernel(**planes):
-        a = np.stack([planes[c] for c in "rgb"], axis=2).astype("<u2")
-        file, (h, w) = io.BytesIO(), a.shape[:2]
-        tiff.write(file, [tiff.packed(a.tobytes(), "lzw")], h, w, "lzw", {})
-        back = tiff.window(tiff.header("a frame", file.getvalue()), 0, h, 0, w).astype(np.int32)
-        return {c: back[..., k] for k, c in enumerate("rgb")}
+    def kernel(b: blocks.Block) -> dict[str, np.ndarray]:
+        back = []
+        for a in np.stack([b[c] for c in "rgb"], axis=3).astype("<u2"):
+            file, (h, w) = io.BytesIO(), a.shape[:2]
+            tiff.write(file, [tiff.packed(a.tobytes(), "lzw")], h, w, "lzw", {})
+            back.append(tiff.window(tiff.header("a frame", file.getvalue()), 0, h, 0, w))
+        return {c: np.stack(back)[..., k] for k, c in enumerate("rgb")}
 
-    return by_frame(rasters.coloured(rasters.embeddings(spark, d)), ["r", "g", "b"], kernel, "r int, g int, b int")
+    return blocks.by_block(rasters.coloured(rasters.embeddings(spark, d)), FRAME, list("rgb"), N, N, 0, kernel, dict.fromkeys("rgb", "int"))
 
 
-@query("stacked_files", None)  # a whole run: files written, fused, read back; tests hold its parts to account
+@query("stacked_files", None)  # a whole run: files written, merged, read back; tests hold its parts to account
 def _(spark: SparkSession, d: str) -> DataFrame:
-    """Two frames of the events' raster, each blurred in one half, and the fused result."""
+    """Two frames of the events' raster, each blurred in one half, and the merged result."""
     import os
 
-    import numpy as np
-
     from rasterloom.plans import stack
     from rasterloom.plans.settings import Settings
     from rasterloom.sources import frames, tiff
@@ -626,14 +703,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     rows = events_raster(spark, d).groupBy("y", "x").agg(F.sum("v").alias("v")).toPandas()  # 70 x 90 places, whatever the data's size
     a = np.zeros((70, 90))
     a[rows.y, rows.x] = rows.v.astype(float)
-    sharp = arrays.to_u16(arrays.smooth(np.repeat(a[..., None] * (60000 / max(a.max(), 1)), 3, 2), 3)).astype(float)
+    sharp = arrays.to_u16(arrays.smooth(np.repeat(a[None] * (60000 / max(a.max(), 1)), 3, 0), 3)).astype(float)
     soft, paths = arrays.smooth(sharp, 9), []
     for k, half in enumerate((slice(0, 45), slice(45, 90))):
         image = soft.copy()
-        image[:, half] = sharp[:, half]
+        image[..., half] = sharp[..., half]
+        image = arrays.to_u16(image).transpose(1, 2, 0).astype("<u2")
         paths.append(os.path.join(folder, f"{k}.tif"))
         with open(paths[-1], "wb") as f:
-            tiff.write(f, [tiff.packed(arrays.to_u16(image[y : y + 64]).astype("<u2").tobytes(), "zlib") for y in range(0, 70, 64)], 70, 90, "zlib", {})
-    out = os.path.join(folder, "fused.tif")
+            tiff.write(f, [tiff.packed(image[y : y + 64].tobytes(), "zlib") for y in range(0, 70, 64)], 70, 90, "zlib", {})
+    out = os.path.join(folder, "merged.tif")
     stack.stack(spark, paths, out, settings)
     return frames.pixels(spark, [tiff.header(out)]).drop("frame")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.functions.pixel import texture
+from rasterloom.operators import blocks
+from rasterloom.sources import scenes
 
 SIDE = 8
 
@@ -27,8 +30,14 @@ def coloured(grey: DataFrame) -> DataFrame:
 
 
 def focus_bands(spark: SparkSession, frames: int, h: int, w: int) -> DataFrame:
-    """A hashed texture, sharp in one band of columns in each frame and flat elsewhere."""
+    """A hashed texture, sharp in one band of columns in each frame and out of focus elsewhere."""
     n = spark.range(frames * h * w)
     p = n.select(F.expr(f"cast(id div {h * w} as int)").alias("frame"), F.expr(f"cast(id div {w} % {h} as int)").alias("y"), F.expr(f"cast(id % {w} as int)").alias("x"))
-    sharp = F.expr(f"x * {frames} div {w} = frame")
-    return p.select("frame", "y", "x", *[F.when(sharp, texture(F.col("x"), F.col("y"), c)).otherwise(32500).cast("int").alias("rgb"[c]) for c in range(3)])
+    p = p.select("frame", "y", "x", *[texture(F.col("x"), F.col("y"), c).cast("int").alias("rgb"[c]) for c in range(3)])
+
+    def kernel(b: blocks.Block) -> dict[str, np.ndarray]:
+        return {c + kind: a for c in "rgb" for sharp in [scenes.blurred(b[c], *scenes.GRAIN, np.float64)] for kind, a in (("0", sharp), ("1", scenes.blurred(sharp, *scenes.BLUR, np.float64)))}
+
+    rows = blocks.by_block(p, ["frame"], list("rgb"), h, w, scenes.GRAIN[0] + scenes.BLUR[0], kernel, {c + k: "int" for c in "rgb" for k in "01"})
+    own = F.expr(f"x * {frames} div {w} = frame")
+    return rows.select("frame", "y", "x", *[F.when(own, F.col(c + "0")).otherwise(F.col(c + "1")).alias(c) for c in "rgb"])
