@@ -1,3 +1,3 @@
-"""rasterloom: image-stack fusion and raster analytics on Spark DataFrames."""
+"""rasterloom: merging stacks of images, and raster analytics, on Spark DataFrames."""
 
 __version__ = "0.1.0"

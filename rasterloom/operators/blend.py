@@ -46,11 +46,12 @@ def occlusion_weight() -> Column:
 
 
 def fused(rows: DataFrame, keys: list[str], values: list[str], fallback: DataFrame) -> DataFrame:
-    """Weighted means by pixel; where no weight is left, the fallback frame's own value."""
-    sums = rows.groupBy(*keys, "y", "x").agg(F.sum("weight").alias("total"), *[F.sum(F.col("weight") * F.col(v)).alias("s_" + v) for v in values])
-    out = fallback.select(*keys, "y", "x", *[F.col(v).alias("f_" + v) for v in values]).join(sums, [*keys, "y", "x"], "left")
-    mean = lambda v: F.when(F.col("total") > FLOOR, F.col("s_" + v) / F.greatest("total", F.lit(FLOOR))).otherwise(F.col("f_" + v))
-    return out.select(*keys, "y", "x", *[to_u16(mean(v)).alias(v) for v in values], (F.coalesce("total", F.lit(0.0)) > FLOOR).alias("covered"))
+    """Weighted means by pixel; where no weight is left, the fallback frame's own value, which is only looked up there."""
+    place = [*keys, "y", "x"]
+    sums = rows.groupBy(*place).agg(F.sum("weight").alias("total"), *[F.sum(F.col("weight") * F.col(v)).alias(v) for v in values]).filter(F.col("total") > FLOOR)
+    means = sums.select(*place, *[to_u16(F.col(v) / F.greatest("total", F.lit(FLOOR))).alias(v) for v in values], F.lit(True).alias("covered"))
+    bare = fallback.select(*place, *values).join(sums.select(*place), place, "left_anti")
+    return means.unionByName(bare.select(*place, *[to_u16(F.col(v).cast("double")).alias(v) for v in values], F.lit(False).alias("covered")))
 
 
 def owned(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

@@ -87,6 +87,12 @@ def seam(one: DataFrame, other: DataFrame, keys: list[str], value: str) -> DataF
     return both.groupBy(*keys).agg(F.max(F.abs(F.col(value) - F.col("other"))).alias("seam_max"))
 
 
+def best(rows: DataFrame, keys: list[str], score: str, order: str, *more: str) -> DataFrame:
+    """The row of each key with the largest score, the first in ``order`` (a whole number) of equals; partial maxima before the shuffle."""
+    top = F.max(F.struct(score, (-F.col(order)).alias("back"), *more)).alias("b")
+    return rows.groupBy(*keys).agg(top).select(*keys, F.col(f"b.{score}").alias(score), (-F.col("b.back")).alias(order), *[F.col(f"b.{c}").alias(c) for c in more])
+
+
 def accepted(rows: DataFrame) -> DataFrame:
     """Adds whether an alignment stands: by phase response, by matches and inliers, and by its final score."""
     phase = F.col("response") >= 0.08

@@ -24,13 +24,12 @@ def conv(plane: str, keys: list[str], value: str, out: dict[str, dict[tuple[int,
     offsets = sorted({o for k in out.values() for o in k})
     rows = ", ".join("({}, {}, {})".format(dy, dx, ", ".join(f"CAST({k.get((dy, dx), 0.0)!r} AS DOUBLE)" for k in out.values())) for dy, dx in offsets)
     names = ", ".join(f"k_{n}" for n in out)
-    sums = ", ".join(f"sum(k.k_{n} * q.{value}) AS {n}" for n in out)
+    sums = ", ".join(f"sum(p.k_{n} * q.{value}) AS {n}" for n in out)
     on = " AND ".join(f"p.{k} = q.{k}" for k in keys)
     own = ", ".join(f"p.{k}" for k in keys)
-    return (
-        f"SELECT {own}, p.y, p.x, {sums} FROM {plane} p CROSS JOIN (VALUES {rows}) k(dy, dx, {names}) "
-        f"JOIN {plane} q ON {on} AND q.y = {border('p.y + k.dy', h)} AND q.x = {border('p.x + k.dx', w)} GROUP BY {own}, p.y, p.x"
-    )
+    # each place with the places that it looks at comes first, so that the join is on all of the place
+    looks = f"SELECT {own}, p.y, p.x, {', '.join(f'k_{n}' for n in out)}, {border('p.y + k.dy', h)} AS qy, {border('p.x + k.dx', w)} AS qx FROM {plane} p CROSS JOIN (VALUES {rows}) k(dy, dx, {names})"
+    return f"SELECT {own}, p.y, p.x, {sums} FROM (WITH looks AS MATERIALIZED ({looks}) SELECT * FROM looks) p JOIN {plane} q ON {on} AND q.y = p.qy AND q.x = p.qx GROUP BY {own}, p.y, p.x"
 
 
 def separable(plane: str, keys: list[str], value: str, out: str, kernel: dict[int, float], h: int = N, w: int = N) -> str:

@@ -689,6 +689,175 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return blocks.by_block(rasters.coloured(rasters.embeddings(spark, d)), FRAME, list("rgb"), N, N, 0, kernel, dict.fromkeys("rgb", "int"))
 
 
+@query("frame_prefix", "SELECT stack, frame, h, w FROM heads WHERE frame < 3 AND stack < 10")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The first three frames of some stacks."""
+    return listing.prefix(headers(spark, d), 3).filter("stack < 10").select("stack", "frame", "h", "w")
+
+
+@query("best_hypothesis", f"SELECT stack, frame, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY stack ORDER BY round(score, 9) DESC, frame) AS k FROM ({_SCORES})) WHERE k = 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = correlated(spark, d).withColumn("score", F.round("score", 9))
+    return match.best(rows, ["stack"], "score", "frame").select("stack", "frame", r("score").alias("score"))
+
+
+@query("size_texts", r"""
+, t AS (SELECT p_partkey, CAST(p_size AS VARCHAR) || CASE p_partkey % 7 WHEN 0 THEN 'M' WHEN 1 THEN 'GiB' WHEN 2 THEN '.5 g' WHEN 3 THEN 'TB' WHEN 4 THEN 'x' WHEN 5 THEN 'KiB' ELSE '' END AS said FROM part),
+n AS (SELECT *, CASE WHEN regexp_full_match(upper(said), '\\s*[0-9]+(\\.[0-9]+)?\\s*[KMGT]?(I?B)?\\s*') THEN floor(CAST(regexp_extract(upper(said), '([0-9]+(\\.[0-9]+)?)', 1) AS DOUBLE) * CASE regexp_extract(upper(said), '[0-9]\\s*([KMGT])', 1) WHEN 'K' THEN 1024 WHEN 'M' THEN 1048576 WHEN 'G' THEN 1073741824 WHEN 'T' THEN 1099511627776 ELSE 1 END) END AS bytes FROM t)
+SELECT p_partkey, said, CAST(CASE WHEN bytes >= 67108864 THEN bytes ELSE -1 END AS BIGINT) AS bytes FROM n""".replace("\\\\", "\\"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes as people write them, made of the parts' sizes."""
+    unit = F.element_at(F.array(*[F.lit(u) for u in ("M", "GiB", ".5 g", "TB", "x", "KiB", "")]), (F.col("p_partkey") % 7 + 1).cast("int"))
+    p = rasters.table(spark, d, "part").select("p_partkey", F.concat(F.col("p_size").cast("string"), unit).alias("said"))
+    return p.withColumn("bytes", F.coalesce(listing.size_in_bytes(F.col("said")), F.lit(-1)))
+
+
+@query("similarity_projection", "SELECT stack, frame, round((a + e) / 2, 9) AS a, round((d - b) / 2, 9) + 0 AS b FROM tfd")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    a, b = geometry.similar(*[F.col(c) for c in "abde"])
+    return transforms(spark, d).select("stack", "frame", r(a, 9).alias("a"), (r(b, 9) + 0.0).alias("b"))
+
+
+@query("halo_widths", """SELECT quality, CAST(multiscale AS BOOLEAN) AS multiscale, f AS focus_radius, b AS blend_radius,
+  CAST(CASE quality WHEN 'standard' THEN CASE WHEN multiscale = 1 THEN 2 * f + 4 ELSE f + 1 END + 1 + b ELSE greatest(3 * f + 1, 2 * f + 8) + 2 + b + CASE quality WHEN 'high' THEN 28 ELSE 60 END END AS INTEGER) AS halo
+FROM (VALUES ('standard'), ('high'), ('max')) q(quality) CROSS JOIN (VALUES (0), (1)) m(multiscale) CROSS JOIN (VALUES (1), (3), (9)) r(f) CROSS JOIN (VALUES (0), (8)) s(b)""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    from rasterloom.plans.settings import QUALITIES, Settings
+
+    rows = [(q, m, f, b, Settings(quality=q, multiscale=m, focus_radius=f, blend_radius=b).checked().halo) for q in QUALITIES for m in (False, True) for f in (1, 3, 9) for b in (0, 8)]
+    return spark.createDataFrame(rows, "quality string, multiscale boolean, focus_radius int, blend_radius int, halo int")
+
+
+_REFUSALS = [("tile_size", "8"), ("tile_size", "auto"), ("quality", "low"), ("tile_overlap", "12"), ("tile_overlap", "13"), ("focus_radius", "0"), ("blend_radius", "-1"), ("compression", "jpeg"), ("memory_budget", "1M"), ("memory_budget", "64M"), ("max_workers", "33"), ("alignment", "shear"), ("alignment_max_dim", "31"), ("alignment_max_dim", "32")]
+
+
+@query("settings_rules", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{t}', {str((n, t) in [('tile_size', 'auto'), ('tile_overlap', '13'), ('memory_budget', '64M'), ('alignment_max_dim', '32')]).lower()})" for n, t in _REFUSALS) + ") v(name, said, accepted)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    from rasterloom.plans.settings import KNOBS, Settings
+    from rasterloom.sources.tiff import Refused
+
+    def accepted(name: str, said: str) -> bool:
+        try:
+            Settings.given(**{name: KNOBS[name].read(said)}).checked()
+        except Refused:
+            return False
+        return True
+
+    return spark.createDataFrame([(n, t, accepted(n, t)) for n, t in _REFUSALS], "name string, said string, accepted boolean")
+
+
+#: Files of a hashed texture, 48 x 64, written anew for each query; what they hold is the plane ``sharp``.
+_FORMS = [("none", None, False), ("zlib", 16, False), ("lzw", None, True), ("zstd", None, False)]
+_SHARP = "CAST(r AS INTEGER) AS r, CAST(g AS INTEGER) AS g, CAST(b AS INTEGER) AS b FROM sharp WHERE stack = 0"
+
+
+def texture_files(spark: SparkSession) -> list[str]:
+    """The same image in several layouts and compressions."""
+    import os
+
+    from rasterloom.plans import stack
+    from rasterloom.plans.settings import Settings
+    from rasterloom.sources import transcode
+
+    folder = stack.shared_folder(spark, Settings())
+    plain = scenes.band_frame(os.path.join(folder, "plain.tif"), 48, 64, 0, 1)
+    return [transcode.transcoded(plain, os.path.join(folder, f"{k}.tif"), c, tile, single).path for k, (c, tile, single) in enumerate(_FORMS)]
+
+
+@query("file_headers", "SELECT * FROM (VALUES " + ", ".join(f"({k}, 48, 64, 16, 1, {str(c != 'none').lower()})" for k, (c, _, _) in enumerate(_FORMS)) + ") v(frame, h, w, depth, orientation, packed)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """By the data source, from headers alone."""
+    import os
+
+    from rasterloom.sources import source
+
+    source.register(spark)
+    paths = texture_files(spark)
+    os.remove(os.path.join(os.path.dirname(paths[0]), "plain.tif"))
+    return spark.read.format("rasterloom").load(os.path.dirname(paths[0])).select("frame", "h", "w", "depth", "orientation", "packed")
+
+
+@query("file_pixels", f"SELECT CAST(f.range AS INTEGER) AS frame, y, x, {_SHARP.replace('FROM sharp', 'FROM range(4) f CROSS JOIN sharp')}")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    from rasterloom.sources import frames, tiff
+
+    return frames.pixels(spark, [tiff.header(p) for p in texture_files(spark)])
+
+
+@query("file_windows", f"SELECT CAST(f.range AS INTEGER) AS frame, y, x, {_SHARP.replace('FROM sharp', 'FROM range(1, 3) f CROSS JOIN sharp')} AND y // 20 = 1 AND x // 20 IN (1, 2)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of two of the files under a box, by the data source's pushed filters."""
+    import os
+
+    from rasterloom.sources import source
+
+    source.register(spark)
+    paths = texture_files(spark)
+    os.remove(os.path.join(os.path.dirname(paths[0]), "plain.tif"))
+    rows = spark.read.format("rasterloom").option("form", "blocks").option("side", 20).load(os.path.dirname(paths[0]))
+    rows = rows.filter("frame >= 1 and frame < 3 and y0 = 20 and x0 >= 20 and x1 <= 60")
+    at = F.explode(F.sequence(F.lit(0), (F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0")) - 1))
+    rows = rows.select("frame", "y0", "x0", (F.col("x1") - F.col("x0")).alias("n"), F.hex("data").alias("hex"), at.alias("k"))
+    word = lambda c: F.conv(F.concat(F.substring("hex", F.col("k") * 12 + 4 * c + 3, F.lit(2)), F.substring("hex", F.col("k") * 12 + 4 * c + 1, F.lit(2))), 16, 10).cast("int")
+    return rows.select("frame", F.expr("cast(y0 + k div n as int)").alias("y"), F.expr("cast(x0 + k % n as int)").alias("x"), *[word(c).alias("rgb"[c]) for c in range(3)])
+
+
+@query("file_grey", """
+, g AS (SELECT y * 12 // 48 AS y, x * 16 // 64 AS x, ((CAST(r AS BIGINT) >> 8) * 4899 + (CAST(g AS BIGINT) >> 8) * 9617 + (CAST(b AS BIGINT) >> 8) * 1868 + 8192) >> 14 AS v FROM sharp WHERE stack = 0)
+SELECT CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST(round_even(avg(v), 0) AS INTEGER) AS v FROM g GROUP BY y, x""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The reduced grey that comes with the decoding of a packed file."""
+    from rasterloom.plans.tasks import Crew
+    from rasterloom.sources import frames, tiff
+
+    packed = tiff.header(texture_files(spark)[1])
+    plain, plane = frames.plain_form(packed, packed.path + ".raw")
+    plane.made()
+    crew = Crew(spark)
+    crew.run("decoding", frames.bands(packed), lambda b: frames.unpacked(packed, plane, *b, 16))
+    (grey,) = crew.run("grey", [0], lambda _: frames.grey_of(plain, packed, 16))
+    return spark.createDataFrame([(y, x, int(v)) for (y, x), v in np.ndenumerate(grey)], "y int, x int, v int")
+
+
+@query("run_of_equal_frames", f"SELECT y, x, {_SHARP}")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """A whole run on one image in four layouts gives the image, in tiles and packed strips."""
+    import os
+
+    from rasterloom.plans import stack
+    from rasterloom.plans.settings import Settings
+    from rasterloom.sources import frames, tiff
+
+    paths = texture_files(spark)
+    out = os.path.join(os.path.dirname(paths[0]), "merged.tif")
+    stack.stack(spark, paths, out, Settings(alignment="none", tile_size=32, compression="lzw"))
+    return frames.pixels(spark, [tiff.header(out)]).drop("frame")
+
+
+_MOVES = [(0.0, 1.0, 0.0, 0.0), (2.0, 1.02, 3.0, 5.0), (-3.0, 0.97, 4.0, 6.0), (9.0, 1.0, -8.0, 12.0), (0.0, 1.0, 6.0, -4.0), (-6.0, 1.1, 8.0, -10.0)]
+
+
+@query("aligned_frames", "SELECT * FROM (VALUES " + ", ".join(f"({k}, CAST({t} AS DOUBLE), CAST({s} AS DOUBLE), true, true)" for k, (t, s, _, _) in enumerate(_MOVES)) + ") v(frame, turn, scale, places, score)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Frames turned, scaled and shifted by known amounts: what alignment finds, and whether corners land within half a pixel."""
+    from rasterloom.operators import register
+    from rasterloom.plans.tasks import Crew
+
+    def work(move: tuple[float, float, float, float]) -> tuple[float, float, bool, bool]:
+        turn, scale, dx, dy = move
+        scene = arrays.smooth(scenes.hashed(0, 200, 0, 240)[0].astype(float) / 256, 3)
+        t = np.radians(turn)
+        m = np.array([[scale * np.cos(t), -scale * np.sin(t), dx], [scale * np.sin(t), scale * np.cos(t), dy]])
+        frame = arrays.warped(scene, m, (0, 200, 0, 240), (0, 0), scene.shape)[0]
+        fit = register.fit(scene, frame, "affine")
+        corners = np.array([[20, 20, 1], [220, 20, 1], [120, 180, 1]], float)
+        found = complex(fit.matrix[0, 0], fit.matrix[1, 0])
+        return round(np.degrees(np.angle(found)), 1) + 0.0, round(abs(found), 2), bool(np.abs(corners @ (fit.matrix - m).T).max() < 0.5), fit.score > 0.9
+
+    rows = Crew(spark).run("fitting", _MOVES, work)
+    return spark.createDataFrame([(k, *map(lambda v: v if isinstance(v, bool) else float(v), map(lambda v: v.item() if isinstance(v, np.generic) else v, row))) for k, row in enumerate(rows)], "frame int, turn double, scale double, places boolean, score boolean")
+
+
 @query("stacked_files", None)  # a whole run: files written, merged, read back; tests hold its parts to account
 def _(spark: SparkSession, d: str) -> DataFrame:
     """Two frames of the events' raster, each blurred in one half, and the merged result."""

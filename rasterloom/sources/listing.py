@@ -12,6 +12,11 @@ def deduplicated(paths: DataFrame) -> DataFrame:
     return first.select("path", (F.row_number().over(Window.orderBy("ordinal")) - 1).cast("long").alias("frame"))
 
 
+def prefix(frames: DataFrame, n: int) -> DataFrame:
+    """The first n frames of each stack."""
+    return frames.filter(F.col("frame") < n)
+
+
 def violations(frames: DataFrame) -> DataFrame:
     """Frames that differ from frame 0 of their stack in size, depth or profile, and in what."""
     first = frames.filter("frame = 0").select("stack", F.col("h").alias("h0"), F.col("w").alias("w0"), F.col("depth").alias("depth0"), F.col("icc").alias("icc0"))

@@ -36,7 +36,7 @@ def focus_bands(spark: SparkSession, frames: int, h: int, w: int) -> DataFrame:
     p = p.select("frame", "y", "x", *[texture(F.col("x"), F.col("y"), c).cast("int").alias("rgb"[c]) for c in range(3)])
 
     def kernel(b: blocks.Block) -> dict[str, np.ndarray]:
-        return {c + kind: a for c in "rgb" for sharp in [scenes.blurred(b[c], *scenes.GRAIN, np.float64)] for kind, a in (("0", sharp), ("1", scenes.blurred(sharp, *scenes.BLUR, np.float64)))}
+        return {c + kind: a for c in "rgb" for sharp in [scenes.blurred(b[c], *scenes.GRAIN)] for kind, a in (("0", sharp), ("1", scenes.blurred(sharp, *scenes.BLUR)))}
 
     rows = blocks.by_block(p, ["frame"], list("rgb"), h, w, scenes.GRAIN[0] + scenes.BLUR[0], kernel, {c + k: "int" for c in "rgb" for k in "01"})
     own = F.expr(f"x * {frames} div {w} = frame")

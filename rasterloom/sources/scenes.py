@@ -26,10 +26,10 @@ def hashed(y0: int, y1: int, x0: int, x1: int) -> np.ndarray:
     return np.stack([LEAST + (h >> np.uint32(5 * c)) % np.uint32(RANGE) for c in range(3)])
 
 
-def blurred(planes: np.ndarray, reach: int, sigma: float, kind: type = np.float32) -> np.ndarray:
+def blurred(planes: np.ndarray, reach: int, sigma: float) -> np.ndarray:
     """In whole numbers again, as an image on file would be."""
     k = focus.bell(reach, sigma)
-    return np.rint(arrays.filtered(planes.astype(kind), k, k))
+    return np.rint(arrays.filtered(planes.astype(float), k, k))
 
 
 def band_rows(h: int, w: int, index: int, frames: int, y0: int, y1: int) -> np.ndarray:
