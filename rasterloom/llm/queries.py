@@ -144,19 +144,21 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat.rotations(table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("mask", lambda m: F.concat(m.start.cast("string"), F.lit("-"), m.end.cast("string"))), ",")
-    return rows.select("conv_id", "speaker", "part", F.col("n_turns").cast("long").alias("n_turns"), "text", spans.alias("mask"))
+    return rows.select("conv_id", "speaker", "part", "offset", F.col("n_turns").cast("long").alias("n_turns"), "text", spans.alias("mask"))
 
 
 OP7_SQL = r"""
-WITH t AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text, CAST(coalesce(floor(turn / 256.0), -1) AS BIGINT) AS part FROM conversations),
+WITH t AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS k FROM t),
 who AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
-s AS (SELECT t.conv_id, speaker, part, turn, role, t.text,
-    '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN role ELSE 'user name=' || role END || chr(10) AS head, t.text || '<|im_end|>' || chr(10) AS body
-  FROM t JOIN who ON t.conv_id = who.conv_id),
-p AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, part ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop FROM s)
-SELECT conv_id, speaker, part, count(*) AS n_turns, string_agg(head || body, '' ORDER BY turn, role, text) AS text,
-  coalesce(string_agg(CASE WHEN role = speaker THEN CAST(CAST(stop - length(body) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(stop - 1 AS BIGINT) AS VARCHAR) END, ',' ORDER BY turn, role, text), '') AS mask
-FROM p GROUP BY conv_id, speaker, part
+s AS (SELECT n.conv_id, speaker, k, k // 256 AS part, role, n.text,
+    '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN role ELSE 'user name=' || role END || chr(10) AS head, n.text || '<|im_end|>' || chr(10) AS body
+  FROM n JOIN who ON n.conv_id IS NOT DISTINCT FROM who.conv_id),
+p AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop FROM s),
+o AS (SELECT *, min(stop - length(head) - length(body)) OVER (PARTITION BY conv_id, speaker, part) AS first FROM p)
+SELECT conv_id, speaker, part, CAST(min(first) AS BIGINT) AS "offset", count(*) AS n_turns, string_agg(head || body, '' ORDER BY k) AS text,
+  coalesce(string_agg(CASE WHEN role = speaker THEN CAST(CAST(stop - first - length(body) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(stop - first - 1 AS BIGINT) AS VARCHAR) END, ',' ORDER BY k), '') AS mask
+FROM o GROUP BY conv_id, speaker, part
 """
 
 

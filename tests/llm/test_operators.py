@@ -528,15 +528,43 @@ def test_timed_frames(spark, empty):
 # chat
 
 
-def test_rotations(spark):
-    turns = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "bob", "yes <|x"), (2, None, None, "alone"), (3, 300, "ann", "late"), (3, 1, "bob", "soon")]
-    got = chat.rotations(spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")).collect()
-    by = {(r.conv_id, r.speaker, r.part): r for r in got}
-    assert set(by) == {(1, "ann", 0), (1, "bob", 0), (2, "unknown", -1), (3, "ann", 0), (3, "bob", 0), (3, "ann", 1), (3, "bob", 1)}
-    r = by[1, "bob", 0]
-    assert r.text == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>user name=ann\nhi<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n<|im_start|>assistant\nyes < |x<|im_end|>\n"
-    assert [r.text[m.start : m.end] for m in r.mask] == ["<|im_end|>", "yes < |x<|im_end|>"]
-    assert by[3, "ann", 0].mask == [] and len(by[3, "ann", 1].mask) == 1
+def brute_rotations(turns):
+    """Each speaker's whole rendering and the spans of its mask."""
+    convs, out = {}, {}
+    for c, n, role, text in turns:
+        convs.setdefault(c, []).append((n is not None, n or 0, role or "unknown", (text or "").replace("<|", "< |")))
+    for c, own in convs.items():
+        own.sort()
+        for speaker in {r for _, _, r, _ in own} - {"system"}:
+            whole, mask = "", []
+            for _, _, role, text in own:
+                name = "assistant" if role == speaker else role if role == "system" else f"user name={role}"
+                whole += f"<|im_start|>{name}\n"
+                start = len(whole)
+                whole += f"{text}<|im_end|>\n"
+                if role == speaker:
+                    mask.append((start, len(whole) - 1))
+            out[c, speaker] = whole, mask
+    return out
+
+
+@pytest.mark.parametrize("part", [1, 3, 256])
+def test_rotations(spark, part):
+    rng = np.random.default_rng(3)
+    turns = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "bob", "yes <|x"), (2, None, None, "alone"), (3, 300, "ann", "late"), (3, 1, "bob", "soon"), (None, 1, "ann", "no dialogue"), (7, 1, "system", "aside")]
+    turns += [(4, int(rng.integers(0, 9)), f"s{rng.integers(0, 3)}", sentence(rng, int(rng.integers(0, 6)))) for _ in range(300)] + [(4, None, "s1", "same")] * 20  # one long dialogue, ties, repeated rows
+    turns.append((5, 1, "é🙂", "long " * 50_000))
+    docs = spark.createDataFrame([(*t, 1, "x") for t in turns], "conv_id long, turn int, role string, text string, part int, offset string").repartition(5)  # clashing names
+    got = chat.rotations(docs, part=part).orderBy("conv_id", "speaker", "part").collect()
+    whole, masks = {}, {}
+    for r in got:
+        key = r.conv_id, r.speaker
+        assert len(whole.get(key, "")) == r.offset and 0 < r.n_turns <= part
+        whole[key] = whole.get(key, "") + r.text
+        masks.setdefault(key, []).extend((m.start + r.offset, m.end + r.offset) for m in r.mask)
+    want = brute_rotations(turns)
+    assert whole == {k: w for k, (w, _) in want.items()} and masks == {k: m for k, (_, m) in want.items()}
+    assert chat.rotations(docs.filter("false")).count() == 0
 
 
 # languages and quality
