@@ -40,8 +40,15 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Folders made since each open ``cleared`` began, innermost last.
+_MADE: list[list[str]] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/loom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/loom/{name}-{uuid.uuid4().hex}"
+    if _MADE:
+        _MADE[-1].append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -54,14 +61,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, all intermediate tables that were made within it; what is to last is written within and made before."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        for folder in _MADE.pop():
+            _delete(spark, folder)
+
+
 def discarded(*tables: DataFrame) -> None:
     """Delete tables of ``written`` that nothing reads any more."""
     for df in tables:
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if "/loom/" not in folder:
                 raise ValueError(f"{folder} is not an intermediate table")
-            path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, folder)
 
 
 def spread_join(big: DataFrame, small: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:

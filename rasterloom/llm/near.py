@@ -214,7 +214,7 @@ def _each(n: str, name: str) -> Column:
 def _exact(docs: DataFrame, members: DataFrame, place: list[str]) -> DataFrame:
     """members: written, ``node``, ``root``, ``size``, ``blocks`` and the place of each text of a cluster.  Links that span the components under the exact similarity."""
     def sets(rows: DataFrame, *keep: str) -> DataFrame:
-        return _sets(docs.join(sized(rows, 200), place), ["node", "root", *keep])
+        return _sets(docs.select(*place, "text").join(sized(rows, 200), place), ["node", "root", *keep])
 
     zero = F.lit(0).alias("q")
     links = written(_linked(sets(members.filter("blocks = 1"), "blocks").select("*", F.lit(0).alias("p"), zero), _forest), "near-links")

@@ -834,3 +834,31 @@ def test_pipeline(spark, sf_dir):
         else:
             assert out.filter("not exact").count() == 0 and b.keys() == a.keys()
         docs = out
+
+
+def test_pipeline_of_odd_rows(spark, docs, rows, empty, sf_dir, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows, columns with clashing names; and no rows at all."""
+    import corpus_pipeline
+
+    odd = docs.unionByName(spark.createDataFrame([(None, None, None, None, None)] * 2, SCHEMA)).withColumns({"file": F.lit("x"), "fp": F.lit(1), "node": F.lit(None).cast("string"), "digest": F.col("text")})
+    for name, stage in corpus_pipeline.STAGES:
+        path, none = f"file://{tmp_path}/{name.replace(' ', '-')}", empty if name == corpus_pipeline.STAGES[0][0] else none  # noqa: F821
+        out, none = stage(spark, odd, sf_dir), stage(spark, none, sf_dir)
+        out.write.parquet(path)
+        assert none.count() == 0 and (out.columns == odd.columns or name == corpus_pipeline.STAGES[-1][0])
+        odd = spark.read.parquet(path)
+        assert odd.count() > 0
+
+
+def test_run_leaves_only_what_its_result_reads(spark, sf_dir):
+    import corpus_pipeline
+    from rasterloom.llm import common
+
+    made = []
+    real, common._delete = common._delete, lambda s, folder: (made.append(folder), real(s, folder))[1]
+    try:
+        out = corpus_pipeline.run(spark, sf_dir)
+    finally:
+        common._delete = real
+    assert out.count() > 0 and len(made) > 20 and not common._MADE
+    assert {f.rsplit("/", 1)[0] for f in out.inputFiles()}.isdisjoint(made)
