@@ -2,9 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the former
 one kept; its result is written as Parquet and read again as the next one's
-docs.  All but the last return the columns of ``documents``.  Repeated rows,
-nulls and empty texts are handled as the stages' operators say; an empty table
-goes through as an empty table.
+docs.  All but the last return the columns of ``documents``, and whatever columns
+are there besides.  Repeated rows, nulls in any column, empty and very long texts
+and ties are handled as the stages' operators say; an empty table goes through as
+an empty table.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import exact_dedup, mixing, near, quality, queries, segments, simhash
-from rasterloom.llm.common import crc_bucket, table, written
+from rasterloom.llm import exact_dedup, mixing, near, quality, queries
+from rasterloom.llm.common import cleared, crc_bucket, discarded, new_folder, table, written
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +57,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """What lies between is removed as soon as the next stage's rows are written."""
+    docs, former = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = new_folder(spark, name.replace(" ", "-"))
+        with cleared(spark):
+            rows = stage(spark, docs, sf_dir)
+            rows.write.option("compression", "zstd").parquet(path)
+        if former is not None:
+            discarded(former)
+        docs = former = spark.read.schema(rows.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
