@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.operators import arrays
+from rasterloom.operators import arrays, register
 
 M = ("a", "b", "c", "d", "e", "f")
 
@@ -35,7 +36,7 @@ def singular(a: Column, b: Column, d: Column, e: Column) -> tuple[Column, Column
 
 
 def verdict(rows: DataFrame) -> DataFrame:
-    """Adds ``reason``: why a transform is rejected, or null.  (The overlap is judged by ``register.overlap``.)"""
+    """Adds ``reason``: why a transform is rejected, or null.  (What depends on the frame's size is judged by ``overlap``.)"""
     a, b, c, d, e, f = (F.col(x) for x in M)
     finite = ~F.greatest(*[F.isnan(x) | (F.abs(x) == float("inf")) | x.isNull() for x in (a, b, c, d, e, f)])
     large, small = singular(a, b, d, e)
@@ -47,6 +48,16 @@ def verdict(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"reason": reason, "scale": F.sqrt(F.abs(a * e - b * d)), "rotation": turn})
 
 
+def overlap(rows: DataFrame, h: int, w: int) -> DataFrame:
+    """Adds ``overlap``, which part of the reference a frame of h x w covers once it is carried there, and ``apart``, whether that is too little."""
+    @F.pandas_udf("double")
+    def part(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, e: pd.Series, f: pd.Series) -> pd.Series:
+        matrices = np.column_stack([a, b, c, d, e, f]).reshape(-1, 2, 3)
+        return pd.Series([register.overlap(m, h, w) if np.isfinite(m).all() else 0.0 for m in matrices])
+
+    return rows.withColumn("overlap", part(*[F.col(m) for m in M])).withColumn("apart", F.col("overlap") < register.OVERLAP)
+
+
 def warped(pixels: DataFrame, transforms: DataFrame, keys: list[str], value: str, h: int, w: int, side: int = 256) -> DataFrame:
     """Each frame drawn on the reference's places: bilinear, borders repeated; ``valid`` within 1e-4 of the source.
 

@@ -241,6 +241,21 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return w.select("stack", "y", "x", "frame", F.col("score").cast("long").alias("score"))
 
 
+@query("arriving_frames", "SELECT c.stack, c.y, c.x, c.label AS frame, CAST(c.s0 AS BIGINT) AS score, n.seen FROM conf c JOIN (SELECT stack, y, x, count(*) AS seen FROM score WHERE score >= 0 GROUP BY stack, y, x) n USING (stack, y, x)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Frames that arrive in a few files, as a stream."""
+    import uuid
+
+    from rasterloom.sources import scratch
+    from rasterloom.streaming import arrivals
+
+    place = f"{scratch.folder(spark)}/loom/arrivals-{uuid.uuid4().hex}"
+    rows = scored(spark, d)
+    rows.repartition(5, "frame").write.parquet(f"{place}/scores")
+    best = arrivals.settled(spark, f"{place}/scores", "stack int, frame long, y int, x int, score double", PIXEL, place, 2)
+    return best.select("stack", "y", "x", "frame", F.col("score").cast("long").alias("score"), "seen")
+
+
 @query("guide_plane", "SELECT stack, y, x, v FROM guide")
 def _(spark: SparkSession, d: str) -> DataFrame:
     s = scored(spark, d).join(rasters.embeddings(spark, d), [*FRAME, "y", "x"])
@@ -475,6 +490,21 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return geometry.verdict(t).select("stack", "frame", "reason")
 
 
+_CUT = "greatest(0, least({n} - 1, s * ({n} - 1) + {t}) - greatest(0, {t}))"
+
+
+@query("transform_overlap", f"""
+, g AS (SELECT stack, frame, 1 + (frame % 11 - 5) * 0.03 AS s, (frame % 31 - 15) * 6.0 AS tx, (frame % 17 - 8) * 5.0 AS ty FROM vec)
+SELECT stack, frame, round({_CUT.format(n=120, t='tx')} * {_CUT.format(n=90, t='ty')} / (119.0 * 89.0), 6) AS overlap, {_CUT.format(n=120, t='tx')} * {_CUT.format(n=90, t='ty')} / (119.0 * 89.0) < 0.6 AS apart FROM g""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Frames of 90 x 120, scaled and shifted."""
+    f = F.col("frame")
+    s = 1 + (f % 11 - 5) * 0.03
+    zero = F.lit(0.0)
+    rows = transforms(spark, d).select("stack", "frame", s.alias("a"), zero.alias("b"), ((f % 31 - 15) * 6.0).alias("c"), zero.alias("d"), s.alias("e"), ((f % 17 - 8) * 5.0).alias("f"))
+    return geometry.overlap(rows, 90, 120).select("stack", "frame", r("overlap").alias("overlap"), "apart")
+
+
 @query("warp_bilinear", """
 , p AS (SELECT e.stack, e.frame, e.y, e.x, i.a * e.x + i.b * e.y + i.c AS u, i.d * e.x + i.e * e.y + i.f AS w FROM emb e JOIN inv i ON i.stack = e.stack AND i.frame = e.frame),
 q AS (SELECT *, u - floor(u) AS fx, w - floor(w) AS fy, CAST(floor(u) AS INTEGER) AS x0, CAST(floor(w) AS INTEGER) AS y0 FROM p)

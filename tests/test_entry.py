@@ -22,7 +22,7 @@ def rows(frame):
     return sorted(tuple(str(round(v, 6)) if isinstance(v, float) else str(v) for v in r) for r in clean.itertuples(index=False))
 
 
-FEW = ["sobel", "gaussian_smooth", "top3_cascade", "cleanup_max", "weighted_fuse", "fuse_max", "warp_bilinear", "halo_exchange", "area_resize", "knn_ratio_match", "cleanup_pixels", "multiband_accumulate", "focus_band_frames", "tile_seams", "alignment_accept", "normal_equations", "seam_max", "run_totals", "best_hypothesis", "size_texts", "halo_widths", "settings_rules", "file_headers", "file_pixels", "file_windows", "file_grey", "run_of_equal_frames", "aligned_frames", "hash_texture", "pixel_tenengrad", "block_pyr_down", "tiff_roundtrip"]
+FEW = ["sobel", "gaussian_smooth", "top3_cascade", "cleanup_max", "weighted_fuse", "fuse_max", "warp_bilinear", "halo_exchange", "area_resize", "knn_ratio_match", "cleanup_pixels", "multiband_accumulate", "focus_band_frames", "tile_seams", "alignment_accept", "normal_equations", "seam_max", "run_totals", "arriving_frames", "best_hypothesis", "transform_overlap", "size_texts", "halo_widths", "settings_rules", "file_headers", "file_pixels", "file_windows", "file_grey", "run_of_equal_frames", "aligned_frames", "hash_texture", "pixel_tenengrad", "block_pyr_down", "tiff_roundtrip"]
 
 
 @pytest.mark.parametrize("name", FEW)
