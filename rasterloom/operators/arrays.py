@@ -29,9 +29,10 @@ def _band(kind: str, n: int, weights: tuple, dtype: str) -> tuple[int, list[tupl
     """How many places come out, and the runs: out from and to, in from and to, matrix."""
     table = {"around": lambda: axis.around(n, dict(weights)), "odd": lambda: axis.around(n, dict(weights), True), "halving": lambda: axis.halving(n), "doubling": lambda: axis.doubling(n)}[kind]()
     src, out, w = table[:, 0].astype(int), table[:, 1].astype(int), table[:, 2]
-    size, runs = int(out.max()) + 1, []
-    for o0 in range(0, size, RUN):
-        here = (out >= o0) & (out < o0 + RUN)
+    size, runs = int(out[-1]) + 1, []
+    cuts = np.searchsorted(out, np.arange(0, size + RUN, RUN)).tolist()
+    for k, o0 in enumerate(range(0, size, RUN)):
+        here = slice(cuts[k], cuts[k + 1])
         o1, i0, i1 = min(o0 + RUN, size), int(src[here].min()), int(src[here].max()) + 1
         m = np.zeros((o1 - o0, i1 - i0), dtype)
         m[out[here] - o0, src[here] - i0] = w[here]

@@ -33,9 +33,10 @@ def mirrored(places: np.ndarray, n: int) -> np.ndarray:
 
 
 def entries(src: np.ndarray, out: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """The table of these triples, with those of the same places added up: columns src, out, w."""
-    pairs, at = np.unique(np.column_stack([src, out]), axis=0, return_inverse=True)
-    return np.column_stack([pairs, np.bincount(at.reshape(-1), w)])
+    """The table of these triples, with those of the same places added up, by out: columns src, out, w."""
+    wide = int(src.max()) + 1
+    pairs, at = np.unique(out * wide + src, return_inverse=True)
+    return np.column_stack([pairs % wide, pairs // wide, np.bincount(at, w)])
 
 
 def around(n: int, weights: dict[int, float], odd: bool = False) -> np.ndarray:
