@@ -363,6 +363,22 @@ def test_mixing_spends_what_zero_weights_leave(spark, monkeypatch, few):
         assert taken == sorted(taken, reverse=True) and sum(0 < p < 1 for p in taken) <= 1
 
 
+def test_mixing_of_ties_and_long_texts(spark):
+    """Equal sources share alike, to a token; a text of most tokens is cut; a table's own column of a clashing name stays; ids of any kind will do."""
+    rows = [("a", "w " * 60_000, "x", 1), ("b", "w " * 100, "x", 2), ("c", None, "x", 3), ("d", "w " * 500, "y", 4), ("e", "w " * 500, "z", 5), (None, " ", None, 6)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, source string, rest int")
+    mix = mixing.Mix({"source": F.col("source")}, {}, 0.01, 1, 2)
+    got = {r.doc_id: r for r in mixing.mixed(docs, mix).collect()}
+    asked = int(61_100 * 0.01)
+    by = Counter()
+    for r in got.values():
+        by[r.source] += r["__loom_full"] * r["__loom_tokens"] + r["__loom_prefix"]
+    assert by["x"] == by["y"] == by["z"] == asked // 3 and by[None] == 0 and {r.rest for r in got.values()} == set(range(1, 7))
+    assert sum(len(r.text.split()) for r in mixing.drawn(docs, mix).collect()) == 3 * (asked // 3)
+    with pytest.raises(ValueError):
+        mixing.Mix({"tokens": F.col("source")})
+
+
 def test_mixing_order_does_not_depend_on_the_size(spark):
     mix = mixing.Mix({"lang": F.col("lang")}, {}, 0.5, 1, 9)
     rows = [(i, "a b c", "en") for i in range(400)]
