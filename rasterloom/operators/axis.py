@@ -51,8 +51,8 @@ def around(n: int, weights: dict[int, float], odd: bool = False) -> np.ndarray:
 
 
 def framed(spark: SparkSession, table: np.ndarray) -> DataFrame:
-    """A table as a small frame of the driver's."""
-    return spark.createDataFrame([(int(s), int(o), float(w)) for s, o, w in table], "src int, out int, w double")
+    """A table as a frame of the driver's."""
+    return _small(spark.createDataFrame([(int(s), int(o), float(w)) for s, o, w in table], "src int, out int, w double"), len(table))
 
 
 def taps(spark: SparkSession, n: int, weights: dict[int, float]) -> DataFrame:
@@ -99,6 +99,10 @@ def doubled(spark: SparkSession, n: int) -> DataFrame:
 
 def binned(spark: SparkSession, n: int, m: int) -> DataFrame:
     """Place i falls in bin i * m // n, with weight 1."""
+    return _small(_bins(spark, n, m), n)
+
+
+def _bins(spark: SparkSession, n: int, m: int) -> DataFrame:
     return spark.range(n).select(F.col("id").cast("int").alias("src"), F.expr(f"cast(id * {m} div {n} as int)").alias("out"), F.lit(1.0).alias("w"))
 
 
@@ -106,16 +110,17 @@ def resized(spark: SparkSession, n: int, m: int) -> DataFrame:
     """Area averages: each of m output places weighs the n input places by their overlap."""
     k = spark.range(n).select(F.col("id").cast("int").alias("src"), F.explode(F.expr(f"sequence(id * {m} div {n}, ((id + 1) * {m} - 1) div {n})")).alias("o"))
     overlap = F.expr(f"(least((src + 1) * {m}, (o + 1) * {n}) - greatest(src * {m}, o * {n})) / {n}")
-    return k.select("src", F.col("o").cast("int").alias("out"), overlap.cast("double").alias("w")).filter("w > 0")
+    return _small(k.select("src", F.col("o").cast("int").alias("out"), overlap.cast("double").alias("w")).filter("w > 0"), n + m)
 
 
-def _small(axis: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(axis) if n <= MOST else axis
+def _small(axis: DataFrame, rows: int) -> DataFrame:
+    """A table of so many rows, broadcast if they are few."""
+    return F.broadcast(axis) if rows <= MOST else axis
 
 
 def along(df: DataFrame, axis: DataFrame, place: str, keys: list[str], values: dict[str, Column], n: int) -> DataFrame:
     """Apply an axis table to the places in column ``place``; the other coordinates are ``keys``."""
-    rows = df.join(_small(axis, n), F.col(place) == F.col("src"))
+    rows = df.join(axis, F.col(place) == F.col("src"))
     return rows.groupBy(*keys, F.col("out").alias(place)).agg(*[F.sum(v * F.col("w")).alias(k) for k, v in values.items()])
 
 
@@ -137,7 +142,7 @@ def several(df: DataFrame, keys: list[str], value: Column, h: int, w: int, kerne
     table = spark.createDataFrame([(dy, dx, *[float(k.get((dy, dx), 0)) for k in kernels.values()]) for dy, dx in offsets], "dy int, dx int, " + ", ".join(f"k_{n} double" for n in kernels))
     place = lambda n, d: spark.range(n).select(F.col("id").cast("int").alias("o" + d), F.explode(F.array(*[F.lit(v) for v in sorted({o["yx".index(d)] for o in offsets})])).alias("d" + d)).withColumn("s" + d, border(F.col("o" + d) + F.col("d" + d), n).cast("int"))
     rows = df.select(*keys, "y", "x", value.cast("double").alias("v"))
-    rows = rows.join(_small(place(h, "y"), h), F.col("y") == F.col("sy")).join(_small(place(w, "x"), w), F.col("x") == F.col("sx")).join(F.broadcast(table), ["dy", "dx"])
+    rows = rows.join(_small(place(h, "y"), h * len(offsets)), F.col("y") == F.col("sy")).join(_small(place(w, "x"), w * len(offsets)), F.col("x") == F.col("sx")).join(F.broadcast(table), ["dy", "dx"])
     return rows.groupBy(*keys, F.col("oy").alias("y"), F.col("ox").alias("x")).agg(*[F.sum(F.col("v") * F.col(f"k_{n}")).alias(n) for n in kernels])
 
 
@@ -152,5 +157,5 @@ def neighbours(df: DataFrame, keys: list[str], value: Column, h: int, w: int, ra
     rows = df.select(*keys, "y", "x", value.alias("v"))
     for place, n in (("y", h), ("x", w)):
         table = spark.range(n).select(F.col("id").cast("int").alias("out"), steps.alias("d")).select(border(F.col("out") + F.col("d"), n).cast("int").alias("src"), "out")
-        rows = rows.join(_small(table, n), F.col(place) == F.col("src")).drop("src", place).withColumnRenamed("out", place)
+        rows = rows.join(_small(table, n * (2 * radius + 1)), F.col(place) == F.col("src")).drop("src", place).withColumnRenamed("out", place)
     return rows.groupBy(*keys, "y", "x").agg(agg(F.col("v")).alias("v"))

@@ -13,18 +13,33 @@ from rasterloom.sources.tiff import Header, Refused
 MIB = 1 << 20
 #: Sides that ``auto`` chooses from, the largest budget it takes, and the share of the free memory that is taken at most.
 SIDES, MOST, SHARE = (2048, 1536, 1024, 512), 4 << 30, 0.6
+#: How much larger than the pixels a packed output may get; others stay below 1.1.
+GROWTH = {"lzw": 1.6}
 #: Bytes of all planes of a window for each of its places, without and with a pyramid; and what a task needs besides.
 PLANES, BESIDES = (160, 240), 160 * MIB
 
 
 @dataclass(frozen=True)
 class Allowance:
+    """What a run may use: bytes of memory of a task, the tile's side, bytes of disk between and for the output."""
+
     budget: int
     tile: int
     scratch: int
     output: int
 
 
+@dataclass(frozen=True)
+class Need:
+    """Bytes that something takes, and what to say if they are not there."""
+
+    what: str
+    size: int
+
+    def over(self, most: int, of: str) -> Refused | None:
+        return Refused(f"{self.what} needs {self.size >> 20} MiB and {of} is {most >> 20} MiB") if self.size > most else None
+
+
 def free_memory(root: Path = Path("/sys/fs/cgroup")) -> int:
     """Of this machine, or of the container if that is less; clean pages of files count as free."""
     free = os.sysconf("SC_AVPHYS_PAGES") * os.sysconf("SC_PAGE_SIZE")
@@ -48,41 +63,40 @@ def budget(text: str, free: int) -> int:
     return min(int(free * SHARE), size_in_bytes(text) or MOST)
 
 
-def window_bytes(settings: Settings, side: int) -> int:
+def tile_need(settings: Settings, side: int) -> Need:
+    """All planes of a tile's window."""
     whole = side + 2 * (settings.halo + settings.grid)
-    return whole * whole * PLANES[settings.levels > 0] + BESIDES
+    return Need(f"a tile of {side}", whole * whole * PLANES[settings.levels > 0] + BESIDES)
+
 
+def memory_needs(heads: list[Header]) -> list[Need]:
+    """What the files themselves ask of a task, whatever the tiles: the output's rows, and each packed segment with its copies."""
+    rows = Need("a row of the output", heads[0].shown[1] * 36 + 128 * MIB)
+    return [rows, *[Need(f"{head.path}: a segment", 2 * (max(head.counts) + head.seg_h * head.seg_w * 3 * head.depth // 8) + 64 * MIB) for head in heads if not head.plain]]
 
-def decoding_bytes(head: Header) -> int:
-    """A segment packed and unpacked, each with a copy in hand."""
-    unpacked = head.seg_h * head.seg_w * 3 * head.depth // 8
-    return 2 * (max(head.counts) + unpacked) + 64 * MIB
+
+def disk_needs(heads: list[Header], settings: Settings) -> tuple[int, int]:
+    """Bytes between (plain forms of packed frames, three planes, what alignment keeps) and of the output."""
+    h, w = heads[0].shown
+    plain = sum(head.h * head.w * 3 * head.depth // 8 for head in heads if not head.plain)
+    looks = 0 if settings.alignment == "none" else len(heads) * min(settings.analysis_bound, max(h, w)) ** 2 * 8
+    return plain + looks + h * w * 12, int(h * w * 6 * GROWTH.get(settings.compression, 1.1)) + 4 * MIB
 
 
 def allowed(heads: list[Header], settings: Settings, folder: str | Path, place: str | Path, free: int | None = None) -> Allowance:
     """Refuses a run that memory or disk does not suffice for, before any pixel is read."""
-    h, w = heads[0].shown
     most = budget(settings.memory_budget, free_memory() if free is None else free)
-    if w * 36 + 128 * MIB > most:
-        raise Refused(f"a row of the output does not fit in the memory budget of {most >> 20} MiB")
-    sides = SIDES if settings.tile_size == "auto" else (settings.tile_size,)
-    fitting = [s for s in sides if window_bytes(settings, s) <= most]
-    if not fitting:
-        raise Refused(f"a tile needs {window_bytes(settings, sides[-1]) >> 20} MiB of working memory and the memory budget is {most >> 20} MiB")
-    packed = [head for head in heads if not head.plain]
-    for head in packed:
-        if decoding_bytes(head) > most:
-            raise Refused(f"{head.path}: a segment needs {decoding_bytes(head) >> 20} MiB to be decoded and the memory budget is {most >> 20} MiB")
-    pixels = h * w
-    scratch = sum(head.h * head.w * 3 * head.depth // 8 for head in packed) + pixels * (6 + 6)
-    if settings.alignment != "none":
-        scratch += len(heads) * min(settings.analysis_bound, max(h, w)) ** 2
-    output = int(pixels * 6 * (1.6 if settings.compression == "lzw" else 1.1)) + 4 * MIB
-    needs: dict[int, tuple[str, int]] = {}
-    for at, need in ((folder, scratch), (place, output)):  # one disk has to hold both
+    tiles = {side: tile_need(settings, side) for side in (SIDES if settings.tile_size == "auto" else [settings.tile_size])}
+    fits = [side for side, need in tiles.items() if need.size <= most]
+    for need in [*memory_needs(heads), *([] if fits else [tiles[min(tiles)]])]:
+        if refusal := need.over(most, "the memory budget"):
+            raise refusal
+    scratch, output = disk_needs(heads, settings)
+    disks: dict[int, Need] = {}
+    for at, size in ((folder, scratch), (place, output)):  # one disk may have to hold both
         disk = os.stat(at).st_dev
-        needs[disk] = (str(at), needs.get(disk, ("", 0))[1] + need)
-    for at, need in needs.values():
-        if shutil.disk_usage(at).free < need:
-            raise Refused(f"{at}: {need >> 20} MiB of disk are needed")
-    return Allowance(most, fitting[0], scratch, output)
+        disks[disk] = Need(f"{at}: the run", size + (disks[disk].size if disk in disks else 0))
+    for at, need in disks.items():
+        if refusal := need.over(shutil.disk_usage(folder if at == os.stat(folder).st_dev else place).free, "the free disk"):
+            raise refusal
+    return Allowance(most, max(fits), scratch, output)

@@ -63,21 +63,21 @@ def headers(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def pixels(spark: SparkSession, heads: list[Header]) -> DataFrame:
     """The relational form: ``frame``, ``y``, ``x``, ``r``, ``g``, ``b``, of 16 bits; a task for each band of segments."""
-    bands = [(k, y, min(y + step, head.shown[0])) for k, head in enumerate(heads) for step in [max(head.seg_h, (1 << 20) // max(head.w, 1) or 1)] for y in range(0, head.shown[0], step)]
+    held = spark.sparkContext.broadcast(heads)
+    rows = [(k, y, min(y + step, head.shown[0])) for k, head in enumerate(heads) for step in [max(head.seg_h, (1 << 20) // max(head.w, 1) or 1)] for y in range(0, head.shown[0], step)]
     schema = pa.schema([(n, pa.int32()) for n in ("frame", "y", "x", "r", "g", "b")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                head = heads[r["frame"]]
+                head = held.value[r["frame"]]
                 w = head.shown[1]
                 for y in range(r["y0"], r["y1"], 64):
                     a = tiff.window(head, y, min(y + 64, r["y1"]), 0, w).astype(np.int32)
                     n = a.shape[0] * w
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.full(n, r["frame"], np.int32), np.repeat(np.arange(y, y + a.shape[0], dtype=np.int32), w), np.tile(np.arange(w, dtype=np.int32), a.shape[0]), *a.reshape(-1, 3).T)], schema=schema)
 
-    rows = spark.createDataFrame(bands, "frame int, y0 int, y1 int").repartition(len(bands))
-    return rows.mapInArrow(run, "frame int, y int, x int, r int, g int, b int")
+    return spark.createDataFrame(rows, "frame int, y0 int, y1 int").repartition(len(rows)).mapInArrow(run, "frame int, y int, x int, r int, g int, b int")
 
 
 def reduction(head: Header, bound: int) -> tuple[int, int]:

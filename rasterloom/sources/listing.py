@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def deduplicated(paths: DataFrame) -> DataFrame:
-    """paths: ``path`` and ``ordinal``.  Each path once, at its first place, numbered anew."""
+    """paths: ``path`` and ``ordinal``.  Each path once, at its first place, numbered anew; in one task, for a stack has at most 65535."""
     first = paths.groupBy("path").agg(F.min("ordinal").alias("ordinal"))
     return first.select("path", (F.row_number().over(Window.orderBy("ordinal")) - 1).cast("long").alias("frame"))
 
