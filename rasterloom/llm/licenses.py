@@ -204,12 +204,13 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text).cast("binary"), 256)
 
 
-def known_digests(spark: SparkSession, known: dict[str, str] | None = None) -> DataFrame:
-    """known: names and texts; by default all of this module's."""
-    rows = spark.createDataFrame(forms() if known is None else [*known.items()], "license string, known_text string").select(digest(F.col("known_text")).alias(OWN + "digest"), "license")
-    if known is None and DIGESTS:
-        rows = rows.unionByName(spark.createDataFrame([(d, n) for d, n in DIGESTS.items()], f"{OWN}digest string, license string"))
-    return rows.groupBy(OWN + "digest").agg(F.min("license").alias(OWN + "license"))
+def known_texts(spark: SparkSession, known: dict[str, str] | None = None) -> dict[str, list[str]]:
+    """known: names and texts; by default all of this module's.  For each canonical form, which Spark works out as it does for documents, the names that it goes by."""
+    rows = spark.createDataFrame(forms() if known is None else [*known.items()], "license string, known_text string").select("license", canonical(F.col("known_text")).alias("c"))
+    found: dict[str, list[str]] = {}
+    for r in rows.collect():  # as many as the caller knows
+        found.setdefault(r.c, []).append(r.license)
+    return found
 
 
 def marks(canonical_texts: list[str]) -> list[str]:
@@ -229,14 +230,14 @@ def marks(canonical_texts: list[str]) -> list[str]:
 def scan(docs: DataFrame, known: dict[str, str] | None = None) -> DataFrame:
     """``docs`` with ``__loom_digest``, ``__loom_license`` (null: not a known licence text) and ``__loom_notices``, the names of its lines that are known texts, in their order."""
     spark = docs.sparkSession
-    rows = docs.withColumn(OWN + "digest", digest(F.col("text"))).join(F.broadcast(known_digests(spark, known)), OWN + "digest", "left")
-    texts = spark.createDataFrame(forms() if known is None else [*known.items()], "license string, known_text string").select("license", canonical(F.col("known_text")).alias("c")).collect()
-    if not texts:  # as many as the caller knows
+    texts = known_texts(spark, known)
+    names = {hashlib.sha256(c.encode()).hexdigest(): min(own) for c, own in texts.items()}
+    every = names if known is not None else DIGESTS | names
+    table = spark.createDataFrame([*every.items()], f"{OWN}digest string, {OWN}license string")
+    rows = docs.withColumn(OWN + "digest", digest(F.col("text"))).join(F.broadcast(table), OWN + "digest", "left")
+    if not names:
         return rows.withColumn(OWN + "notices", F.array().cast("array<string>"))
-    names: dict[str, str] = {}
-    for r in sorted(texts):
-        names.setdefault(hashlib.sha256(r.c.encode()).hexdigest(), r.license)
-    words = marks([r.c for r in texts])
+    words = marks([*texts])
 
     def marked(text: Column) -> Column:
         small = F.lower(text)
