@@ -11,6 +11,7 @@ from rasterloom.plans.settings import Settings, size_in_bytes
 from rasterloom.sources.tiff import Header, Refused
 
 MIB = 1 << 20
+# Fixed values.
 #: Sides that ``auto`` chooses from, the largest budget it takes, and the share of the free memory that is taken at most.
 SIDES, MOST, SHARE = (2048, 1536, 1024, 512), 4 << 30, 0.6
 #: How much larger than the pixels a packed output may get; others stay below 1.1.

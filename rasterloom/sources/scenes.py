@@ -14,6 +14,15 @@ from rasterloom.sources import tiff
 MULTIPLIERS, LEAST, RANGE = (374761393, 668265263, 1274126177), 5000, 55000
 GRAIN, BLUR = (1, 0.65), (8, 3.0)
 
+# Fixed values of the occlusion scene: size and seed; for a dark and a bright foreground the ground's range and the foreground's
+# colour; disc (x, y, radius); strokes (from, to, thickness); kernels of the ground, of what lies behind, and of what lies before.
+SCENE_SIZE, SCENE_SEED = (257, 321), 81
+GROUND = {False: (33000, 49000), True: (3000, 17000)}
+COLOUR = {False: (2500, 4200, 1800), True: (58000, 54000, 61000)}
+DISC = (130, 120, 45)
+STROKES = [((40, 30), (265, 225), 2), ((285, 25), (30, 220), 1), ((90, 20), (90, 230), 2)]
+SOIL, BEHIND, BEFORE = (1, 0.5), (11, 4), (15, 5)
+
 
 def hashed(y0: int, y1: int, x0: int, x1: int) -> np.ndarray:
     """Three planes of a hash of each place."""
@@ -77,19 +86,18 @@ def spread(mask: np.ndarray, reach: int) -> np.ndarray:
     return ~arrays.eroded(~mask, reach)
 
 
-def occlusion(bright: bool = False, seed: int = 81) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+def occlusion(bright: bool = False, seed: int = SCENE_SEED) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
     """A disc and thin strokes before a textured ground: the truth, a frame that is sharp near and one that is sharp far, places about the outlines, and the thin strokes."""
-    h, w = 257, 321
-    low, high = (3000, 17000) if bright else (33000, 49000)
-    ground = blurred(np.random.default_rng(seed).integers(low, high, (h, w, 3), dtype=np.uint16).transpose(2, 0, 1), 1, 0.5)
+    h, w = SCENE_SIZE
+    ground = blurred(np.random.default_rng(seed).integers(*GROUND[bright], (h, w, 3), dtype=np.uint16).transpose(2, 0, 1), *SOIL)
     y, x = np.mgrid[0:h, 0:w]
-    mask = (x - 130) ** 2 + (y - 120) ** 2 <= 45**2
-    for a, b, thick in (((40, 30), (265, 225), 2), ((285, 25), (30, 220), 1), ((90, 20), (90, 230), 2)):
-        mask |= stroke(h, w, a, b, thick)
-    colour = np.array([58000, 54000, 61000] if bright else [2500, 4200, 1800], float)[:, None, None]
+    mask = (x - DISC[0]) ** 2 + (y - DISC[1]) ** 2 <= DISC[2] ** 2
+    for stroke_of in STROKES:
+        mask |= stroke(h, w, *stroke_of)
+    colour = np.array(COLOUR[bright], float)[:, None, None]
     truth = np.where(mask, colour, ground)
-    near = np.where(mask, colour, blurred(ground, 11, 4))
-    soft = arrays.filtered(mask.astype(float), *[focus.bell(15, 5)] * 2)
+    near = np.where(mask, colour, blurred(ground, *BEHIND))
+    soft = arrays.filtered(mask.astype(float), *[focus.bell(*BEFORE)] * 2)
     far = colour * soft + ground * (1 - soft)
     image = lambda a: np.floor(a).transpose(1, 2, 0).astype(np.uint16)
     edges = spread(mask, 8) & ~(mask & ~spread(~mask, 2))
