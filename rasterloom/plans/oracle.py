@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from rasterloom.operators import axis, focus
 
 N = 8
@@ -56,6 +58,14 @@ def slots(plane: str, score: str) -> str:
 SELECT stack, y, x, s0, f0, s1, f1, s2, f2 FROM (SELECT *, max(k) OVER (PARTITION BY stack, y, x) AS n FROM w) WHERE k = n"""
 
 
+def noise_gain(support: int, sigma: float) -> float:
+    """From the definition: the squares of the softened derivative across and of the softened sum along."""
+    raw = [math.exp(-((d / sigma) ** 2) / 2) if abs(d) <= support else 0.0 for d in range(-support - 2, support + 3)]
+    g = [v / sum(raw) for v in raw]
+    inner = range(1, len(g) - 1)
+    return 2 * sum((g[i + 1] - g[i - 1]) ** 2 for i in inner) * sum((g[i - 1] + 2 * g[i] + g[i + 1]) ** 2 for i in inner)
+
+
 CONFIDENCE = "least(greatest((greatest(s0, 0) - greatest(s1, 0)) / greatest(s0, 1e-8), 0), 1)"
 
 

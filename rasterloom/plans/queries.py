@@ -206,7 +206,7 @@ def _photographic_sql() -> str:
     parts, joins = [], "floor_ n JOIN mean2 USING (stack, frame, y, x) JOIN square2 USING (stack, frame, y, x) JOIN noise2 USING (stack, frame, y, x) JOIN noise4 USING (stack, frame, y, x)"
     for k, (support, sigma, weight) in enumerate(focus.SCALES):
         joins += f" JOIN energy{k} USING (stack, frame, y, x) JOIN bend{k} USING (stack, frame, y, x)"
-        parts.append(f"{weight} * (greatest(energy{k}.v - {1.5 * focus.noise_gain(support, sigma)!r} * noise{focus.reach(support, 2)}.v, 0) + 0.2 * greatest(bend{k}.v - 0.5 * n.noise, 0))")
+        parts.append(f"{weight} * (greatest(energy{k}.v - {1.5 * oracle.noise_gain(support, sigma)!r} * noise{focus.reach(support, 2)}.v, 0) + 0.2 * greatest(bend{k}.v - 0.5 * n.noise, 0))")
     variance = "greatest(s - m * m, 0)"
     return f"SELECT stack, frame, y, x, ({' + '.join(parts)}) * {variance} / ({variance} + 2 * n.noise + 1024) AS score FROM {joins}"
 
@@ -220,6 +220,16 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return s.select(*FRAME, "y", "x", r(F.col("score") / 1e6, 3).alias("score"))
 
 
+@query("noise_gain", """
+, s AS (SELECT * FROM (VALUES (1, 0.7), (3, 1.0), (6, 2.0)) v(support, sigma)),
+e AS (SELECT support, sigma, CAST(r.range AS INTEGER) - 8 AS d, CASE WHEN abs(r.range - 8) <= support THEN exp(-(r.range - 8) * (r.range - 8) / (2 * CAST(sigma AS DOUBLE) * sigma)) ELSE 0 END AS e FROM s CROSS JOIN range(17) r),
+g AS (SELECT support, sigma, d, e / sum(e) OVER (PARTITION BY support) AS g FROM e),
+n AS (SELECT support, sigma, lead(g) OVER o - lag(g) OVER o AS across, lag(g) OVER o + 2 * g + lead(g) OVER o AS along FROM g WINDOW o AS (PARTITION BY support ORDER BY d))
+SELECT support, CAST(sigma AS DOUBLE) AS sigma, round(2 * sum(across * across) * sum(along * along), 9) AS gain FROM n GROUP BY support, sigma""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(n, s, round(focus.noise_gain(n, s), 9)) for n, s, _ in focus.SCALES], "support int, sigma double, gain double")
+
+
 @query("top3_sources", "SELECT stack, y, x, rank, frame, CAST(score AS BIGINT) AS score FROM ranked")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return choose.ranked(scored(spark, d), PIXEL).select("stack", "y", "x", F.col("rank").cast("long").alias("rank"), "frame", F.col("score").cast("long").alias("score"))
