@@ -36,10 +36,13 @@ from rasterloom.llm.common import BROADCAST_BYTES, OWN, located, new_folder, siz
 ROWS_PER_COPY = 64
 #: Files of entries that the stream takes in one batch.
 FILES = 4096
-#: State on disk; no files made large in advance, which small state partitions would never fill.
+#: State on disk; no files made large in advance, which small state partitions would never fill, and small buffers: an
+#: executor has one for each of its state partitions, outside the JVM's heap, until the store is unloaded.
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "2",
+    "spark.sql.streaming.stateStore.rocksdb.blockCacheSizeMB": "2",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 ENTRY = "doc_id long, n_cp int, digest binary, file string, row long"
