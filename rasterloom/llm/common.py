@@ -132,6 +132,23 @@ def without_own(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.startswith(OWN)])
 
 
+#: Bytes of an Arrow batch of texts, at most: a few of them are in the JVM's and in Python's memory at once.
+BATCH = 8 << 20
+
+
+def light(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on hands over batches of ``BATCH`` bytes at most, unless its own are smaller.
+
+    A batch's rows are bounded by default, but ten thousand long texts are too much for a small executor.
+    """
+    key, units = "spark.sql.execution.arrow.maxBytesPerBatch", {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    found = re.fullmatch(r"(-?[0-9]+)([kmg]?)b?", df.sparkSession.conf.get(key).lower())
+    size = int(found[1]) * units[found[2]] if found else -1
+    if not 0 < size <= BATCH:
+        df.sparkSession.conf.set(key, f"{BATCH}b")
+    return df
+
+
 def crc_bucket(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

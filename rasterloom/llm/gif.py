@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from rasterloom.llm.common import OWN
+from rasterloom.llm.common import OWN, light
 
 WIDTH = 192
 #: Rows of a stored payload in a frame; longer payloads take further frames.
@@ -395,7 +395,7 @@ def timed(df: DataFrame, column: str = "media", most_pixels: int = MOST_PIXELS)
                 if held or not number:
                     yield rows(k, held or [(None,) * 12])
 
-    return df.mapInArrow(run, schema)
+    return light(df).mapInArrow(run, schema)
 
 
 def _runs(mask: np.ndarray, least: int) -> np.ndarray:
@@ -479,4 +479,4 @@ def stored(docs: DataFrame, with_media: bool = True) -> DataFrame:
                     rows.append(found)
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, t) for c, t in zip(zip(*rows), kinds)]], names=names)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)
+    return light(docs).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import summed
+from rasterloom.llm.common import light, summed
 
 BINS = 1 << 15
 #: Added to each count.
@@ -77,7 +77,7 @@ def learn(docs: DataFrame) -> Languages:
             yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([value.tobytes()], pa.binary())], names=["key", "task", "data"])
 
     known = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", F.col("lang").cast("string"))
-    sums = summed(known.mapInArrow(count, "key string, task int, data binary"))
+    sums = summed(light(known).mapInArrow(count, "key string, task int, data binary"))
     names = sorted(sums)
     like = np.stack([sums[n] + SMOOTH for n in names]) if names else np.empty((0, BINS))
     return Languages(names, like / like.sum(1, keepdims=True))
@@ -129,4 +129,4 @@ def identify(docs: DataFrame, model: Languages) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(whole, kind)], names=["doc_id", "lang_pred", "score", "languages"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, languages array<struct<lang:string,share:double>>")
+    return light(rows).mapInArrow(run, "doc_id long, lang_pred string, score double, languages array<struct<lang:string,share:double>>")

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from rasterloom.llm import simhash
-from rasterloom.llm.common import OWN, located, sized, spread_join, without_own, written
+from rasterloom.llm.common import OWN, light, located, sized, spread_join, without_own, written
 
 SHINGLE = 5
 ROWS, BANDS = 6, 40
@@ -88,7 +88,7 @@ def _prints(docs: DataFrame, keep: list[str]) -> DataFrame:
             own = [pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *own], names=[*keep, "fp", "size", "keys"])
 
-    return rows.mapInArrow(run, schema)
+    return light(rows).mapInArrow(run, schema)
 
 
 def _sets(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -103,7 +103,7 @@ def _sets(docs: DataFrame, keep: list[str]) -> DataFrame:
                 packed = [shingles(t.as_py() or b"").tobytes() for t in b.column(len(keep)).cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(packed, pa.binary())], names=[*keep, "hashes"])
 
-    return rows.mapInArrow(run, schema)
+    return light(rows).mapInArrow(run, schema)
 
 
 def _candidates(prints: DataFrame) -> DataFrame:
@@ -204,7 +204,7 @@ def _from_first(nodes: np.ndarray, sets: list[np.ndarray]) -> tuple[list[int], l
 def _linked(sets: DataFrame, find) -> DataFrame:
     """sets: ``root``, ``p``, ``q``, ``node``, ``hashes``."""
     rows = sets.select("root", "p", "q", "node", "hashes").repartition("root", "p", "q").sortWithinPartitions("root", "p", "q", "node")
-    return rows.mapInArrow(_grouped(find), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
+    return light(rows).mapInArrow(_grouped(find), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
 
 
 def _each(n: str, name: str) -> Column:

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import OWN, summed, written
+from rasterloom.llm.common import OWN, light, summed, written
 
 #: Random features, ridge factor (times the number of rows) and kernel width (times the square root of the statistics' number).
 FEATURES, RIDGE, KERNEL, SEED = 384, 1e-4, 0.6, 5
@@ -106,7 +106,7 @@ def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
             packed = pa.array([np.array(statistics(t.as_py() or b""), np.float64).tobytes() for t in b.column(names.index("text")).cast(pa.binary())], pa.binary())
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in at], packed], names=[*keep, STATS])
 
-    return rows.mapInArrow(run, rows.select(*keep).schema.add(STATS, "binary"))
+    return light(rows).mapInArrow(run, rows.select(*keep).schema.add(STATS, "binary"))
 
 
 @dataclass(frozen=True)
@@ -236,4 +236,4 @@ def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
                 yield b.filter(pa.array(np.clip(model.score(unpacked(b.column(at))), 0, 1) >= threshold)).drop_columns([STATS])
 
     kept = docs.drop(STATS)
-    return rows.mapInArrow(run, kept.schema) if at == len(rows.columns) - 1 else rows.select(*kept.columns, STATS).transform(lambda df: accepted(df, model, threshold))
+    return light(rows).mapInArrow(run, kept.schema) if at == len(rows.columns) - 1 else rows.select(*kept.columns, STATS).transform(lambda df: accepted(df, model, threshold))

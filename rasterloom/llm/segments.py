@@ -51,7 +51,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rasterloom.llm.common import OWN
+from rasterloom.llm.common import OWN, light
 
 SPACE = "▁"
 #: For models that only rank their pieces.
@@ -522,7 +522,7 @@ def sampled(docs: DataFrame, model_path: str, k: int = 2, seed: int = 11, alpha:
         if ids:
             yield flush(ids, keys, texts)
 
-    return rows.mapInArrow(run, f"doc_id long, {SAMPLES}")
+    return light(rows).mapInArrow(run, f"doc_id long, {SAMPLES}")
 
 
 def decoded(df: DataFrame, model_path: str, column: str = "ids") -> DataFrame:
@@ -539,4 +539,4 @@ def decoded(df: DataFrame, model_path: str, column: str = "ids") -> DataFrame:
             texts = pa.array([None if own is None else t.decode("utf-8", "replace") for own, t in zip(lists, back)], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, texts], names=[*b.schema.names, OWN + "text"])
 
-    return df.mapInArrow(run, schema)
+    return light(df).mapInArrow(run, schema)

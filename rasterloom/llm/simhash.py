@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import OWN, discarded, located, sized, spread_join, without_own, written
+from rasterloom.llm.common import OWN, discarded, light, located, sized, spread_join, without_own, written
 
 RADIUS = 4
 SHINGLE = 4
@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame, keep: list[str], shingle: int = SHINGLE) -> Da
             fp = np.fromiter((fingerprint(t.as_py() or b"", shingle) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(fp.view(np.int64))], names=[*keep, "fp"])
 
-    return rows.mapInArrow(run, schema)
+    return light(rows).mapInArrow(run, schema)
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -163,7 +163,7 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     members = members.filter("blocks = 1 or block != other")
     grouped = members.select("t", "key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "fp")
     grouped = grouped.repartition("t", "key", "p", "q").sortWithinPartitions("t", "key", "p", "q")
-    found = grouped.mapInArrow(_links(radius), "a long, b long")
+    found = light(grouped).mapInArrow(_links(radius), "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

@@ -36,6 +36,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.llm.common import light
+
 SIZE = 13
 #: Windows that a task gathers before it sends them off.
 GATHER = 3_000_000
@@ -301,7 +303,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     size_of_all = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * PER_PARTITION, -(-size_of_all // BUCKET_BYTES))
     parts = -(-n // PER_PARTITION)
-    sent = rows.mapInArrow(_send(size, n), "bucket int, kind int, hashes binary, ids binary")
+    sent = light(rows).mapInArrow(_send(size, n), "bucket int, kind int, hashes binary, ids binary")
     told = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(n), "grp int, hashes binary, ids binary")
     texts = rows.mapInArrow(_shrink(n), "grp int, hashes binary, ids binary, doc_id long, text binary")
     met = texts.unionByName(told, allowMissingColumns=True)
